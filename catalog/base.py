@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 # Output kinds: s text, i integer, b boolean, f double to 6 places, g large double to 2 places,
 # e rows-only double (kept as it is).
@@ -64,6 +65,7 @@ def query(name: str, out: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
+        MODULES[name] = fn.__module__.split(".")[-1]
         if sql is not None:
             ORACLE[name] = _shaped_sql(sql, shape)
         return fn

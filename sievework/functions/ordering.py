@@ -10,6 +10,8 @@ Frames that fit one task are not cut at all and use the plain window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,13 +82,14 @@ def numbered(
     tie: str,
     name: str = "rank",
     descending: bool = True,
+    then: Sequence[Column] = (),
     cumulate: str | None = None,
     limit: int | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Row number 1.. inside ``keys`` by ``value`` (NULL last), ties by ``tie`` as a string.
 
-    ``cumulate`` names a column whose running sum in that order is added as ``cum_<column>``.
+    ``then`` gives further orders between the two. ``cumulate`` names a column whose running sum in that order is added as ``cum_<column>``.
     ``bounded=True`` states that a group cannot outgrow a task (methods of one split, say).
     """
     direction = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
@@ -98,10 +101,11 @@ def numbered(
     cuts: list = []
     if not bounded:
         df = df.withColumn("_v", -F.col(value).cast("double") if descending else F.col(value))
-        cuts = order_cuts(df, "_v", tie, limit)
-        df = df.withColumn("_slice", slice_number("_v", tie, cuts)).drop("_v")
+        cut_tie = None if then else tie
+        cuts = order_cuts(df, "_v", cut_tie, limit)
+        df = df.withColumn("_slice", slice_number("_v", cut_tie, cuts)).drop("_v")
     part = [*keys, "_slice"] if cuts else keys
-    w = Window.partitionBy(*part).orderBy(direction, by_tie)
+    w = Window.partitionBy(*part).orderBy(direction, *then, by_tie)
     out = df.withColumn(name, F.row_number().over(w))
     if cumulate:
         out = out.withColumn(f"cum_{cumulate}", F.sum(cumulate).over(w.rowsBetween(*span)))
