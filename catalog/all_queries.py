@@ -1,3 +1,3 @@
 """Imports every catalog module, which registers its queries."""
 
-from catalog import folds, inference, metrics, ranking, scores, stability  # noqa: F401
+from catalog import folds, inference, metrics, preparation, quality, ranking, scores, stability  # noqa: F401

@@ -357,7 +357,7 @@ METHOD_MAP = "CASE method WHEN 'm1' THEN 'revenue' WHEN 'm2' THEN 'price' WHEN '
     + f"""SELECT a.dataset, a.method, a.mean_auc, n.nogueira, coalesce(e.enrichment, 0) AS enrichment FROM
     (SELECT dataset, {METHOD_MAP} AS method, mean_auc FROM delta_by_k WHERE k = 50) a
     JOIN ({nogueira_sql('panels', 'pools')}) n ON n.k = 50 AND n.dataset = a.dataset AND n.method = a.method
-    LEFT JOIN (SELECT dataset, method, avg(score) AS enrichment FROM panels JOIN feature_scores USING (feature)
+    LEFT JOIN (SELECT dataset, method, avg(feature_scores.score) AS enrichment FROM panels JOIN feature_scores USING (feature)
       WHERE k = 50 AND method != 'orders' GROUP BY 1, 2) e ON e.dataset = a.dataset AND e.method = a.method""",
 )
 def tradeoff_table(t):

@@ -204,3 +204,34 @@ def average_ranks(
         *keys, value, (F.col("before__ties") + (F.col("_ties") + 1) / 2.0).alias(name)
     )
     return df.join(ranked, [*keys, value], "left")
+
+
+def group_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+) -> DataFrame:
+    """Exact quantiles with linear interpolation (type 7) of groups of any size.
+
+    Built on counts of distinct values and their running totals, not on one aggregation buffer
+    per group.
+    """
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_ties")
+    )
+    sizes = distinct.groupBy(*keys).agg(F.sum("_ties").alias("_n"))
+    placed = running(distinct, keys, value, ["_ties"]).join(sizes, keys)
+    before, upto = F.col("before__ties"), F.col("before__ties") + F.col("_ties")
+    picks = []
+    for name, p in probs.items():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.floor(at), F.ceil(at)
+        picks += [
+            F.max(F.when((before <= low) & (low < upto), F.col(value))).alias(f"_lo_{name}"),
+            F.max(F.when((before <= high) & (high < upto), F.col(value))).alias(f"_hi_{name}"),
+        ]
+    found = placed.groupBy(*keys, "_n").agg(*picks)
+    out = []
+    for name, p in probs.items():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((lo + (at - F.floor(at)) * (hi - lo)).alias(name))
+    return found.select(*keys, *out)
