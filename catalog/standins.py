@@ -31,7 +31,7 @@ def with_(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n][0]})" for n in ordered) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_CTE[n][0]})" for n in ordered) + "\n"
 
 
 # --- samples and features from the embedding vectors -------------------------------------------

@@ -22,6 +22,11 @@ from sievework.session import rows_per_task
 _SAMPLE_PER_SLICE = 60
 
 
+def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether all rows of the frame together are few enough for one task."""
+    return df.count() <= (limit or rows_per_task(df.sparkSession))
+
+
 def order_cuts(
     df: DataFrame, value: str, tie: str | None, limit: int | None = None
 ) -> list[tuple[float, str]]:

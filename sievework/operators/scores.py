@@ -9,6 +9,7 @@ from sievework.functions.columns import hash_order, safe_div
 from sievework.functions.ordering import (
     average_ranks,
     dealt,
+    fits_one_task,
     numbered,
     order_cuts,
     running,
@@ -69,13 +70,20 @@ def welch_rank(df: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame
         "score",
         F.coalesce(-F.log10(F.greatest("p", F.lit(1e-300))) * F.abs("t"), F.lit(0.0)),
     )
-    adjusted = bh_adjust(w, keys, "p", "q")
+    small = fits_one_task(df.select(*keys, "feature").distinct())
+    adjusted = bh_adjust(w, keys, "p", "q", bounded=small)
     return numbered(
-        adjusted.withColumn("selected", F.col("q") < alpha), keys, "score", "feature"
+        adjusted.withColumn("selected", F.col("q") < alpha),
+        keys,
+        "score",
+        "feature",
+        bounded=small,
     )
 
 
-def bh_adjust(df: DataFrame, keys: list[str], p: str = "p", name: str = "q") -> DataFrame:
+def bh_adjust(
+    df: DataFrame, keys: list[str], p: str = "p", name: str = "q", bounded: bool = False
+) -> DataFrame:
     """Benjamini-Hochberg; NULL p stays NULL and does not count.
 
     Works on distinct p-values: with c(p) values at or below p and n in all, the adjusted value is
@@ -85,7 +93,7 @@ def bh_adjust(df: DataFrame, keys: list[str], p: str = "p", name: str = "q") ->
         F.count(F.lit(1)).alias("_ties")
     )
     sizes = df.groupBy(*keys).agg(F.count(p).alias("_m"))
-    cuts = order_cuts(distinct, p, None)
+    cuts = [] if bounded else order_cuts(distinct, p, None)
     steps = running(distinct, keys, p, ["_ties"], cuts=cuts).join(sizes, keys)
     steps = steps.withColumn(
         "_raw", F.col(p) * F.col("_m") / (F.col("before__ties") + F.col("_ties"))
@@ -127,10 +135,16 @@ def univariate_auc_rank(df: DataFrame, keys: list[str]) -> DataFrame:
     return numbered(scored, keys, "score", "feature")
 
 
-def equal_bins(df: DataFrame, keys: list[str], value: str, tie: str, bins: int) -> DataFrame:
-    """Equal-frequency bin 1..bins; the first n mod bins bins hold one row more."""
+def equal_bins(
+    df: DataFrame, keys: list[str], value: str, tie: str, bins: int, min_rows: int = 1
+) -> DataFrame:
+    """Equal-frequency bin 1..bins; the first n mod bins bins hold one row more.
+
+    Fewer bins are used where a bin would have under ``min_rows`` rows.
+    """
     placed = numbered(df, keys, value, tie, "_rn", descending=False)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bins = F.greatest(F.least(F.lit(bins), F.floor(F.col("_n") / min_rows)), F.lit(1))
     small = F.floor(F.col("_n") / bins)
     extra = F.col("_n") % bins
     big_rows = extra * (small + 1)
@@ -165,10 +179,12 @@ def mutual_information(
     return mi.groupBy(*keys, "feature").agg(F.avg("mi").alias("mi")) if resample else mi
 
 
-def percentile01(df: DataFrame, keys: list[str], value: str, name: str = "pct") -> DataFrame:
+def percentile01(
+    df: DataFrame, keys: list[str], value: str, name: str = "pct", bounded: bool = False
+) -> DataFrame:
     """(average rank - 1) / (n - 1); 0 in a group of one."""
     sizes = df.groupBy(*keys).agg(F.count(value).alias("_m"))
-    ranked = average_ranks(df, keys, value, "_r").join(sizes, keys)
+    ranked = average_ranks(df, keys, value, "_r", bounded=bounded).join(sizes, keys)
     return ranked.withColumn(
         name,
         F.when(
