@@ -1,3 +1,15 @@
 """Imports every catalog module, which registers its queries."""
 
-from catalog import enrichment, evidence, folds, inference, metrics, preparation, quality, ranking, scores, stability  # noqa: F401
+from catalog import (  # noqa: F401
+    enrichment,
+    evidence,
+    folds,
+    inference,
+    metrics,
+    preparation,
+    quality,
+    ranking,
+    scores,
+    stability,
+    studies,
+)
