@@ -1,6 +1,7 @@
 """Imports every catalog module, which registers its queries."""
 
 from catalog import (  # noqa: F401
+    correlation,
     enrichment,
     evidence,
     folds,
@@ -10,6 +11,7 @@ from catalog import (  # noqa: F401
     quality,
     ranking,
     scores,
+    sources,
     stability,
     studies,
 )
