@@ -7,6 +7,7 @@ from catalog import (  # noqa: F401
     folds,
     inference,
     metrics,
+    models,
     preparation,
     quality,
     ranking,
