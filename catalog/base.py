@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.ordering import fits_one_task
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 MODULES: dict[str, str] = {}
@@ -24,6 +26,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def fits(self, table: str, factor: int = 1) -> bool:
+        """Whether ``factor`` rows per row of a table are few enough for one task.
+
+        The row count comes from the Parquet footers.
+        """
+        return fits_one_task(getattr(self, table), factor)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

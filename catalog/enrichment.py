@@ -269,7 +269,8 @@ def empirical_medians(t):
 )
 def depth_calibrate(t):
     q = part_scores(t).where("method = 'quantity'").withColumnRenamed("score", "depth")
-    return en.depth_calibrate(q.drop("method").join(feature_scores(t), "feature"), SPLIT)
+    scored = q.drop("method").join(feature_scores(t), "feature")
+    return en.depth_calibrate(scored, SPLIT, bounded=t.fits("lineitem"))
 
 
 GE = (
@@ -410,7 +411,7 @@ MAP = "CASE method WHEN 'm1' THEN 'revenue' WHEN 'm2' THEN 'price' WHEN 'm3' THE
 )
 def axis_prediction_corr(t):
     e = evaluations(t).withColumn("method", F.expr(MAP))
-    return en.axis_prediction_corr(axes(t), e, ["dataset"])
+    return en.axis_prediction_corr(axes(t), e, ["dataset"], t.fits("lineitem"))
 
 
 @query(

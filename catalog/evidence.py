@@ -64,7 +64,9 @@ def oob(t):
 def fits(t):
     base = coefs(t).select("dataset", "resample_id").distinct().withColumn("intercept", F.lit(0.1))
     eta = ev.linear_predictor(features(t), coefs(t), base, oob(t), K)
-    auc = auc_score(eta, ["dataset", "resample_id"], score="eta")
+    auc = auc_score(
+        eta, ["dataset", "resample_id"], score="eta", bounded=t.fits("embeddings", 4)
+    )
     return base.join(auc.select("dataset", "resample_id", F.col("auc").alias("oob_auc")), ["dataset", "resample_id"])
 
 
@@ -93,7 +95,8 @@ def selection_frequency(t):
     SELECT *, mean_abs * pow(frequency, 0.25) AS score FROM frequency)""",
 )
 def prediction_first_score(t):
-    return ev.prediction_first_score(ev.selection_frequency(coefs(t), K, 4), K)
+    f = ev.selection_frequency(coefs(t), K, 4)
+    return ev.prediction_first_score(f, K, bounded=t.fits("embeddings", 64))
 
 
 cte(
@@ -227,7 +230,7 @@ def loo_exceedance(t):
       JOIN (SELECT dataset, feature, -2 * (ln(e_pi) + ln(e_u)) AS t_null FROM loo) n USING (dataset, feature) GROUP BY 1, 2, 3, 4)""",
 )
 def joint_null(t):
-    return ev.joint_null(observed(t), nulls(t), K)
+    return ev.joint_null(observed(t), nulls(t), K, t.fits("embeddings", 64))
 
 
 @query(
@@ -252,6 +255,10 @@ def panel_membership(t):
     return ev.panel_membership(nulls(t), K, "perm_id", 10, "pi")
 
 
+def epsilon(t, obs):
+    return ev.utility_epsilon(obs, K, bounded=t.fits("embeddings", 64))
+
+
 cte("eps", "SELECT dataset, quantile_cont(u, 0.95) AS eps FROM obs_stats WHERE u > 0 GROUP BY 1", "obs_stats")
 
 
@@ -279,7 +286,7 @@ def evidence_ratio_frequency(t):
 )
 def evidence_ratio_utility(t):
     o = observed(t)
-    return ev.evidence_ratio(o, nulls(t), K, "u", ev.utility_epsilon(o, K))
+    return ev.evidence_ratio(o, nulls(t), K, "u", epsilon(t, o))
 
 
 cte(
@@ -297,7 +304,7 @@ cte(
     with_("lopo") + "SELECT * FROM lopo",
 )
 def lopo_ratio(t):
-    return ev.lopo_ratio(nulls(t), K, "u", ev.utility_epsilon(observed(t), K))
+    return ev.lopo_ratio(nulls(t), K, "u", epsilon(t, observed(t)))
 
 
 @query(
@@ -311,7 +318,7 @@ def lopo_ratio(t):
     avg(CAST(l >= 4 - 0.000000001 AS INT)) AS share_at_ceiling FROM lopo GROUP BY 1""",
 )
 def lopo_summary(t):
-    r = ev.lopo_ratio(nulls(t), K, "u", ev.utility_epsilon(observed(t), K))
+    r = ev.lopo_ratio(nulls(t), K, "u", epsilon(t, observed(t)))
     return ev.ratio_summary(r, K)
 
 
@@ -334,7 +341,9 @@ cte(
 
 def gene_level(t):
     o = observed(t)
-    return ev.null_gene_level(o, nulls(t), K, "u", ev.utility_epsilon(o, K))
+    return ev.null_gene_level(
+        o, nulls(t), K, "u", epsilon(t, o), bounded=t.fits("embeddings", 64)
+    )
 
 
 @query(
@@ -400,7 +409,7 @@ def null_floor_summary(t):
 )
 def eps_sensitivity(t):
     o = observed(t)
-    return ev.eps_sensitivity(o, nulls(t), K, "u", ev.utility_epsilon(o, K))
+    return ev.eps_sensitivity(o, nulls(t), K, "u", epsilon(t, o))
 
 
 @query(
@@ -414,7 +423,7 @@ def eps_sensitivity(t):
       FROM lopo GROUP BY 1, 2) GROUP BY 1) USING (dataset)""",
 )
 def variance_split(t):
-    return ev.variance_split(nulls(t), K, "u", ev.utility_epsilon(observed(t), K))
+    return ev.variance_split(nulls(t), K, "u", epsilon(t, observed(t)))
 
 
 cte(
@@ -432,7 +441,7 @@ cte(
     with_("instances") + "SELECT * FROM instances",
 )
 def instance_frequency(t):
-    return ev.instance_frequency(features(t), K)
+    return ev.instance_frequency(features(t), K, t.fits("embeddings", 64))
 
 
 cte(
@@ -451,7 +460,8 @@ cte(
     with_("utility_pct") + "SELECT * FROM utility_pct",
 )
 def utility_score(t):
-    return ev.utility_score(ev.instance_frequency(features(t), K), mi_table(t), K)
+    small = t.fits("embeddings", 64)
+    return ev.utility_score(ev.instance_frequency(features(t), K, small), mi_table(t), K, small)
 
 
 @query(
@@ -478,7 +488,8 @@ def combine_scores(t):
 def component_rankings(t):
     f = ev.selection_frequency(coefs(t), K, 4).withColumn("mean_abs", F.round("mean_abs", 9))
     s = observed(t).join(f, ["dataset", "feature"])
-    return ev.component_rankings(s, K, {"utility": ("u", "pi"), "frequency": ("frequency", "mean_abs")})
+    columns = {"utility": ("u", "pi"), "frequency": ("frequency", "mean_abs")}
+    return ev.component_rankings(s, K, columns, t.fits("embeddings", 64))
 
 
 # --- set tests -----------------------------------------------------------------------------------

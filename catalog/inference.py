@@ -28,7 +28,7 @@ def describe_groups(t):
     e = evaluations(t).withColumn(
         "x", F.try_divide("auc", F.col("auc") - 0.5)
     ).withColumn("x", F.coalesce("x", F.lit(float("inf"))))
-    return inf.describe_groups(e, DM, "x")
+    return inf.describe_groups(e, DM, "x", t.fits("lineitem"))
 
 
 def deltas(t):
@@ -142,12 +142,12 @@ def rounded_deltas(t):
       GROUP BY 1, 2) USING (dataset, method))""",
 )
 def wilcoxon_signed_rank(t):
-    return inf.wilcoxon_signed_rank(rounded_deltas(t), DM, "d")
+    return inf.wilcoxon_signed_rank(rounded_deltas(t), DM, "d", t.fits("lineitem"))
 
 
 @query("wilcoxon_adjusted", "dataset:s method:s k:i z:e p:e q:e")
 def wilcoxon_adjusted(t):
-    w = inf.wilcoxon_signed_rank(rounded_deltas(t), [*DM, "k"], "d")
+    w = inf.wilcoxon_signed_rank(rounded_deltas(t), [*DM, "k"], "d", t.fits("lineitem"))
     return inf.adjust_within(w, ["dataset", "k"])
 
 
@@ -295,7 +295,7 @@ def runs(t):
     avg(CAST(fallback AS INT)) AS fallback_share FROM runs GROUP BY 1, 2""",
 )
 def run_stats(t):
-    return inf.run_stats(runs(t), DM)
+    return inf.run_stats(runs(t), DM, t.fits("lineitem"))
 
 
 @query(

@@ -80,7 +80,7 @@ def threshold_metrics_null(t):
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1""",
 )
 def average_precision(t):
-    return me.average_precision(scored_docs(t), ["dataset"])
+    return me.average_precision(scored_docs(t), ["dataset"], bounded=t.fits("labels"))
 
 
 @query(
@@ -112,7 +112,7 @@ cte(
       FROM scored_cells) GROUP BY 1, 2""",
 )
 def auc_by_cell(t):
-    return auc_score(cells(t), ["dataset", "repeat_idx"])
+    return auc_score(cells(t), ["dataset", "repeat_idx"], bounded=t.fits("labels"))
 
 
 def cells(t):

@@ -238,7 +238,7 @@ cte(
 def make_pools(t):
     f = features(t)
     annotated = f.where(F.substring("feature", -1, 1).isin("1", "5")).select("feature")
-    return pr.make_pools(f, cv(t), SPLIT, annotated, 20)
+    return pr.make_pools(f, cv(t), SPLIT, annotated, 20, t.fits("embeddings", 64 * 10))
 
 
 cte(

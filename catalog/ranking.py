@@ -76,7 +76,7 @@ def short_rankings(t):
     FROM (SELECT *, (whole + CAST(missing * pos AS DOUBLE) / (n + 1)) / lists AS mean_rank FROM x)""",
 )
 def rank_average(t):
-    return ra.rank_average(short_rankings(t), pools(t), SPLIT)
+    return ra.rank_average(short_rankings(t), pools(t), SPLIT, bounded=t.fits("lineitem"))
 
 
 @query(
@@ -113,7 +113,11 @@ cte(
 )
 def consensus_rank(t):
     return ra.consensus_rank(
-        rankings(t), ["dataset", "method"], ["repeat_idx", "fold_idx"], feature_scores(t)
+        rankings(t),
+        ["dataset", "method"],
+        ["repeat_idx", "fold_idx"],
+        feature_scores(t),
+        t.fits("lineitem", 4),
     )
 
 
@@ -143,6 +147,7 @@ def lock_panels(t):
         feature_scores(t),
         0.75,
         {"source": "ranked lines"},
+        t.fits("lineitem", 4),
     )
 
 
@@ -170,7 +175,7 @@ def set_z(t):
         SELECT feature, max(z) AS best_z FROM feature_sets JOIN set_z USING (set_id) GROUP BY 1) b USING (feature))""",
 )
 def soft_prior(t):
-    return ra.soft_prior(rankings(t), feature_sets(t), set_z(t), 0.5, RK)
+    return ra.soft_prior(rankings(t), feature_sets(t), set_z(t), 0.5, RK, t.fits("lineitem", 4))
 
 
 cte(
@@ -195,7 +200,7 @@ def gated_ranking(t):
     r = rankings(t)
     tail = F.substring("feature", -2, 2).isin("11", "37")
     c = r.where(F.when(F.col("fold_idx") == 1, tail).otherwise(F.substring("feature", -4, 4) == "0011"))
-    return ra.gated_ranking(r, c, RK)
+    return ra.gated_ranking(r, c, RK, bounded=t.fits("lineitem", 4))
 
 
 @query(

@@ -128,7 +128,7 @@ cte(
 def bh_adjust(t):
     p = part_scores(t).where("method = 'revenue'")
     p = p.withColumn("p", F.round(1.0 / (1 + F.col("score") % 997), 9))
-    return sc.bh_adjust(p, SPLIT, "p", "q")
+    return sc.bh_adjust(p, SPLIT, "p", "q", t.fits("lineitem"))
 
 
 @query(
@@ -137,7 +137,7 @@ def bh_adjust(t):
     with_("scored_docs") + auc_sql("scored_docs", "dataset", "score"),
 )
 def auc_score(t):
-    return sc.auc_score(scored_docs(t), ["dataset"])
+    return sc.auc_score(scored_docs(t), ["dataset"], bounded=t.fits("labels"))
 
 
 @query(
@@ -146,7 +146,9 @@ def auc_score(t):
     with_("line_values") + auc_sql("line_values", "dataset, feature", "value"),
 )
 def auc_score_hot_features(t):
-    return sc.auc_score(line_values(t), ["dataset", "feature"], score="value")
+    return sc.auc_score(
+        line_values(t), ["dataset", "feature"], score="value", bounded=t.fits("lineitem")
+    )
 
 
 @query(
@@ -157,7 +159,7 @@ def auc_score_hot_features(t):
     SELECT *, coalesce(abs(auc - 0.5), 0) AS score FROM ({auc_sql('features', 'dataset, feature', 'value')}))""",
 )
 def univariate_auc_rank(t):
-    return sc.univariate_auc_rank(labelled(t), ["dataset"])
+    return sc.univariate_auc_rank(labelled(t), ["dataset"], t.fits("embeddings", 64))
 
 
 cte(
@@ -193,7 +195,9 @@ def mi_table(t):
         .select("dataset", "sample_id", "resample_id", "label")
     )
     joined = features(t).join(train, ["dataset", "sample_id"])
-    return sc.mutual_information(joined, ["dataset"], 5, "resample_id")
+    return sc.mutual_information(
+        joined, ["dataset"], 5, "resample_id", t.fits("embeddings", 64 * 4)
+    )
 
 
 @query("mutual_information", "dataset:s feature:s mi:f", with_("mi") + "SELECT * FROM mi")
@@ -210,7 +214,9 @@ def mutual_information(t):
     count(*) OVER (PARTITION BY dataset, repeat_idx, fold_idx, method) AS m FROM part_scores)""",
 )
 def percentile01(t):
-    return sc.percentile01(part_scores(t), [*SPLIT, "method"], "score")
+    return sc.percentile01(
+        part_scores(t), [*SPLIT, "method"], "score", bounded=t.fits("lineitem", 4)
+    )
 
 
 @query(
@@ -234,7 +240,7 @@ def random_rank(t):
     SELECT dataset, feature, var_samp(value) AS score FROM line_values GROUP BY 1, 2) WHERE score > 0""",
 )
 def variance_rank(t):
-    return sc.variance_rank(line_values(t), ["dataset"])
+    return sc.variance_rank(line_values(t), ["dataset"], t.fits("lineitem"))
 
 
 @query(

@@ -240,7 +240,7 @@ def score_correlations(t):
         F.max(F.when(F.col("method") == "quantity", F.col("score"))).alias("x"),
         F.max(F.when(F.col("method") == "price", F.col("score"))).alias("y"),
     )
-    return st.correlations(wide, ["dataset", *SP], "x", "y")
+    return st.correlations(wide, ["dataset", *SP], "x", "y", t.fits("lineitem"))
 
 
 @query(

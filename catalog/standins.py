@@ -179,7 +179,9 @@ def part_scores(t: Tables) -> DataFrame:
 
 
 def rankings(t: Tables) -> DataFrame:
-    return numbered(part_scores(t), [*SPLIT, "method"], "score", "feature")
+    return numbered(
+        part_scores(t), [*SPLIT, "method"], "score", "feature", bounded=t.fits("lineitem", 4)
+    )
 
 
 cte(

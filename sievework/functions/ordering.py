@@ -22,9 +22,13 @@ from sievework.session import rows_per_task
 _SAMPLE_PER_SLICE = 60
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether all rows of the frame together are few enough for one task."""
-    return df.count() <= (limit or rows_per_task(df.sparkSession))
+def fits_one_task(df: DataFrame, factor: int = 1) -> bool:
+    """Whether ``factor`` times the rows of the frame are few enough for one task.
+
+    Operators count their own rows before they order them. A caller that knows a cheap upper bound
+    (the rows of a source table, say) checks it here once and passes ``bounded=True``.
+    """
+    return df.count() * factor <= rows_per_task(df.sparkSession)
 
 
 def order_cuts(
@@ -212,7 +216,7 @@ def average_ranks(
 
 
 def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool = False
 ) -> DataFrame:
     """Exact quantiles with linear interpolation (type 7) of groups of any size.
 
@@ -223,7 +227,7 @@ def group_quantiles(
         F.count(F.lit(1)).alias("_ties")
     )
     sizes = distinct.groupBy(*keys).agg(F.sum("_ties").alias("_n"))
-    placed = running(distinct, keys, value, ["_ties"]).join(sizes, keys)
+    placed = running(distinct, keys, value, ["_ties"], bounded=bounded).join(sizes, keys)
     before, upto = F.col("before__ties"), F.col("before__ties") + F.col("_ties")
     picks = []
     for name, p in probs.items():

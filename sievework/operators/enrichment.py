@@ -283,13 +283,14 @@ def depth_calibrate(
     min_bin: int = 20,
     eps: float = 0.01,
     width: float = 4,
+    bounded: bool = False,
 ) -> DataFrame:
     """Score over the mean score of features of similar ``depth``, log2-clipped.
 
     Bins hold equally many features by depth; there are fewer of them where one would have under
     ``min_bin`` features.
     """
-    binned = equal_bins(scores, keys, "depth", "feature", bins, min_bin)
+    binned = equal_bins(scores, keys, "depth", "feature", bins, min_bin, bounded)
     means = binned.groupBy(*keys, "bin").agg(F.avg("score").alias("bin_mean"))
     return binned.join(means, [*keys, "bin"]).withColumn(
         "ratio", clipped_ratio((F.col("score") + eps) / (F.col("bin_mean") + eps), width)
@@ -387,11 +388,13 @@ def axis_summary(long: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def axis_prediction_corr(long: DataFrame, evaluations: DataFrame, keys: list[str]) -> DataFrame:
+def axis_prediction_corr(
+    long: DataFrame, evaluations: DataFrame, keys: list[str], bounded: bool = False
+) -> DataFrame:
     """Spearman of enrichment and gain over random, per ``keys`` and axis."""
     cell = ["dataset", "repeat_idx", "fold_idx", "method", "k"]
     both = with_random(evaluations).join(long, cell)
-    return correlations(both, [*keys, "axis"], "enrichment", "delta")
+    return correlations(both, [*keys, "axis"], "enrichment", "delta", bounded)
 
 
 def axis_method_corr(summary: DataFrame, primary: DataFrame) -> DataFrame:

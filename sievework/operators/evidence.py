@@ -32,11 +32,11 @@ def selection_frequency(coefs: DataFrame, keys: list[str], resamples: int) -> Da
 
 
 def prediction_first_score(
-    frequency: DataFrame, keys: list[str], gamma: float = 0.25
+    frequency: DataFrame, keys: list[str], gamma: float = 0.25, bounded: bool = False
 ) -> DataFrame:
     """Mean absolute coefficient times frequency to the power gamma, ranked."""
     scored = frequency.withColumn("score", F.col("mean_abs") * F.pow("frequency", F.lit(gamma)))
-    return numbered(scored, keys, "score", "feature")
+    return numbered(scored, keys, "score", "feature", bounded=bounded)
 
 
 def linear_predictor(
@@ -135,7 +135,9 @@ def loo_exceedance(
     return out
 
 
-def joint_null(observed: DataFrame, nulls: DataFrame, keys: list[str]) -> DataFrame:
+def joint_null(
+    observed: DataFrame, nulls: DataFrame, keys: list[str], bounded: bool = False
+) -> DataFrame:
     """Fisher combination of both exceedances, judged against the same combination of the nulls.
 
     Ranked by p, then by larger pi. Every feature must have the same number of permutations.
@@ -154,7 +156,9 @@ def joint_null(observed: DataFrame, nulls: DataFrame, keys: list[str]) -> DataFr
             ).alias("p")
         )
     )
-    return numbered(p, keys, "p", "feature", descending=False, then=[F.col("pi").desc()])
+    return numbered(
+        p, keys, "p", "feature", descending=False, then=[F.col("pi").desc()], bounded=bounded
+    )
 
 
 def check_nulls(observed: DataFrame, nulls: DataFrame, keys: list[str], least: int = 20):
@@ -191,10 +195,12 @@ def panel_membership(fits: DataFrame, keys: list[str], refit: str, k: int, p: st
     )
 
 
-def utility_epsilon(observed: DataFrame, keys: list[str], stat: str = "u") -> DataFrame:
+def utility_epsilon(
+    observed: DataFrame, keys: list[str], stat: str = "u", bounded: bool = False
+) -> DataFrame:
     """95th percentile of the positive observed utilities, 1e-6 where there is none."""
     positive = observed.where(F.col(stat) > 0)
-    q = group_quantiles(positive, keys, stat, {"eps": 0.95})
+    q = group_quantiles(positive, keys, stat, {"eps": 0.95}, bounded)
     return (
         observed.select(*keys).distinct().join(q, keys, "left").withColumn(
             "eps", F.coalesce("eps", F.lit(1e-6))
@@ -263,6 +269,7 @@ def null_gene_level(
     stat: str,
     eps: DataFrame,
     floor: float = UTILITY_FLOOR,
+    bounded: bool = False,
 ) -> DataFrame:
     """Per feature: moments of its nulls, observed ratio, ranges under leave-one-permutation-out.
 
@@ -305,7 +312,7 @@ def null_gene_level(
     above = g.where(~F.col("at_floor"))
     n = above.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bins = (
-        average_ranks(above.select(*on, "obs"), keys, "obs", "_r")
+        average_ranks(above.select(*on, "obs"), keys, "obs", "_r", bounded=bounded)
         .join(n, keys)
         .select(*on, F.ceil(10 * F.col("_r") / F.col("_n")).cast("int").alias("obs_bin"))
     )
@@ -432,14 +439,17 @@ def variance_split(
     )
 
 
-def instance_frequency(contributions: DataFrame, keys: list[str]) -> DataFrame:
+def instance_frequency(
+    contributions: DataFrame, keys: list[str], bounded: bool = False
+) -> DataFrame:
     """Share of samples where a feature's contribution reaches the sample's upper quartile.
 
     The quartile is taken over the positive contributions of the sample; a sample without any
     counts for no feature.
     """
     on = [*keys, "sample_id"]
-    cut = group_quantiles(contributions.where("value > 0"), on, "value", {"cut": 0.75})
+    positive = contributions.where("value > 0")
+    cut = group_quantiles(positive, on, "value", {"cut": 0.75}, bounded)
     n = contributions.groupBy(*keys).agg(F.count_distinct("sample_id").alias("_n"))
     hits = (
         contributions.join(cut, on)
@@ -455,10 +465,12 @@ def instance_frequency(contributions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def utility_score(frequency: DataFrame, information: DataFrame, keys: list[str]) -> DataFrame:
+def utility_score(
+    frequency: DataFrame, information: DataFrame, keys: list[str], bounded: bool = False
+) -> DataFrame:
     """Percentile of the geometric mean of instance frequency and information percentiles."""
     both = frequency.join(information, [*keys, "feature"])
-    small = fits_one_task(frequency)  # one row per feature, like everything below
+    small = bounded or fits_one_task(frequency)  # one row per feature, like everything below
     a = percentile01(both, keys, "frequency", "_f", bounded=small)
     a = percentile01(a, keys, "mi", "_i", bounded=small)
     raw = F.round(F.sqrt(F.col("_f") * F.col("_i") + 1e-10), 12)
@@ -475,7 +487,10 @@ def combine_scores(df: DataFrame, weights: dict[str, float], name: str = "score"
 
 
 def component_rankings(
-    scores: DataFrame, keys: list[str], components: dict[str, tuple[str, str]]
+    scores: DataFrame,
+    keys: list[str],
+    components: dict[str, tuple[str, str]],
+    bounded: bool = False,
 ) -> DataFrame:
     """The same table ranked by each component: (main score, raw score) and the name on ties."""
     rows = scores.select(
@@ -494,7 +509,8 @@ def component_rankings(
             )
         ).alias("c"),
     ).select(*keys, "feature", "c.*")
-    return numbered(rows, [*keys, "method"], "score", "feature", then=[F.col("raw").desc_nulls_last()])
+    then = [F.col("raw").desc_nulls_last()]
+    return numbered(rows, [*keys, "method"], "score", "feature", then=then, bounded=bounded)
 
 
 def permutation_t(

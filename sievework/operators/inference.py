@@ -14,26 +14,26 @@ from sievework.functions.columns import (
     finite,
     hash_order,
     numbered_copies,
-    quartiles,
     safe_div,
     share,
 )
-from sievework.functions.ordering import average_ranks, numbered
+from sievework.functions.ordering import average_ranks, group_quantiles, numbered
 from sievework.functions.special import normal_two_sided, t_critical, t_pvalue
 from sievework.operators.metrics import PRIMARY_KS, with_random
 from sievework.operators.scores import bh_adjust
 from sievework.operators.stability import correlations
 
 
-def describe_groups(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, median, sd and quartiles of the finite values."""
+def describe_groups(
+    df: DataFrame, keys: list[str], value: str, bounded: bool = False
+) -> DataFrame:
+    """n, mean, median, sd and quartiles of the finite values of groups of any size."""
     clean = df.withColumn("_x", finite(F.col(value)))
-    return clean.groupBy(*keys).agg(
-        F.count("_x").alias("n"),
-        F.avg("_x").alias("mean"),
-        F.stddev_samp("_x").alias("sd"),
-        *quartiles("_x"),
+    moments = clean.groupBy(*keys).agg(
+        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd")
     )
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return moments.join(group_quantiles(clean, keys, "_x", probs, bounded), keys, "left")
 
 
 def _interval(df: DataFrame, level: float = 0.975) -> DataFrame:
@@ -148,10 +148,12 @@ def balanced_mean(df: DataFrame, keys: list[str], dataset: str, value: str) -> D
     return repeat_t_interval(df, keys, dataset, value).withColumnRenamed("n_repeats", "n_datasets")
 
 
-def wilcoxon_signed_rank(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
+def wilcoxon_signed_rank(
+    df: DataFrame, keys: list[str], diff: str, bounded: bool = False
+) -> DataFrame:
     """Signed-rank test: zeros dropped, average ranks, tie and continuity corrected normal p."""
     d = df.where((F.col(diff) != 0) & F.col(diff).isNotNull()).withColumn("_a", F.abs(diff))
-    ranked = average_ranks(d, keys, "_a", "_r")
+    ranked = average_ranks(d, keys, "_a", "_r", bounded=bounded)
     ties = (
         d.groupBy(*keys, "_a")
         .agg(F.count(F.lit(1)).alias("t"))
@@ -303,14 +305,15 @@ def adaptive_vs_fixed(adaptive: DataFrame, evaluations: DataFrame, k: int) -> Da
     )
 
 
-def run_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
+def run_stats(runs: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
     """Run seconds (quartiles, total) and the share of fallbacks."""
-    return runs.groupBy(*keys).agg(
+    totals = runs.groupBy(*keys).agg(
         F.count("seconds").alias("n_runs"),
-        *quartiles("seconds", "seconds_"),
         F.sum("seconds").alias("total_seconds"),
         share(F.col("fallback")).alias("fallback_share"),
     )
+    probs = {"seconds_q1": 0.25, "seconds_median": 0.5, "seconds_q3": 0.75}
+    return totals.join(group_quantiles(runs, keys, "seconds", probs, bounded), keys, "left")
 
 
 def choice_shares(runs: DataFrame, keys: list[str], choice: str) -> DataFrame:

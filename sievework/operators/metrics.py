@@ -43,10 +43,14 @@ def threshold_metrics(
 
 
 def average_precision(
-    df: DataFrame, keys: list[str], score: str = "score", tie: str = "sample_id"
+    df: DataFrame,
+    keys: list[str],
+    score: str = "score",
+    tie: str = "sample_id",
+    bounded: bool = False,
 ) -> DataFrame:
     """Mean precision at the positives in descending score order; NULL without positives."""
-    ordered = numbered(df, keys, score, tie, "_at", cumulate="label")
+    ordered = numbered(df, keys, score, tie, "_at", cumulate="label", bounded=bounded)
     return ordered.groupBy(*keys).agg(
         F.avg(F.when(F.col("label") == 1, F.col("cum_label") / F.col("_at"))).alias(
             "average_precision"

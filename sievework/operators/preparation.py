@@ -239,12 +239,17 @@ def train_variance(features: DataFrame, folds: DataFrame, split: list[str]) -> D
 
 
 def make_pools(
-    features: DataFrame, folds: DataFrame, split: list[str], annotated: DataFrame, top: int = 2000
+    features: DataFrame,
+    folds: DataFrame,
+    split: list[str],
+    annotated: DataFrame,
+    top: int = 2000,
+    bounded: bool = False,
 ) -> DataFrame:
     """Three pools by training variance: ``variance`` (the top N), ``annotated`` (all annotated
     features that vary) and ``size_control`` (as many top features as there are annotated ones)."""
     v = train_variance(features, folds, split)
-    ranked = numbered(v, split, "variance", "feature", "position")
+    ranked = numbered(v, split, "variance", "feature", "position", bounded=bounded)
     marked = ranked.join(
         annotated.select("feature", F.lit(1).alias("_a")).distinct(), "feature", "left"
     )

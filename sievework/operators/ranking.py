@@ -11,11 +11,10 @@ from sievework.functions.columns import each, safe_div
 from sievework.functions.ordering import numbered
 
 
-def rerank(rankings: DataFrame, keys: list[str], tie: str = "feature") -> DataFrame:
+def rerank(rankings: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
     """Close the gaps of a ranking after rows were removed."""
-    return numbered(rankings.withColumnRenamed("rank", "_old"), keys, "_old", tie, "rank", False).drop(
-        "_old"
-    )
+    old = rankings.withColumnRenamed("rank", "_old")
+    return numbered(old, keys, "_old", "feature", "rank", False, bounded=bounded).drop("_old")
 
 
 def top_k(
@@ -53,14 +52,19 @@ def top_k(
 
 
 def rank_average(
-    rankings: DataFrame, pools: DataFrame, keys: list[str], lists: str = "method"
+    rankings: DataFrame,
+    pools: DataFrame,
+    keys: list[str],
+    lists: str = "method",
+    bounded: bool = False,
 ) -> DataFrame:
     """Mean rank over the lists of a group; ties keep the pool order (feature name).
 
     A feature missing in a list counts as that list's length plus its pool position / (n + 1).
     The sum over missing lists is had from the total of all lengths, so no grid is built.
     """
-    pool = numbered(pools.withColumn("_z", F.lit(0.0)), keys, "_z", "feature", "pos", False).drop("_z")
+    flat = pools.withColumn("_z", F.lit(0.0))
+    pool = numbered(flat, keys, "_z", "feature", "pos", False, bounded=bounded).drop("_z")
     n_pool = pools.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pool"))
     per_list = rankings.groupBy(*keys, lists).agg(F.max("rank").alias("len"))
     totals = per_list.groupBy(*keys).agg(
@@ -86,7 +90,9 @@ def rank_average(
             / F.col("n_lists"),
         )
     )
-    return numbered(scored, keys, "mean_rank", "feature", descending=False, then=[F.col("pos")])
+    return numbered(
+        scored, keys, "mean_rank", "feature", descending=False, then=[F.col("pos")], bounded=bounded
+    )
 
 
 def switch_ranking(panels: DataFrame, cut: int, small: str, large: str, name: str) -> DataFrame:
@@ -96,7 +102,11 @@ def switch_ranking(panels: DataFrame, cut: int, small: str, large: str, name: st
 
 
 def consensus_rank(
-    rankings: DataFrame, keys: list[str], lists: list[str], universe: DataFrame | None = None
+    rankings: DataFrame,
+    keys: list[str],
+    lists: list[str],
+    universe: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Mean reciprocal rank over all lists (absent = 0), then frequency, mean rank and name.
 
@@ -125,11 +135,17 @@ def consensus_rank(
         "mean_reciprocal_rank",
         "feature",
         then=[F.col("appearance_frequency").desc(), F.col("mean_observed_rank").asc()],
+        bounded=bounded,
     )
 
 
 def soft_prior(
-    rankings: DataFrame, feature_sets: DataFrame, z: DataFrame, w: float, keys: list[str]
+    rankings: DataFrame,
+    feature_sets: DataFrame,
+    z: DataFrame,
+    w: float,
+    keys: list[str],
+    bounded: bool = False,
 ) -> DataFrame:
     """Score times 1 + w * max(0, best z of the feature's sets); ties keep the input order."""
     best = (
@@ -143,11 +159,17 @@ def soft_prior(
         F.col("score") * (1 + F.lit(float(w)) * F.greatest(F.coalesce("best_z", F.lit(0.0)), F.lit(0.0))),
     )
     placed = boosted.withColumnRenamed("rank", "pos")
-    return numbered(placed, keys, "boosted", "feature", then=[F.col("pos").asc()])
+    return numbered(
+        placed, keys, "boosted", "feature", then=[F.col("pos").asc()], bounded=bounded
+    )
 
 
 def gated_ranking(
-    rankings: DataFrame, certified: DataFrame, keys: list[str], minimum: int = 10
+    rankings: DataFrame,
+    certified: DataFrame,
+    keys: list[str],
+    minimum: int = 10,
+    bounded: bool = False,
 ) -> DataFrame:
     """Keep certified features, unless a split has fewer than ``minimum`` of them.
 
@@ -162,7 +184,7 @@ def gated_ranking(
         .where("gate_fallback or _c")
         .drop("_c")
     )
-    return rerank(kept, keys)
+    return rerank(kept, keys, bounded)
 
 
 def prefilter_rank(
@@ -236,12 +258,13 @@ def lock_panels(
     universe: DataFrame,
     minimum_coverage: float,
     provenance: dict[str, str],
+    bounded: bool = False,
 ) -> DataFrame:
     """Consensus panels fixed for another dataset, with coverage there and provenance columns.
 
     A panel whose share of measurable features is under ``minimum_coverage`` is marked unusable.
     """
-    panels = top_k(consensus_rank(rankings, keys, lists), keys, ks)
+    panels = top_k(consensus_rank(rankings, keys, lists, bounded=bounded), keys, ks)
     marked = panels.join(
         universe.select("feature", F.lit(1).alias("_u")).distinct(), "feature", "left"
     )

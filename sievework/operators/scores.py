@@ -104,7 +104,11 @@ def bh_adjust(
 
 
 def auc_score(
-    df: DataFrame, keys: list[str], label: str = "label", score: str = "score"
+    df: DataFrame,
+    keys: list[str],
+    label: str = "label",
+    score: str = "score",
+    bounded: bool = False,
 ) -> DataFrame:
     """Rank-sum AUC with average ties and no automatic direction; NULL with one class only.
 
@@ -118,7 +122,7 @@ def auc_score(
             F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
         )
     )
-    ordered = running(per_score, keys, score, ["neg"])
+    ordered = running(per_score, keys, score, ["neg"], bounded=bounded)
     wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     return ordered.groupBy(*keys).agg(
         safe_div(wins, F.sum("pos") * F.sum("neg")).alias("auc"),
@@ -127,22 +131,28 @@ def auc_score(
     )
 
 
-def univariate_auc_rank(df: DataFrame, keys: list[str]) -> DataFrame:
+def univariate_auc_rank(df: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
     """Rank features by |AUC - 0.5|; a feature without an AUC scores 0."""
-    scored = auc_score(df, [*keys, "feature"], score="value").withColumn(
+    scored = auc_score(df, [*keys, "feature"], score="value", bounded=bounded).withColumn(
         "score", F.coalesce(F.abs(F.col("auc") - 0.5), F.lit(0.0))
     )
-    return numbered(scored, keys, "score", "feature")
+    return numbered(scored, keys, "score", "feature", bounded=bounded)
 
 
 def equal_bins(
-    df: DataFrame, keys: list[str], value: str, tie: str, bins: int, min_rows: int = 1
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    tie: str,
+    bins: int,
+    min_rows: int = 1,
+    bounded: bool = False,
 ) -> DataFrame:
     """Equal-frequency bin 1..bins; the first n mod bins bins hold one row more.
 
     Fewer bins are used where a bin would have under ``min_rows`` rows.
     """
-    placed = numbered(df, keys, value, tie, "_rn", descending=False)
+    placed = numbered(df, keys, value, tie, "_rn", descending=False, bounded=bounded)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bins = F.greatest(F.least(F.lit(bins), F.floor(F.col("_n") / min_rows)), F.lit(1))
     small = F.floor(F.col("_n") / bins)
@@ -161,11 +171,15 @@ def equal_bins(
 
 
 def mutual_information(
-    df: DataFrame, keys: list[str], bins: int = 5, resample: str | None = None
+    df: DataFrame,
+    keys: list[str],
+    bins: int = 5,
+    resample: str | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Plug-in mutual information (nats) of binned value and label, averaged over resamples."""
     group = [*keys, *([resample] if resample else []), "feature"]
-    binned = equal_bins(df, group, "value", "sample_id", bins)
+    binned = equal_bins(df, group, "value", "sample_id", bins, bounded=bounded)
     cells = binned.groupBy(*group, "bin", "label").agg(F.count(F.lit(1)).alias("c"))
     # at most 2 * bins rows per group from here on
     w = Window.partitionBy(*group)
@@ -201,9 +215,9 @@ def random_rank(features: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return dealt(hashed, keys, "_h", "rank").drop("_h")
 
 
-def variance_rank(df: DataFrame, keys: list[str]) -> DataFrame:
+def variance_rank(df: DataFrame, keys: list[str], bounded: bool = False) -> DataFrame:
     """Rank features by their sample variance; constant features are left out."""
     scored = (
         df.groupBy(*keys, "feature").agg(F.var_samp("value").alias("score")).where("score > 0")
     )
-    return numbered(scored, keys, "score", "feature")
+    return numbered(scored, keys, "score", "feature", bounded=bounded)

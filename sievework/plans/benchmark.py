@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import each
+from sievework.functions.ordering import fits_one_task
 from sievework.operators.folds import fold_roles, random_panels, repeated_cv
 from sievework.operators.metrics import delta_by_k
 from sievework.operators.preparation import standardise
@@ -21,7 +22,7 @@ from sievework.operators.scores import auc_score, pooled_t
 SPLIT = ["dataset", "repeat_idx", "fold_idx"]
 
 
-def train_scores(labelled: DataFrame, folds: DataFrame) -> DataFrame:
+def train_scores(labelled: DataFrame, folds: DataFrame, bounded: bool = False) -> DataFrame:
     """|t|, |AUC - .5| and the sign of the effect of every feature on the training samples.
 
     Scores are rounded so that equal effects tie in whatever order they were summed.
@@ -30,7 +31,7 @@ def train_scores(labelled: DataFrame, folds: DataFrame) -> DataFrame:
     rows = labelled.join(train, ["dataset", "sample_id"])
     key = [*SPLIT, "feature"]
     t = pooled_t(rows, key).select(*key, F.coalesce("t", F.lit(0.0)).alias("t"))
-    a = auc_score(rows, key, score="value").select(*key, "auc")
+    a = auc_score(rows, key, score="value", bounded=bounded).select(*key, "auc")
     return t.join(a, key).select(
         *key,
         F.signum("t").alias("sign"),
@@ -47,7 +48,7 @@ def train_rankings(scores: DataFrame, largest: int) -> DataFrame:
 
 
 def evaluate_panels_by_mean(
-    z_test: DataFrame, panels: DataFrame, keys: list[str]
+    z_test: DataFrame, panels: DataFrame, keys: list[str], bounded: bool = False
 ) -> DataFrame:
     """AUC of every panel on the test samples; the score is the mean of sign * z."""
     scored = (
@@ -55,7 +56,7 @@ def evaluate_panels_by_mean(
         .groupBy(*keys, "sample_id", "label")
         .agg(F.round(F.avg(F.col("sign") * F.col("value")), 9).alias("score"))
     )
-    return auc_score(scored, keys)
+    return auc_score(scored, keys, bounded=bounded)
 
 
 def benchmark(
@@ -71,20 +72,22 @@ def benchmark(
 
     Methods are the two rankings and ``Random``, the mean over matched random panels.
     """
+    few_cells = fits_one_task(labelled, k * repeats)
+    few_scores = fits_one_task(samples, repeats * len(ks) * (draws + 2))
     folds = fold_roles(repeated_cv(samples, k, repeats, seed), k).drop("fold")
     features = labelled.drop("label")
     z = standardise(features, folds, SPLIT).where("role = 'test'").drop("role")
     z = z.join(samples.select("dataset", "sample_id", "label"), ["dataset", "sample_id"])
-    scores = train_scores(labelled, folds)
+    scores = train_scores(labelled, folds, few_cells)
     ranked = train_rankings(scores, max(ks))
     panels = top_k(ranked, [*SPLIT, "method"], ks)
     key = [*SPLIT, "method", "k"]
-    real = evaluate_panels_by_mean(z, panels.select(*key, "feature", "sign"), key)
+    real = evaluate_panels_by_mean(z, panels.select(*key, "feature", "sign"), key, few_scores)
     pool = scores.select(*SPLIT, "feature", "sign")
     drawn = random_panels(pool.select(*SPLIT, "feature"), max(ks), draws, seed, SPLIT)
     drawn = each(drawn, "k", sorted(ks)).where("position <= k").join(pool, [*SPLIT, "feature"])
     rkey = [*SPLIT, "k", "draw_id"]
-    chance = evaluate_panels_by_mean(z, drawn.select(*rkey, "feature", "sign"), rkey)
+    chance = evaluate_panels_by_mean(z, drawn.select(*rkey, "feature", "sign"), rkey, few_scores)
     mean = chance.groupBy(*SPLIT, "k").agg(F.avg("auc").alias("auc"))
     return real.select(*key, "auc").unionByName(
         mean.withColumn("method", F.lit("Random")).select(*key, "auc")
