@@ -13,6 +13,7 @@ from sievework.operators import folds as fo
 from sievework.operators import models as mo
 from sievework.operators.preparation import standardise
 from sievework.operators.scores import univariate_auc_rank
+from sievework.session import cut_lineage
 
 
 def one_split(t):
@@ -20,7 +21,8 @@ def one_split(t):
     s = samples(t)
     roles = fo.fold_roles(fo.stratified_folds(s, 4, 42), 4).where("fold_idx = 1").drop("fold")
     z = standardise(features(t), roles, ["dataset", "fold_idx"])
-    return s, z.select("sample_id", "role", "feature", "value")
+    # every fit reads this split several times
+    return s, cut_lineage(z.select("sample_id", "role", "feature", "value"))
 
 
 def train_half(t):
@@ -54,7 +56,7 @@ def evaluate_panels(t):
     ranked = univariate_auc_rank(train.withColumn("dataset", F.lit("d")), ["dataset"])
     best = [r.feature for r in ranked.where("rank <= 10").orderBy("rank").collect()]
     return mo.evaluate_panels(
-        train, test, {("auc", 5): best[:5], ("auc", 10): best}, rounds=10, trees=50
+        train, test, {("auc", 5): best[:5], ("auc", 10): best}, rounds=5, trees=30, penalties=(0.05, 0.01)
     )
 
 

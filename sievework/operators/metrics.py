@@ -132,11 +132,9 @@ def recovery(
         .groupBy(*keys, "k")
         .agg(F.count("_true").alias("tp"), F.count(F.lit(1)).alias("n_selected"))
     )
-    # one-row totals, joined on a constant
-    n_true = truth.select("feature").distinct().agg(F.count(F.lit(1)).alias("n_true"))
-    n_all = universe.select("feature").distinct().agg(F.count(F.lit(1)).alias("n_universe"))
-    totals = n_true.withColumn("_one", F.lit(1)).join(n_all.withColumn("_one", F.lit(1)), "_one")
-    out = counts.withColumn("_one", F.lit(1)).join(totals, "_one").drop("_one")
+    out = counts.withColumn("n_true", F.lit(truth.select("feature").distinct().count())).withColumn(
+        "n_universe", F.lit(universe.select("feature").distinct().count())
+    )
     precision, recall = F.col("tp") / F.col("n_selected"), F.col("tp") / F.col("n_true")
     return (
         out.withColumn("precision", precision)

@@ -360,18 +360,20 @@ def validate_rankings(rankings: DataFrame, pools: DataFrame, keys: list[str], sp
 
     A rank is compared with the next one by a join, so a long ranking is spread over tasks.
     """
-    methods = rankings.select(*keys).distinct()
-    expected = methods.join(pools.select(*split, "feature"), split)
+    pool = pools.select(*split, "feature").distinct()
+    sizes = pool.groupBy(*split).agg(F.count(F.lit(1)).alias("_size"))
     seen = rankings.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("_n"))
     membership = (
-        expected.withColumn("_pool", F.lit(1))
-        .join(seen, [*keys, "feature"], "full")
+        seen.join(pool.withColumn("_pool", F.lit(1)), [*split, "feature"], "left")
         .groupBy(*keys)
         .agg(
-            F.count_if(F.col("_n").isNull()).alias("missing"),
+            F.count("_pool").alias("_inside"),
             F.count_if(F.col("_pool").isNull()).alias("outside_pool"),
-            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"),
+            F.sum(F.col("_n") - 1).alias("repeated"),
         )
+        .join(sizes, split)
+        .withColumn("missing", F.col("_size") - F.col("_inside"))
+        .drop("_size", "_inside")
     )
     here = rankings.select(*keys, "rank", F.col("score").alias("_s"))
     after = rankings.select(*keys, (F.col("rank") - 1).alias("rank"), F.col("score").alias("_next"))

@@ -1,7 +1,7 @@
 """Which ranking method beats matched random panels, and by how much?
 
-Folds, training scores, rankings, panels and random panels of the same pool are each one lazy
-DataFrame; a panel predicts by the mean of its sign-aligned z-scores.
+Rankings, panels and random panels of the same pool are each one lazy DataFrame over the split
+tables and the training scores; a panel predicts by the mean of its sign-aligned z-scores.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from sievework.operators.metrics import delta_by_k
 from sievework.operators.preparation import standardise
 from sievework.operators.ranking import top_k
 from sievework.operators.scores import auc_score, pooled_t
+from sievework.session import cut_lineage
 
 SPLIT = ["dataset", "repeat_idx", "fold_idx"]
 
@@ -74,11 +75,12 @@ def benchmark(
     """
     few_cells = fits_one_task(labelled, k * repeats)
     few_scores = fits_one_task(samples, repeats * len(ks) * (draws + 2))
-    folds = fold_roles(repeated_cv(samples, k, repeats, seed), k).drop("fold")
+    # split tables and training scores are read by every later step: computed once, kept on disk
+    folds = cut_lineage(fold_roles(repeated_cv(samples, k, repeats, seed), k).drop("fold"))
     features = labelled.drop("label")
     z = standardise(features, folds, SPLIT).where("role = 'test'").drop("role")
     z = z.join(samples.select("dataset", "sample_id", "label"), ["dataset", "sample_id"])
-    scores = train_scores(labelled, folds, few_cells)
+    scores = cut_lineage(train_scores(labelled, folds, few_cells))
     ranked = train_rankings(scores, max(ks))
     panels = top_k(ranked, [*SPLIT, "method"], ks)
     key = [*SPLIT, "method", "k"]

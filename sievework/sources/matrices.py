@@ -151,14 +151,12 @@ def read_per_sample_files(
 
 def uneven_features(features: DataFrame) -> DataFrame:
     """Features that are not in every sample, with the number of samples that have them."""
-    n = features.agg(F.count_distinct("sample_id").alias("n_samples")).withColumn("_one", F.lit(1))
+    n = features.select("sample_id").distinct().count()
     return (
         features.groupBy("feature")
         .agg(F.count_distinct("sample_id").alias("n_present"))
-        .withColumn("_one", F.lit(1))
-        .join(n, "_one")
+        .withColumn("n_samples", F.lit(n))
         .where("n_present < n_samples")
-        .drop("_one")
     )
 
 
