@@ -467,3 +467,52 @@ def cell_ranks(t):
 )
 def overall_cell_ranks(t):
     return en.overall_cell_ranks(en.cell_ranks(score_enriched(t), ["dataset", "k", "cutoff"]), ["cutoff"])
+
+
+cte(
+    "set_observed",
+    f"""SELECT p.*, coalesce(n, 0) AS n_pairs FROM (SELECT {SQ}, method, k, count(*) AS size,
+      count(*) FILTER (feature IN (SELECT feature FROM feature_sets)) AS annotated FROM small_panels GROUP BY {SQ}, method, k) p
+    LEFT JOIN (SELECT {SQ}, method, k, count(*) AS n FROM (
+      SELECT DISTINCT a.dataset, a.repeat_idx, a.fold_idx, a.method, a.k, a.feature AS x, b.feature AS y FROM small_panels a
+      JOIN small_panels b ON a.dataset = b.dataset AND a.repeat_idx = b.repeat_idx AND a.fold_idx = b.fold_idx
+        AND a.method = b.method AND a.k = b.k AND a.feature < b.feature
+      JOIN feature_sets s ON s.feature = a.feature JOIN feature_sets r ON r.feature = b.feature AND r.set_id = s.set_id)
+      GROUP BY ALL) q USING ({SQ}, method, k)""",
+    "small_panels",
+    "feature_sets",
+)
+cte(
+    "drawn_pairs",
+    f"""SELECT DISTINCT a.dataset, a.repeat_idx, a.fold_idx, a.draw_id, a.feature AS x, b.feature AS y,
+      greatest(a.position, b.position) AS level FROM positions a JOIN positions b ON a.dataset = b.dataset
+      AND a.repeat_idx = b.repeat_idx AND a.fold_idx = b.fold_idx AND a.draw_id = b.draw_id AND a.feature < b.feature
+    JOIN feature_sets s ON s.feature = a.feature JOIN feature_sets r ON r.feature = b.feature AND r.set_id = s.set_id""",
+    "positions",
+    "feature_sets",
+)
+cte(
+    "set_null",
+    f"""SELECT s.dataset, s.repeat_idx, s.fold_idx, s.size, s.draw_id, CAST(count(d.x) AS DOUBLE) AS x FROM (
+      SELECT DISTINCT {SQ}, size, draw_id FROM set_observed, range(1, {D + 1}) g(draw_id)) s LEFT JOIN drawn_pairs d
+      ON d.dataset = s.dataset AND d.repeat_idx = s.repeat_idx AND d.fold_idx = s.fold_idx AND d.draw_id = s.draw_id
+      AND d.level <= s.size GROUP BY ALL""",
+    "set_observed",
+    "drawn_pairs",
+)
+cte(
+    "set_enriched",
+    summary_sql("set_observed", "set_null", SQ + ", size", SQ + ", method, k, size, annotated, n_pairs", "n_pairs"),
+    "set_null",
+)
+
+
+@query(
+    "co_membership_enrichment",
+    OUT + "method:s k:i size:i annotated:i n_pairs:i expected:f ratio:f z:f p:f",
+    with_("set_enriched") + "SELECT * FROM set_enriched",
+)
+def co_membership_enrichment(t):
+    return en.co_membership_enrichment(
+        feature_sets(t), small_panels(t), pools(t), PK, SPLIT, 20, D, 9
+    )

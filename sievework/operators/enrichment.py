@@ -201,6 +201,55 @@ def edge_enrichment(
     return tested.unionByName(rest, allowMissingColumns=True)
 
 
+def co_membership_enrichment(
+    feature_sets: DataFrame,
+    panels: DataFrame,
+    pools: DataFrame,
+    keys: list[str],
+    split: list[str],
+    largest: int,
+    draws: int = 1000,
+    seed: int = 1,
+) -> DataFrame:
+    """Pairs of a panel that share a set against random panels of the same size and pool.
+
+    Also the number of annotated features. The pairs of the largest random panel serve all its
+    prefixes.
+    """
+    known = feature_sets.select("feature").distinct().withColumn("_k", F.lit(1))
+    observed = (
+        panels.select(*keys, "feature")
+        .join(known, "feature", "left")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("size"), F.count("_k").alias("annotated"))
+        .join(
+            co_membership_edges(feature_sets, panels, keys)
+            .groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n_pairs")),
+            keys,
+            "left",
+        )
+        .withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+    )
+    positions = random_panels(pools, largest, draws, seed, split)
+    drawn = [*split, "draw_id"]
+    pairs = co_membership_edges(feature_sets, positions, drawn)
+    p = positions.select(*drawn, "feature", "position")
+    level = (
+        pairs.join(p.withColumnRenamed("feature", "src").withColumnRenamed("position", "_a"), [*drawn, "src"])
+        .join(p.withColumnRenamed("feature", "dst").withColumnRenamed("position", "_b"), [*drawn, "dst"])
+        .groupBy(*drawn, F.greatest("_a", "_b").alias("level"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    null = (
+        level.join(_sizes(observed, split, "size"), split)
+        .where("level <= size")
+        .groupBy(*split, "size", "draw_id")
+        .agg(F.sum("n").cast("double").alias("value"))
+    )
+    return empirical_summary(observed, null, [*split, "size"], draws, "n_pairs")
+
+
 def cut_scores(scores: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
     """Scores at or above each cutoff, one copy per cutoff; lower ones are absent (0)."""
     return each(scores, "cutoff", [float(c) for c in cutoffs]).where("score >= cutoff")
