@@ -193,14 +193,14 @@ cte(
 )
 cte(
     "score_enriched",
-    f"""SELECT *, CAST(overlap AS DOUBLE) / pool_targets AS recall FROM ("""
+    f"""SELECT * EXCLUDE (pool_targets), coalesce(pool_targets, 0) AS pool_targets, CAST(overlap AS DOUBLE) / pool_targets AS recall FROM ("""
     + summary_sql(
         "observed_scores",
         "null_scores",
         SQ + ", size, cutoff",
         SQ + ", method, k, cutoff, observed, overlap",
     )
-    + f""") JOIN (SELECT {SQ}, cutoff, count(*) AS pool_targets FROM pools JOIN cuts USING (feature) GROUP BY ALL)
+    + f""") LEFT JOIN (SELECT {SQ}, cutoff, count(*) AS pool_targets FROM pools JOIN cuts USING (feature) GROUP BY ALL)
     USING ({SQ}, cutoff)""",
     "null_scores",
     "pools",

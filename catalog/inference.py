@@ -10,6 +10,7 @@ from catalog.ranking import adaptive_outcomes, panels
 from catalog.scores import avg_rank
 from catalog.stability import nogueira_sql
 from catalog.standins import cte, evaluations, feature_scores, part_scores, pools, with_
+from sievework.functions.special import t_quantile
 from sievework.operators import inference as inf
 from sievework.operators import metrics as me
 from sievework.operators import stability as st
@@ -31,6 +32,9 @@ def describe_groups(t):
     return inf.describe_groups(e, DM, "x", t.fits("lineitem"))
 
 
+T975 = ", ".join(f"({d}, {t_quantile(0.975, d)!r}::DOUBLE)" for d in range(1, 41))
+
+
 def deltas(t):
     return me.with_random(evaluations(t))
 
@@ -39,10 +43,10 @@ def deltas(t):
     "corrected_t_interval",
     "dataset:s method:s k:i n:i mean:f se:f df:i t:f low:f high:f",
     with_("with_random")
-    + """SELECT *, mean / se AS t, mean - c * se AS low, mean + c * se AS high FROM (
+    + f"""SELECT *, mean / se AS t, mean - c * se AS low, mean + c * se AS high FROM (
     SELECT dataset, method, k, count(*) AS n, count(*) - 1 AS df, avg(delta) AS mean,
       sqrt((1.0::DOUBLE / count(*) + 0.25) * var_samp(delta)) AS se FROM with_random GROUP BY 1, 2, 3)
-    LEFT JOIN (VALUES (27, 2.0518305164802833::DOUBLE), (26, 2.0555294386428713::DOUBLE)) g(df, c) USING (df)""",
+    LEFT JOIN (VALUES {T975}) g(df, c) USING (df)""",
 )
 def corrected_t_interval(t):
     return inf.corrected_t_interval(deltas(t), [*DM, "k"], "delta")

@@ -162,7 +162,7 @@ def _recovery(t):
     "recovery",
     "dataset:s repeat_idx:i fold_idx:i method:s k:i tp:i n_selected:i precision:f recall:f f1:f",
     with_("rankings")
-    + """SELECT *, CAST(tp AS DOUBLE) / n_selected AS precision, CAST(tp AS DOUBLE) / n_true AS recall,
+    + """SELECT *, CAST(tp AS DOUBLE) / n_selected AS precision, CAST(tp AS DOUBLE) / nullif(n_true, 0) AS recall,
       CASE WHEN tp > 0 THEN 2 * (CAST(tp AS DOUBLE) / n_selected) * (CAST(tp AS DOUBLE) / n_true)
         / (CAST(tp AS DOUBLE) / n_selected + CAST(tp AS DOUBLE) / n_true) ELSE 0 END AS f1 FROM (
       SELECT dataset, repeat_idx, fold_idx, method, k, count(*) AS n_selected,

@@ -217,10 +217,10 @@ def unmapped_outcomes(t):
     "check_class_counts",
     "dataset:s label:i expected:i observed:i matches:b small_minority:b",
     """SELECT *, observed = expected AS matches, min(observed) OVER (PARTITION BY dataset) < 20 AS small_minority FROM (
-    SELECT lang AS dataset, label, expected, observed FROM (SELECT lang, quality AS label, count(*) AS observed
-      FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
-    JOIN (SELECT lang, toxic AS label, count(*) AS expected FROM labels JOIN documents USING (doc_id)
-      GROUP BY 1, 2) USING (lang, label))""",
+    SELECT lang AS dataset, label, expected, coalesce(observed, 0) AS observed FROM (
+      SELECT lang, toxic AS label, count(*) AS expected FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
+    LEFT JOIN (SELECT lang, quality AS label, count(*) AS observed
+      FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2) USING (lang, label))""",
 )
 def check_class_counts(t):
     d = t.labels.join(t.documents.select("doc_id", F.col("lang").alias("dataset")), "doc_id")

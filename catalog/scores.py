@@ -25,8 +25,8 @@ def avg_rank(keys: str, value: str, desc: bool = False) -> str:
     """SQL of the average-tie rank."""
     o = f"{value} DESC" if desc else value
     return (
-        f"(rank() OVER (PARTITION BY {keys} ORDER BY {o}) + "
-        f"(count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0::DOUBLE)"
+        f"(CASE WHEN {value} IS NOT NULL THEN rank() OVER (PARTITION BY {keys} ORDER BY {o}) + "
+        f"(count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0::DOUBLE END)"
     )
 
 

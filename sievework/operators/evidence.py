@@ -236,7 +236,7 @@ def lopo_ratio(
     """Each permutation against the mean of the other permutations of its feature."""
     w = Window.partitionBy(*keys, "feature")
     n = nulls.join(eps, keys) if isinstance(eps, DataFrame) else nulls.withColumn("eps", F.lit(eps))
-    others = (F.sum(stat).over(w) - F.col(stat)) / (F.count(stat).over(w) - 1)
+    others = safe_div(F.sum(stat).over(w) - F.col(stat), F.count(stat).over(w) - 1)
     return n.withColumn("_others", others).withColumn(
         "ratio",
         clipped_ratio((F.col(stat) + F.col("eps")) / (F.col("_others") + F.col("eps")), width),
@@ -280,7 +280,7 @@ def null_gene_level(
         observed.select(*on, F.col(stat).alias("obs")), on
     ).join(eps, keys)
     w = Window.partitionBy(*on)
-    others = (F.sum("_x").over(w) - F.col("_x")) / (F.count("_x").over(w) - 1)
+    others = safe_div(F.sum("_x").over(w) - F.col("_x"), F.count("_x").over(w) - 1)
     x = x.withColumn("_others", others)
     e = F.col("eps")
     x = x.withColumn("_lopo", clipped_ratio((F.col("_x") + e) / (F.col("_others") + e), 4)).withColumn(
@@ -536,9 +536,9 @@ def permutation_t(
         .groupBy(*keys, "perm_id", "feature")
         .agg(F.sum("value").alias("s1"))
     )
-    n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
+    n1, n0 = F.nullif("n1", F.lit(0)), F.nullif(F.col("n") - F.col("n1"), F.lit(0))
     m1, m0 = F.col("s1") / n1, (F.col("s") - F.col("s1")) / n0
-    pooled = (F.col("q") - n1 * m1 * m1 - n0 * m0 * m0) / (F.col("n") - 2)
+    pooled = (F.col("q") - n1 * m1 * m1 - n0 * m0 * m0) / F.nullif(F.col("n") - 2, F.lit(0))
     return (
         sums.join(totals, [*keys, "feature"])
         .join(n, keys)

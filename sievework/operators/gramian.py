@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from sievework.functions.columns import safe_div
 from sievework.session import cut_lineage
 
 MAX_FEATURES = 5000
@@ -96,7 +97,8 @@ def correlation_edges(
     other = rows.select(
         *keys, F.col("i").alias("j"), s.alias("s_j"), (own - s * s / n).alias("ss_j")
     )
-    r = (F.col("xy") - F.col("s") * F.col("s_j") / F.col("n")) / F.sqrt(F.col("ss") * F.col("ss_j"))
+    joint = F.col("xy") - F.col("s") * F.col("s_j") / F.col("n")
+    r = safe_div(joint, F.sqrt(F.greatest(F.col("ss") * F.col("ss_j"), F.lit(0.0))))
     eps = 1e-12
     pairs = (
         moments.join(other, [*keys, "j"])

@@ -57,7 +57,7 @@ def corrected_t_interval(
     base = df.groupBy(*keys).agg(
         n.alias("n"),
         F.avg(value).alias("mean"),
-        F.sqrt((1 / n + test_over_train) * F.var_samp(value)).alias("se"),
+        F.sqrt((safe_div(F.lit(1.0), n) + test_over_train) * F.var_samp(value)).alias("se"),
         (n - 1).alias("df"),
     )
     return _interval(base)
@@ -102,7 +102,7 @@ def bootstrap_means(
     return (
         picks.join(indexed.drop("_r"), [*keys, "_i"])
         .groupBy(*keys, "replicate")
-        .agg((F.sum("_s") / F.sum("_c")).alias("boot_mean"))
+        .agg(safe_div(F.sum("_s"), F.sum("_c")).alias("boot_mean"))
     )
 
 

@@ -135,14 +135,17 @@ def recovery(
     out = counts.withColumn("n_true", F.lit(truth.select("feature").distinct().count())).withColumn(
         "n_universe", F.lit(universe.select("feature").distinct().count())
     )
-    precision, recall = F.col("tp") / F.col("n_selected"), F.col("tp") / F.col("n_true")
+    precision = F.col("tp") / F.col("n_selected")
+    recall = safe_div(F.col("tp"), F.col("n_true"))
     return (
         out.withColumn("precision", precision)
         .withColumn("recall", recall)
         .withColumn("f1", safe_div(2 * precision * recall, precision + recall, F.lit(0.0)))
         .withColumn(
             "p",
-            binomial_upper(F.col("tp"), F.col("n_selected"), F.col("n_true") / F.col("n_universe")),
+            binomial_upper(
+                F.col("tp"), F.col("n_selected"), safe_div(F.col("n_true"), F.col("n_universe"))
+            ),
         )
     )
 

@@ -34,7 +34,7 @@ def pooled_t(df: DataFrame, keys: list[str]) -> DataFrame:
     """Equal-variance two-sample t; NULL where the pooled variance is zero."""
     s = class_stats(df, keys)
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (
-        F.col("n1") + F.col("n0") - 2
+        F.nullif(F.col("n1") + F.col("n0") - 2, F.lit(0))
     )
     return s.withColumn(
         "t",
