@@ -236,7 +236,12 @@ def joint_null(t):
 @query(
     "check_nulls",
     "dataset:s n_perm:i unpaired:i uneven:i coarse:b",
-    """SELECT 'emb' AS dataset, 20 AS n_perm, 1 AS unpaired, 1 AS uneven, false AS coarse FROM embeddings LIMIT 1""",
+    with_("null_stats", "obs_stats")
+    + """, n AS (SELECT dataset, feature, count(DISTINCT perm_id) AS m FROM null_stats WHERE feature != 'f01' OR perm_id != 3
+      GROUP BY 1, 2), o AS (SELECT dataset, feature, 1 AS seen FROM obs_stats WHERE feature != 'f00')
+    SELECT dataset, (SELECT max(m) FROM n) AS n_perm, count(*) FILTER (seen IS NULL OR m IS NULL) AS unpaired,
+      count(*) FILTER (m != (SELECT max(m) FROM n)) AS uneven, (SELECT max(m) FROM n) < 20 AS coarse
+    FROM n FULL JOIN o USING (dataset, feature) GROUP BY 1""",
 )
 def check_nulls(t):
     o = observed(t).where("feature != 'f00'")

@@ -63,13 +63,13 @@ def corrected_t_adjusted(t):
     "repeat_t_interval",
     "dataset:s method:s n_repeats:i mean:f se:f t:f low:f high:f",
     with_("with_random")
-    + """SELECT *, mean / se AS t, mean - 2.4469118511449786 * se AS low, mean + 2.4469118511449786 * se AS high FROM (
+    + f"""SELECT *, mean / se AS t, mean - c * se AS low, mean + c * se AS high FROM (
     SELECT dataset, method, count(*) AS n_repeats, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) AS se FROM (
-      SELECT dataset, method, repeat_idx, avg(delta) AS m FROM with_random WHERE repeat_idx < 2002 GROUP BY 1, 2, 3)
-    GROUP BY 1, 2)""",
+      SELECT dataset, method, repeat_idx, avg(delta) AS m FROM with_random GROUP BY 1, 2, 3)
+    GROUP BY 1, 2) LEFT JOIN (VALUES {T975}) g(df, c) ON df = n_repeats - 1""",
 )
 def repeat_t_interval(t):
-    return inf.repeat_t_interval(deltas(t).where("repeat_idx < 2002"), DM, "repeat_idx", "delta")
+    return inf.repeat_t_interval(deltas(t), DM, "repeat_idx", "delta")
 
 
 def boot_cte(keys: str, source: str, b: int, seed: int) -> str:

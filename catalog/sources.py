@@ -165,7 +165,7 @@ def read_annotation(t):
         F.lit(2).alias("o"),
         F.concat_ws("\t", F.concat(F.lit("p"), "p_partkey"), "p_type", symbol).alias("value"),
     )
-    top = t.part.limit(1).select(
+    top = t.part.agg(F.count(F.lit(1))).select(
         F.posexplode(F.array(F.lit("#comment\tline"), F.lit("ID\tTitle\tGene Symbol"))).alias("o", "value")
     )
     path = place(t, "annotation")

@@ -59,13 +59,12 @@ def pool_similarity(t):
     "common_pool",
     "dataset:s feature:s n_available:i",
     with_("pools")
-    + """SELECT dataset, feature, n_available FROM (SELECT dataset, feature, count(*) AS n_available
-    FROM pools WHERE repeat_idx < 1998 GROUP BY 1, 2) JOIN (
-    SELECT dataset, count(DISTINCT repeat_idx * 10 + fold_idx) AS n
-    FROM pools WHERE repeat_idx < 1998 GROUP BY 1) USING (dataset) WHERE n_available = n""",
+    + """SELECT dataset, feature, n_available FROM (SELECT dataset, feature, count(DISTINCT fold_idx) AS n_available
+    FROM pools GROUP BY 1, 2) JOIN (SELECT dataset, count(DISTINCT fold_idx) AS n FROM pools GROUP BY 1)
+    USING (dataset) WHERE n_available = n""",
 )
 def common_pool(t):
-    return st.common_pool(_early(pools(t)), ["dataset"], SP)
+    return half_pool(t)
 
 
 @query(
@@ -98,53 +97,54 @@ def nogueira(t):
 
 cte(
     "shared_pool",
-    """SELECT dataset, feature FROM (SELECT dataset, feature, count(*) AS c FROM pools WHERE repeat_idx < 1998
-      GROUP BY 1, 2) JOIN (SELECT dataset, count(DISTINCT repeat_idx * 10 + fold_idx) AS n FROM pools
-      WHERE repeat_idx < 1998 GROUP BY 1) USING (dataset) WHERE c = n""",
+    """SELECT dataset, feature FROM (SELECT dataset, feature, count(DISTINCT fold_idx) AS c FROM pools
+      GROUP BY 1, 2) JOIN (SELECT dataset, count(DISTINCT fold_idx) AS n FROM pools
+      GROUP BY 1) USING (dataset) WHERE c = n""",
     "pools",
 )
-cte("early_panels", "SELECT * FROM panels WHERE repeat_idx < 1998", "panels")
 cte(
-    "early_common_panels",
-    "SELECT * FROM early_panels SEMI JOIN shared_pool USING (dataset, feature)",
-    "early_panels",
+    "common_panels",
+    "SELECT * FROM panels SEMI JOIN shared_pool USING (dataset, feature)",
+    "panels",
     "shared_pool",
 )
 cte(
-    "early_reranked",
+    "common_reranked",
     """SELECT dataset, repeat_idx, fold_idx, method, feature, k FROM (SELECT *, row_number() OVER (
       PARTITION BY dataset, repeat_idx, fold_idx, method ORDER BY rank) AS nr
-      FROM rankings SEMI JOIN shared_pool USING (dataset, feature) WHERE repeat_idx < 1998)
+      FROM rankings SEMI JOIN shared_pool USING (dataset, feature))
     JOIN (VALUES (10), (20), (50)) g(k) ON nr <= k""",
     "rankings",
     "shared_pool",
 )
 
 
-def _early(df):
-    return df.where("repeat_idx < 1998")
+def half_pool(t):
+    """Parts sold in both halves of the year: the common pool of the two kinds of split."""
+    halves = pools(t).select("dataset", "fold_idx", "feature").distinct()
+    return st.common_pool(halves, ["dataset"], ["fold_idx"])
 
 
 @query(
     "nogueira_selected_in_common_pool",
     NOG,
-    with_("early_common_panels") + nogueira_sql("early_common_panels", "shared_pool"),
+    with_("common_panels") + nogueira_sql("common_panels", "shared_pool"),
 )
 def nogueira_selected_in_common_pool(t):
-    common = st.common_pool(_early(pools(t)), ["dataset"], SP)
-    inside = _early(panels(t)).join(common, ["dataset", "feature"], "left_semi")
+    common = half_pool(t)
+    inside = panels(t).join(common, ["dataset", "feature"], "left_semi")
     return st.nogueira(inside, common, KEYS, SP)
 
 
 @query(
     "nogueira_reranked_in_common_pool",
     NOG,
-    with_("early_reranked") + nogueira_sql("early_reranked", "shared_pool"),
+    with_("common_reranked") + nogueira_sql("common_reranked", "shared_pool"),
 )
 def nogueira_reranked_in_common_pool(t):
-    common = st.common_pool(_early(pools(t)), ["dataset"], SP)
+    common = half_pool(t)
     again = ra.top_k(
-        _early(rankings(t)),
+        rankings(t),
         ["dataset", "method", *SP],
         [10, 20, 50],
         common,
