@@ -129,11 +129,16 @@ def numbered(
     return out.drop("_slice", *totals)
 
 
-def dealt(df: DataFrame, keys: list[str], hash_col: str, name: str, slices: int = 16) -> DataFrame:
+def dealt(
+    df: DataFrame, keys: list[str], hash_col: str, name: str, slices: int | None = None
+) -> DataFrame:
     """Row number 1.. inside ``keys`` in hash order.
 
     md5 is uniform, so its leading hex digits are ready-made slices; no look at the data is needed.
+    By default there are at least as many slices of a group as shuffle partitions.
     """
+    if slices is None:
+        slices = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     digits = max(1, int(np.ceil(np.log(max(slices, 2)) / np.log(16))))
     sliced = df.withColumn("_slice", F.substring(hash_col, 1, digits))
     offsets = _before(sliced, keys, {"_n": F.count(F.lit(1))})

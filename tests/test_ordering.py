@@ -109,3 +109,12 @@ def test_bh_against_definition(spark):
     for i, x in enumerate(p):
         want = min(min(1.0, y * n / sum(z <= y for z in p)) for y in p if y >= x)
         assert got[f"f{i}"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("slices", [16, 300, 5000])
+def test_dealt_does_not_depend_on_slices(spark, frame, slices):
+    _, df = frame
+    hashed = df.withColumn("h", F.md5("id"))
+    plain = {(r.g, r.id): r.pos for r in od.dealt(hashed, ["g"], "h", "pos").collect()}
+    got = {(r.g, r.id): r.pos for r in od.dealt(hashed, ["g"], "h", "pos", slices).collect()}
+    assert got == plain
