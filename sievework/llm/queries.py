@@ -44,3 +44,94 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.dart_minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from sievework.llm.extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+# The rules of the query's contract (verdict, host, path).
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page url."""
+    from sievework.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _sql_rules(what: str, host: str, path: str) -> str:
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = " ".join(
+        f"WHEN ({host} = '{h}' OR {host} LIKE '%.{h}') AND starts_with({path}, '{p}') THEN '{h + p if what == 'rule' else v}'"
+        for v, h, p in ordered
+    )
+    return f"CASE {cases} END"
+
+
+def _sql_url(url: str) -> str:
+    """Columns host, path and resource of a url."""
+    part = r"'(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)'"
+    host = f"translate(coalesce(regexp_extract({url}, {part}, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = f"coalesce(regexp_extract({url}, {part}, 2), '')"
+    key = f"CASE WHEN {host} != '' THEN {host} || {path} || regexp_extract({url}, {part}, 3) END"
+    return f"{host} AS host, {path} AS path, {key} AS resource"
+
+
+# The test pages hold absolute links only, so the SQL resolves no relative ones.
+ORACLE["op10_url_filter"] = f"""
+WITH RECURSIVE page AS (SELECT page_id, url, html, {_sql_url("url")} FROM pages),
+link AS (
+  SELECT resource AS a, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\\s[^>]*?rel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\\s[^>]*?http-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+  ]) AS url FROM page),
+edge AS (SELECT a, b FROM (SELECT a, resource AS b FROM (SELECT a, {_sql_url("url")} FROM link WHERE url != ''))
+  WHERE a IS NOT NULL AND b IS NOT NULL),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+node AS (SELECT a AS resource, {_sql_url("'x://' || a")[: -len(" AS resource")]} AS again FROM (SELECT DISTINCT a FROM both_ways)),
+spread AS (
+  SELECT resource FROM node WHERE {_sql_rules("verdict", "host", "path")} = 'block'
+  UNION SELECT both_ways.b FROM spread JOIN both_ways ON spread.resource = both_ways.a)
+SELECT page_id, host, path, {_sql_rules("rule", "host", "path")} AS rule,
+  coalesce({_sql_rules("verdict", "host", "path")},
+    CASE WHEN resource IN (SELECT resource FROM spread WHERE resource IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+FROM page
+"""
+
+
+@register
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that are no snapshot of a longer one, rendered."""
+    from sievework.llm.chat import maximal_conversations, render
+
+    return render(maximal_conversations(_table(spark, sf_dir, "conversations")))
+
+
+ORACLE["op3_chat_format"] = """
+WITH turn AS (
+  SELECT conv_id, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role IS NULL, coalesce(role, ''), text IS NULL, coalesce(text, '')) - 1 AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)),
+conv AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns, any_value(text) FILTER (pos = 0) AS head FROM turn GROUP BY conv_id),
+gone AS (
+  SELECT DISTINCT a.conv_id FROM conv a JOIN conv b ON a.head IS NOT DISTINCT FROM b.head AND a.conv_id != b.conv_id
+    AND len(a.turns) <= len(b.turns) AND a.turns = b.turns[1:len(a.turns)]
+    AND (len(a.turns) < len(b.turns) OR a.conv_id > b.conv_id))
+SELECT conv_id, CAST(pos // 256 AS BIGINT) AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10)
+    || replace(replace(coalesce(text, ''), '<|im_start|>', '\\<|im_start|>'), '<|im_end|>', '\\<|im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM turn WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY conv_id, pos // 256
+"""
