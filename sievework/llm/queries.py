@@ -135,3 +135,32 @@ SELECT conv_id, CAST(pos // 256 AS BIGINT) AS part, count(*) AS n_turns,
     || replace(replace(coalesce(text, ''), '<|im_start|>', '\\<|im_start|>'), '<|im_end|>', '\\<|im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
 FROM turn WHERE conv_id NOT IN (SELECT conv_id FROM gone) GROUP BY conv_id, pos // 256
 """
+
+
+@register
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    from sievework.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# Every window that shares a shingle with an item, compared exactly.
+ORACLE["op2_decontaminate"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+d AS (SELECT doc_id, len(w) - 4 AS doc_n, unnest(range(len(w) - 4)) AS pos, w FROM dw WHERE len(w) >= 5),
+ds AS (SELECT doc_id, doc_n, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS s FROM d),
+i AS (SELECT item_id, len(w) - 4 AS n, unnest(range(len(w) - 4)) AS pos, w FROM iw WHERE len(w) >= 5),
+its AS (SELECT item_id, n, array_to_string(w[pos + 1:pos + 5], ' ') AS s, count(*) AS c FROM i GROUP BY 1, 2, 3),
+hit AS (SELECT doc_id, doc_n, item_id, n, pos FROM ds JOIN its USING (s)),
+win AS (SELECT DISTINCT doc_id, item_id, n,
+  unnest(range(least(greatest(pos - n + 1, 0), greatest(doc_n - n, 0)), least(pos, greatest(doc_n - n, 0)) + 1)) AS start FROM hit),
+cnt AS (SELECT win.doc_id, item_id, n, start, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.pos BETWEEN start AND start + n - 1
+  GROUP BY 1, 2, 3, 4, 5),
+sim AS (SELECT cnt.doc_id, cnt.item_id, start, cnt.n, sum(cnt.c) AS m, sum(least(cnt.c, coalesce(its.c, 0))) AS both_c
+  FROM cnt LEFT JOIN its ON cnt.item_id = its.item_id AND cnt.s = its.s GROUP BY 1, 2, 3, 4),
+ok AS (SELECT doc_id, item_id, start, CAST(both_c AS DOUBLE) / CAST(m + n - both_c AS DOUBLE) AS similarity FROM sim)
+SELECT doc_id, item_id, start, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM ok WHERE similarity >= 0.8) WHERE r = 1
+"""
