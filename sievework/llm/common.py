@@ -83,3 +83,48 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
         col = F.col(f"`{column}`")
         out.append((col.cast(kind) if kind else col).alias(name))
     return df.select(*out)
+
+
+class UnitCache:
+    """Id runs of text units (words), kept in one pool, and looked up for many texts at once.
+
+    ``learn`` gets new units and calls ``add`` for each. The cache is emptied between calls when it holds
+    more than ``limit`` units, so its memory is bounded.
+    """
+
+    def __init__(self, learn, limit: int = 400_000):
+        self.learn, self.limit = learn, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.start: list[int] = []
+        self.length: list[int] = []
+
+    def add(self, unit: str, ids) -> None:
+        n = len(ids)
+        while self.used + n > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        self.pool[self.used : self.used + n] = ids
+        self.known[unit] = len(self.start)
+        self.start.append(self.used)
+        self.length.append(n)
+        self.used += n
+
+    def encode(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as lists of units, on end; and how many each text has."""
+        if len(self.known) > self.limit:
+            self.clear()
+        flat = [u for units in split for u in units]
+        new = list(set(flat).difference(self.known))
+        if new:
+            self.learn(self, new)
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        start = np.array(self.start, np.int64)[at]
+        length = np.array(self.length, np.int64)[at]
+        total = np.r_[0, np.cumsum(length)]
+        ids = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], length)]
+        n_units = np.r_[0, np.cumsum([len(units) for units in split])].astype(np.int64)
+        return ids, np.diff(total[n_units])

@@ -164,3 +164,13 @@ ok AS (SELECT doc_id, item_id, start, CAST(both_c AS DOUBLE) / CAST(m + n - both
 SELECT doc_id, item_id, start, similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM ok WHERE similarity >= 0.8) WHERE r = 1
 """
+
+
+@register
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, digested, and whether they decode to the text."""
+    import public_tokenizers
+
+    from sievework.llm.piece_lattice import encoding_digests
+
+    return encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -21,11 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import partitions, plain, put_file, row_chunks, text_column, work_folder
+from sievework.llm.common import UnitCache, partitions, plain, put_file, row_chunks, text_column, work_folder
 
 MAGIC = b"SWTOK1\0\0"
 SAMPLE = 64
-CACHE_WORDS = 400_000
 _HEAD = struct.Struct("<8sBxxxxxxxQQQq")
 
 
@@ -134,7 +133,7 @@ class WordTokens:
     """Ids of texts by way of their words, which a tokenizer without context across spaces allows.
 
     Words are what stands between blanks, tabs and line feeds. New words are encoded together, with a
-    special token between them that no other input gives, and kept in a dictionary of bounded size.
+    special token between them that no other input gives, and kept in a cache of bounded size.
     """
 
     def __init__(self, path: str):
@@ -144,29 +143,14 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, -1))
-        self.clear()
-
-    def clear(self):
-        self.known = {"": 0}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used, self.start, self.length = 0, [0], [0]
-
-    def _add(self, word: str, ids) -> None:
-        n = len(ids)
-        while self.used + n > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        self.pool[self.used : self.used + n] = ids
-        self.known[word] = len(self.start)
-        self.start.append(self.used)
-        self.length.append(n)
-        self.used += n
-
-    def _learn(self, new: list[str]) -> None:
+        self.cache = UnitCache(self._learn)
+
+    def _learn(self, cache: UnitCache, new: list[str]) -> None:
         odd = [w for w in new if self.mark is None or self.mark[0] in w]
         if odd:
             new = [w for w in new if self.mark is not None and self.mark[0] not in w]
             for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self._add(w, e.ids)
+                cache.add(w, e.ids)
         joint = f" {self.mark} "
         groups = [new[i : i + 512] for i in range(0, len(new), 512)]
         texts = [joint.join(g) for g in groups]
@@ -175,23 +159,11 @@ class WordTokens:
             cuts = np.flatnonzero(ids == self.mark_id)
             starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
             for w, s, t in zip(group, starts.tolist(), ends.tolist(), strict=True):
-                self._add(w, ids[s:t])
+                cache.add(w, ids[s:t])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the number of each text's ids."""
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        flat = [w for ws in split for w in ws]
-        new = list(set(flat).difference(self.known))
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        start, length = np.array(self.start)[at], np.array(self.length)[at]
-        total = np.r_[0, np.cumsum(length)]
-        ids = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], length)]
-        n_words = np.r_[0, np.cumsum([len(ws) for ws in split])]
-        return ids, np.diff(total[n_words])
+        return self.cache.encode([t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts])
 
 
 _ENCODERS: dict[str, WordTokens] = {}
