@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import dart_minhash, quality_rules
+from sievework.llm import dart_minhash, decontaminate, piece_lattice, quality_rules, suffix_dedup
 from sievework.llm.common import stored
 
 ORACLE_SQL = None
@@ -23,9 +23,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return dart_minhash.keep_first(docs)
 
 
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that a document of smaller id has in strings of 50; empty ones go."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, SentencePiece ids and their number."""
+    import public_tokenizers
+
+    return piece_lattice.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("near duplicates", near_duplicates),
+    ("repeated text", repeated_text),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
 

@@ -174,3 +174,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.piece_lattice import encoding_digests
 
     return encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document."""
+    from sievework.llm.pseudo_lm import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed from, and left of, every document."""
+    from sievework.llm.suffix_dedup import dedup_spans
+
+    return dedup_spans(_table(spark, sf_dir, "documents"))
