@@ -202,9 +202,9 @@ def near_duplicates(
     occurs). ``class_id`` is the least document id of the class. Texts with equal shingles are one node.
     A pair at the threshold shares a band but for ``(1 - threshold**rows)**bands`` (2e-5).
 
-    Within a band's bucket each node is compared with the least node first; what that joins needs no more
-    comparing. Where a bucket still holds several components, nodes outside its largest one are compared
-    with nodes of other components, unless their distances to the least node differ by more than
+    Within a band's bucket each node is compared with the bucket's centre first, the node that meets most
+    others in all its buckets; what that joins needs no more comparing. Where a bucket still holds several components, nodes outside its largest one are compared
+    with nodes of other components, unless their distances to the centre differ by more than
     ``1 - threshold`` (Jaccard distance is a metric) or their sizes rule it out. No link inside a shared
     bucket is lost that way, and large groups of copies cost one comparison a member.
 
@@ -228,24 +228,31 @@ def near_duplicates(
     # The row that named a node brings its bands; equal rows of it fall together in distinct().
     named = wordy.join(nodes.withColumnRenamed("node", "doc_id"), ["key1", "key2", "doc_id"])
     spread = named.select(F.col("doc_id").alias("node"), "weight", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    buckets = spread.groupBy("bucket").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")
+    )
+    crowded = stored(spread.join(buckets.where("least < most").select("bucket", "n"), "bucket").distinct(), "buckets")
+    # The text that others were made from shares buckets with most of them: it is the centre of its buckets.
+    crowd = crowded.groupBy("node").agg(F.sum("n").alias("crowd"))
+    chosen = crowded.join(crowd, "node").groupBy("bucket").agg(
+        F.max(F.struct("crowd", (-F.col("node")).alias("minus"))).alias("top")
+    )
     shared = stored(
-        spread.join(buckets.where("least < most").select("bucket", "least"), "bucket").distinct(), "buckets"
+        crowded.join(chosen.select("bucket", (-F.col("top.minus")).alias("centre")), "bucket").drop("n"), "centres"
     )
-    sizes = shared.select("node", "weight").distinct()
 
     def possible(x: str, y: str):
         return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
 
     pairs = (
-        shared.where("node != least")
-        .select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb"))
+        shared.where("node != centre")
+        .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
         .distinct()
     )
     ids = shared.select(F.col("node").alias("doc_id")).distinct()
     wanted = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = stored(wanted.mapInArrow(_sets(size, counts), "node long, elements binary, weights binary"), "sets")
-    first = stored(_verified(pairs.select("a", "b"), sets), "stars")
+    first = stored(_verified(pairs, sets), "stars")
 
     # Repeated ids with other texts can give a pair twice; the closest counts.
     near = first.groupBy("a", "b").agg(F.max("sim").alias("sim"))
@@ -255,9 +262,10 @@ def near_duplicates(
     placed = (
         shared.join(label, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .join(near.select(F.col("a").alias("least"), F.col("b").alias("node"), "sim"), ["least", "node"], "left")
-        .withColumn("away", F.when(F.col("node") == F.col("least"), 0.0).otherwise(1 - F.col("sim")))
-        .drop("sim")
+        .withColumns({"a": F.least("centre", "node"), "b": F.greatest("centre", "node")})
+        .join(near, ["a", "b"], "left")
+        .withColumn("away", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1 - F.col("sim")))
+        .drop("sim", "a", "b")
     )
     mixed = (
         placed.groupBy("bucket", "component")
@@ -267,7 +275,7 @@ def near_duplicates(
         .where("kinds > 1")
         .select("bucket", F.col("top.component").alias("main"))
     )
-    rest = placed.join(mixed, "bucket").where("node != least")
+    rest = placed.join(mixed, "bucket").where("node != centre")
     x, y = rest.where("component != main").alias("x"), rest.alias("y")
     crossing = (
         x.join(y, F.col("x.bucket") == F.col("y.bucket"))
