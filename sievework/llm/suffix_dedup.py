@@ -1,9 +1,9 @@
 """Exact removal of byte strings that a document shares with a document of smaller id.
 
-Windows of 50 bytes are never shuffled one by one. The least hash of the 24-byte strings in a window names it;
-neighbouring windows mostly share that name and make a run. Equal windows have equal names, so (1) names that
-occur in one document only are ruled out first, by their hashes alone, (2) only the bytes of the other runs go
-to shards by name, where (3) equal runs are matched whole and the rest by suffix order and common prefixes from
+Windows of 50 bytes are never shuffled one by one. The least hash of the 20-byte strings in a window names it;
+neighbouring windows mostly share that name and make a run. Equal windows hold equal named strings, and the 15
+bytes to the left or to the right of it as well, so (1) runs of which neither 35-byte string occurs in another
+document are ruled out first, by hashes alone, (2) only the bytes of the other runs go to shards by name, where (3) equal runs are matched whole and the rest by suffix order and common prefixes from
 induced sorting, and (4) covered spans return to their documents. What a batch can settle by itself is settled
 there, so a passage in very many documents costs a shard one entry a batch.
 """
@@ -16,47 +16,72 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import byte_buffer, partitions, plain, row_chunks, text_column
-from sievework.llm.hashing import SpanHasher
+from sievework.llm.hashing import SpanHasher, mix
 from sievework.llm.induced_sort import suffix_order
 
 WINDOW = 50
-GRAM = 24
-SHARD_BYTES = 8 << 20
-BATCH_BYTES = 16 << 20
+GRAM = 20
+BESIDE = (WINDOW - GRAM) // 2
+SHARD_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+CHUNK = 1 << 20
 _U = np.uint64
 
 
 def anchor_runs(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """Runs of windows with one name: text number, first window in the text, number of windows, name."""
+    """Runs of windows named by one string: text number, first window in the text, number of windows, name, and
+    where the naming string stands in the buffer (of equal ones in a window it is the leftmost)."""
     none = np.zeros(0, np.int64)
     n = len(buf) - window + 1
     if n <= 0:
-        return none, none, none, none.astype(_U)
-    at = np.arange(len(buf) - gram + 1)
-    least = SpanHasher(buf).spans(at, at + gram)
+        return none, none, none, none.astype(_U), none
+    least = gram_hashes(buf, gram)
+    place = np.arange(len(least), dtype=np.int32)
     width, done = window - gram + 1, 1
-    while done * 2 <= width:
-        least = np.minimum(least[:-done], least[done:])
-        done *= 2
-    if done < width:
-        least = np.minimum(least[: -(width - done)], least[width - done :])
+    while done < width:
+        step = min(done, width - done)
+        right = least[step:] < least[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        done += step
     size = np.diff(offsets)
     change = np.zeros(n + 1, np.int8)
     full = size >= window
     np.add.at(change, offsets[:-1][full], 1)
     np.add.at(change, offsets[1:][full] - window + 1, -1)
-    valid = np.cumsum(change[:-1]) > 0
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
+    new = np.cumsum(change[:-1]) > 0
+    new[1:] &= place[1:] != place[:-1]
     new[offsets[:-1][full]] = True
     start = np.flatnonzero(new)
     doc = np.searchsorted(offsets, start, "right") - 1
     stop = np.minimum(np.r_[start[1:], n], offsets[doc + 1] - window + 1)
-    return doc, start - offsets[doc], stop - start, least[start]
+    return doc, start - offsets[doc], stop - start, least[start], place[start].astype(np.int64)
+
+
+def gram_hashes(buf: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each position."""
+    at = np.arange(len(buf) - gram + 1)
+    return SpanHasher(buf).spans(at, at + gram)
+
+
+def contexts(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, name: np.ndarray, at: np.ndarray):
+    """32 bits of the hash of a run's named string with the bytes to its left, and to its right.
+
+    A side that the text is too short for gets a hash of its place in the batch, which matches nothing else
+    but by chance.
+    """
+    hasher, alone = SpanHasher(buf), mix(name + np.arange(len(doc), dtype=_U))
+    sides = []
+    for a, b in ((at - BESIDE, at + GRAM), (at, at + GRAM + BESIDE)):
+        fits = (a >= offsets[doc]) & (b <= offsets[doc + 1])
+        side = alone.copy()
+        side[fits] = hasher.spans(a[fits], b[fits])
+        sides.append((side >> _U(32)).astype("<u4"))
+    return sides
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -91,49 +116,53 @@ def _in_several(owner: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.n
     return out
 
 
-_NAMES = "shard int, known boolean, ids binary, ties binary, owner binary, name binary, item binary"
+_NAMES = "shard int, known boolean, ids binary, ties binary, owner binary, left binary, right binary, item binary"
 
 
 def _name_rows(shards: int):
     """Rows for the shards: names with their document and run; ``known`` ones are repeated for certain."""
 
-    def pack(ids, ties, owner, run, name, known):
+    def pack(ids, ties, owner, run, name, left, right, known):
         shard = (name % _U(shards)).astype(np.int64)
         order, first = _groups(known.astype(np.int64), shard, owner, run)
         cut = np.flatnonzero(np.r_[True, np.diff(shard[order] * 2 + known[order]) != 0]) if len(order) else []
         for rows in np.split(order, cut[1:]) if len(order) else []:
             used, local = np.unique(owner[rows], return_inverse=True)
-            tail = name[rows].view(np.uint8).reshape(-1, 8)[:, 3:]
+            hit = bool(known[rows[0]])
             yield {
                 "shard": int(shard[rows[0]]),
-                "known": bool(known[rows[0]]),
-                "ids": _planes(ids[used]),
-                "ties": ties[used].tobytes(),
-                "owner": _planes(local.astype("<u4")),
-                "name": b"" if known[rows[0]] else tail.tobytes(),
+                "known": hit,
+                "ids": _planes(np.diff(ids[used], prepend=0)),
+                "ties": _planes(ties[used]),
+                "owner": _planes(np.diff(local.astype("<u4"), prepend=np.zeros(1, "<u4"))),
+                "left": b"" if hit else left[rows].tobytes(),
+                "right": b"" if hit else right[rows].tobytes(),
                 "item": _planes(run[rows].astype("<u4")),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for ids, ties, texts in _gathered(batches):
             found, base = [], 0
-            for lo, hi in row_chunks(texts, 2 << 20):
-                doc, _, _, name = anchor_runs(*byte_buffer(texts.slice(lo, hi - lo)))
+            for lo, hi in row_chunks(texts, CHUNK):
+                buf, offsets = byte_buffer(texts.slice(lo, hi - lo))
+                doc, _, _, name, at = anchor_runs(buf, offsets)
                 begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
                 nth = np.arange(len(doc)) - np.repeat(begins, np.diff(np.r_[begins, len(doc)]))
-                found.append((doc + base, nth, name))
+                found.append((doc + base, nth, name, *contexts(buf, offsets, doc, name, at)))
                 base += hi - lo
-            owner, nth, name = (np.concatenate(x) for x in zip(*found))
-            order, first = _groups(name)
-            known = _in_several(owner, order, first)
-            send = ~known
-            send[order[first]] = True  # one of each name tells the shard
+            owner, nth, name, left, right = (np.concatenate(x) for x in zip(*found))
+            known, send = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
+            for side in (left, right):
+                order, first = _groups(name % _U(shards), side)
+                known |= _in_several(owner, order, first)
+                send[order[first]] = True  # one of each string tells the shard
+            send |= ~known
             yield pd.DataFrame(
                 [
-                    *pack(ids, ties, owner[send], nth[send], name[send], np.zeros(int(send.sum()), bool)),
-                    *pack(ids, ties, owner[known], nth[known], name[known], np.ones(int(known.sum()), bool)),
+                    *pack(ids, ties, *(x[send] for x in (owner, nth, name, left, right)), np.zeros(int(send.sum()), bool)),
+                    *pack(ids, ties, *(x[known] for x in (owner, nth, name, left, right)), np.ones(int(known.sum()), bool)),
                 ],
-                columns=["shard", "known", "ids", "ties", "owner", "name", "item"],
+                columns=["shard", "known", "ids", "ties", "owner", "left", "right", "item"],
             )
 
     return _as_arrow(run, _NAMES)
@@ -190,24 +219,27 @@ def _by_document(ids: np.ndarray, ties: np.ndarray, items: np.ndarray) -> pd.Dat
 
 
 def _repeated_names(shard: pd.DataFrame) -> pd.DataFrame:
-    """Runs whose name occurs in two documents or more."""
-    ids, ties, items, names, owners, passed = [], [], [], [], [], []
+    """Runs whose named string stands with the same bytes on one side in two documents or more."""
+    parts = []
     for k, row in enumerate(shard.itertuples()):
-        own = _from_planes(row.owner, "<u4")
-        ids.append(_from_planes(row.ids, "<i8")[own])
-        ties.append(np.frombuffer(row.ties, "<i8")[own])
-        items.append(_from_planes(row.item, "<u4"))
-        tail = np.zeros((len(own), 8), np.uint8)
-        if not row.known:
-            tail[:, :5] = np.frombuffer(row.name, np.uint8).reshape(-1, 5)
-        names.append(tail.view("<u8").ravel())
-        owners.append(own.astype(np.int64) << 32 | k)
-        passed.append(np.full(len(own), row.known))
-    ids, ties, items, names, owners, passed = map(np.concatenate, (ids, ties, items, names, owners, passed))
-    open_ = np.flatnonzero(~passed)
-    order, first = _groups(names[open_])
-    keep = passed
-    keep[open_] = _in_several(owners[open_], order, first)
+        own = np.cumsum(_from_planes(row.owner, "<u4"), dtype=np.int64)
+        none = np.zeros(len(own), "<u4")
+        parts.append(
+            (
+                np.cumsum(_from_planes(row.ids, "<i8"))[own],
+                _from_planes(row.ties, "<i8")[own],
+                _from_planes(row.item, "<u4"),
+                none if row.known else np.frombuffer(row.left, "<u4"),
+                none if row.known else np.frombuffer(row.right, "<u4"),
+                own << 32 | k,
+                np.full(len(own), row.known),
+            )
+        )
+    ids, ties, items, left, right, owner, keep = (np.concatenate(x) for x in zip(*parts))
+    tested = np.flatnonzero(~keep)
+    for side in (left, right):
+        order, first = _groups(side[tested])
+        keep[tested] |= _in_several(owner[tested], order, first)
     return _by_document(ids[keep], ties[keep], items[keep])
 
 
@@ -241,9 +273,9 @@ def _piece_rows(shards: int):
             texts, listed = text_column(batch, "text"), batch.column(batch.schema.get_field_index("items"))
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_ties = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi in row_chunks(texts):
+            for lo, hi in row_chunks(texts, CHUNK):
                 buf, offsets = byte_buffer(texts.slice(lo, hi - lo))
-                doc, start, n, name = anchor_runs(buf, offsets)
+                doc, start, n, name, _ = anchor_runs(buf, offsets)
                 begins = np.searchsorted(doc, np.arange(hi - lo))
                 use = np.zeros(len(doc), bool)
                 for k in range(hi - lo):
@@ -411,6 +443,12 @@ def _with_spans(texts: DataFrame) -> DataFrame:
     return named.join(found, ["doc_id", "tie"], "left").unionByName(nameless)
 
 
+def _tie(docs: DataFrame, text: Column) -> Column:
+    """What tells rows of one id apart: nothing, unless an id is repeated."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    return F.xxhash64(text) if repeated else F.lit(0).cast("long")
+
+
 def dedup_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left) of every row of ``docs``.
 
@@ -419,7 +457,8 @@ def dedup_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
     removed there, and nothing elsewhere for it. Rows that share an id do not remove from each other; repeated rows
     give repeated results. Other columns are not read. An empty table gives no rows.
     """
-    texts = plain(docs, doc_id="doc_id:long", text="text:string").withColumn("tie", F.xxhash64("text"))
+    texts = plain(docs, doc_id="doc_id:long", text="text:string")
+    texts = texts.withColumn("tie", _tie(docs, F.col("text")))
     schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     rows = _with_spans(texts.select("doc_id", "tie", "text")).mapInArrow(
         _assemble(with_text), schema + (", kept binary" if with_text else "")
@@ -436,7 +475,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rest = [f"x{k}" for k in range(len(columns))]
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("tie"),
+        _tie(docs, F.col("text").cast("string")).alias("tie"),
         F.col("text").cast("string").alias("text"),
         F.struct(*(F.col(f"`{c}`").alias(r) for c, r in zip(columns, rest) if c != "text")).alias("row"),
     )
