@@ -1,6 +1,6 @@
 """Exact removal of byte strings that a document shares with a document of smaller id.
 
-Windows of 50 bytes are never shuffled one by one. The least hash of the 20-byte strings in a window names it;
+Windows of 50 bytes are never shuffled one by one. The least hash of the 16-byte strings in a window names it;
 neighbouring windows mostly share that name and make a run. Equal windows hold equal named strings, and the 15
 bytes to the left or to the right of it as well, so (1) runs of which neither 35-byte string occurs in another
 document are ruled out first, by hashes alone, (2) only the bytes of the other runs go to shards by name, where (3) equal runs are matched whole and the rest by suffix order and common prefixes from
@@ -20,15 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import byte_buffer, partitions, plain, row_chunks, text_column
-from sievework.llm.hashing import SpanHasher, mix
+from sievework.llm.hashing import SpanHasher
 from sievework.llm.induced_sort import suffix_order
 
 WINDOW = 50
-GRAM = 20
+GRAM = 16
 BESIDE = (WINDOW - GRAM) // 2
 SHARD_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
 CHUNK = 1 << 20
+OPEN = 1 << 31
 _U = np.uint64
 
 
@@ -68,20 +69,14 @@ def gram_hashes(buf: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return SpanHasher(buf).spans(at, at + gram)
 
 
-def contexts(buf: np.ndarray, offsets: np.ndarray, doc: np.ndarray, name: np.ndarray, at: np.ndarray):
-    """32 bits of the hash of a run's named string with the bytes to its left, and to its right.
-
-    A side that the text is too short for gets a hash of its place in the batch, which matches nothing else
-    but by chance.
-    """
-    hasher, alone = SpanHasher(buf), mix(name + np.arange(len(doc), dtype=_U))
-    sides = []
-    for a, b in ((at - BESIDE, at + GRAM), (at, at + GRAM + BESIDE)):
-        fits = (a >= offsets[doc]) & (b <= offsets[doc + 1])
-        side = alone.copy()
-        side[fits] = hasher.spans(a[fits], b[fits])
-        sides.append((side >> _U(32)).astype("<u4"))
-    return sides
+def run_hashes(buf, offsets, doc, begin, size, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a run's named string with the bytes to its left, with those to its right (three bytes of each
+    hash; near the ends of a text as many bytes as there are), and of the whole run."""
+    hasher = SpanHasher(buf)
+    left = hasher.spans(np.maximum(at - BESIDE, offsets[doc]), at + GRAM)
+    right = hasher.spans(at, np.minimum(at + GRAM + BESIDE, offsets[doc + 1]))
+    short = [(x >> _U(40)).astype(np.uint32) for x in (left, right)]
+    return *short, hasher.spans(begin, begin + size)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -89,6 +84,16 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
+def _low3(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _from_low3(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _from_planes(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
@@ -116,13 +121,13 @@ def _in_several(owner: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.n
     return out
 
 
-_NAMES = "shard int, known boolean, ids binary, ties binary, owner binary, left binary, right binary, item binary"
+_NAMES = "shard int, known boolean, ids binary, ties binary, owner binary, hashes binary, item binary"
 
 
 def _name_rows(shards: int):
     """Rows for the shards: names with their document and run; ``known`` ones are repeated for certain."""
 
-    def pack(ids, ties, owner, run, name, left, right, known):
+    def pack(ids, ties, owner, run, name, left, right, whole, known):
         shard = (name % _U(shards)).astype(np.int64)
         order, first = _groups(known.astype(np.int64), shard, owner, run)
         cut = np.flatnonzero(np.r_[True, np.diff(shard[order] * 2 + known[order]) != 0]) if len(order) else []
@@ -135,8 +140,7 @@ def _name_rows(shards: int):
                 "ids": _planes(np.diff(ids[used], prepend=0)),
                 "ties": _planes(ties[used]),
                 "owner": _planes(np.diff(local.astype("<u4"), prepend=np.zeros(1, "<u4"))),
-                "left": b"" if hit else left[rows].tobytes(),
-                "right": b"" if hit else right[rows].tobytes(),
+                "hashes": b"" if hit else _low3(left[rows]) + _low3(right[rows]) + whole[rows].tobytes(),
                 "item": _planes(run[rows].astype("<u4")),
             }
 
@@ -145,25 +149,20 @@ def _name_rows(shards: int):
             found, base = [], 0
             for lo, hi in row_chunks(texts, CHUNK):
                 buf, offsets = byte_buffer(texts.slice(lo, hi - lo))
-                doc, _, _, name, at = anchor_runs(buf, offsets)
+                doc, first, n, name, at = anchor_runs(buf, offsets)
                 begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
                 nth = np.arange(len(doc)) - np.repeat(begins, np.diff(np.r_[begins, len(doc)]))
-                found.append((doc + base, nth, name, *contexts(buf, offsets, doc, name, at)))
+                hashes = run_hashes(buf, offsets, doc, offsets[doc] + first, n + WINDOW - 1, at)
+                found.append((doc + base, nth, name, *hashes))
                 base += hi - lo
-            owner, nth, name, left, right = (np.concatenate(x) for x in zip(*found))
-            known, send = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-            for side in (left, right):
-                order, first = _groups(name % _U(shards), side)
-                known |= _in_several(owner, order, first)
-                send[order[first]] = True  # one of each string tells the shard
-            send |= ~known
-            yield pd.DataFrame(
-                [
-                    *pack(ids, ties, *(x[send] for x in (owner, nth, name, left, right)), np.zeros(int(send.sum()), bool)),
-                    *pack(ids, ties, *(x[known] for x in (owner, nth, name, left, right)), np.ones(int(known.sum()), bool)),
-                ],
-                columns=["shard", "known", "ids", "ties", "owner", "left", "right", "item"],
-            )
+            owner, nth, name, left, right, whole = (np.concatenate(x) for x in zip(*found))
+            # A whole run that a smaller document of the batch has is settled; that one speaks for both.
+            known = ids[owner] > _least(whole, name, ids[owner])
+            rows = []
+            for part, flag in ((~known, False), (known, True)):
+                columns = (x[part] for x in (owner, nth, name, left, right, whole))
+                rows += pack(ids, ties, *columns, np.full(int(part.sum()), flag))
+            yield pd.DataFrame(rows, columns=["shard", "known", "ids", "ties", "owner", "hashes", "item"])
 
     return _as_arrow(run, _NAMES)
 
@@ -219,28 +218,38 @@ def _by_document(ids: np.ndarray, ties: np.ndarray, items: np.ndarray) -> pd.Dat
 
 
 def _repeated_names(shard: pd.DataFrame) -> pd.DataFrame:
-    """Runs whose named string stands with the same bytes on one side in two documents or more."""
+    """Runs that a smaller document has whole, and with ``OPEN`` added those whose bytes must be seen.
+
+    Bytes are needed of the runs of the least document that has them, if another run and another document share
+    the named string and the bytes on one side.
+    """
     parts = []
-    for k, row in enumerate(shard.itertuples()):
+    for row in shard.itertuples():
         own = np.cumsum(_from_planes(row.owner, "<u4"), dtype=np.int64)
-        none = np.zeros(len(own), "<u4")
+        n, data = len(own), row.hashes
+        if row.known:
+            hashes = np.zeros(n, "<u4"), np.zeros(n, "<u4"), np.zeros(n, "<u8")
+        else:
+            hashes = _from_low3(data[: 3 * n]), _from_low3(data[3 * n : 6 * n]), np.frombuffer(data[6 * n :], "<u8")
         parts.append(
             (
                 np.cumsum(_from_planes(row.ids, "<i8"))[own],
                 _from_planes(row.ties, "<i8")[own],
                 _from_planes(row.item, "<u4"),
-                none if row.known else np.frombuffer(row.left, "<u4"),
-                none if row.known else np.frombuffer(row.right, "<u4"),
-                own << 32 | k,
-                np.full(len(own), row.known),
+                *hashes,
+                np.full(n, row.known),
             )
         )
-    ids, ties, items, left, right, owner, keep = (np.concatenate(x) for x in zip(*parts))
-    tested = np.flatnonzero(~keep)
+    ids, ties, items, left, right, whole, covered = (np.concatenate(x) for x in zip(*parts))
+    tested = np.flatnonzero(~covered)
+    covered[tested] = ids[tested] > _least(whole[tested], left[tested], ids[tested])
+    open_ = np.zeros(len(ids), bool)
     for side in (left, right):
         order, first = _groups(side[tested])
-        keep[tested] |= _in_several(owner[tested], order, first)
-    return _by_document(ids[keep], ties[keep], items[keep])
+        open_[tested] |= _in_several(whole[tested], order, first) & _in_several(ids[tested], order, first)
+    open_ &= ~covered
+    keep = covered | open_
+    return _by_document(ids[keep], ties[keep], items[keep] | np.where(open_[keep], OPEN, 0).astype("<u4"))
 
 
 _PIECES = "shard int, known boolean, ids binary, ties binary, start binary, size binary, name binary, bytes binary"
@@ -277,18 +286,30 @@ def _piece_rows(shards: int):
                 buf, offsets = byte_buffer(texts.slice(lo, hi - lo))
                 doc, start, n, name, _ = anchor_runs(buf, offsets)
                 begins = np.searchsorted(doc, np.arange(hi - lo))
-                use = np.zeros(len(doc), bool)
+                use, covered = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
                 for k in range(hi - lo):
                     for part in listed[lo + k].as_py():
-                        use[begins[k] + np.frombuffer(part, "<u4")] = True
-                doc, start, size, name = doc[use], start[use], n[use] + WINDOW - 1, name[use]
+                        item = np.frombuffer(part, "<u4")
+                        mine = begins[k] + (item & (OPEN - 1)).astype(np.int64)
+                        use[mine] = True
+                        covered[mine[item < OPEN]] = True
+                doc, start, size = doc[use], start[use], n[use] + WINDOW - 1
+                name, covered = name[use], covered[use]
                 begin = offsets[doc] + start
                 ids, ties = all_ids[lo:hi][doc], all_ties[lo:hi][doc]
                 whole = SpanHasher(buf).spans(begin, begin + size)
-                known = ids > _least(whole, name, ids)
+                covered |= ids > _least(whole, name, ids)
+                rest = ~covered
+                # Covered runs that touch are one span.
+                c_doc, a, b = doc[covered], start[covered], (start + size)[covered]
+                new = np.flatnonzero(np.r_[True, (c_doc[1:] != c_doc[:-1]) | (a[1:] > b[:-1])][: len(a)])
+                last = np.r_[new[1:], len(a)] - 1
+                spans = (ids[covered][new], ties[covered][new], a[new], b[last] - a[new], name[covered][new])
+                rows = list(pack(*spans, begin[covered][new], buf, np.ones(len(new), bool)))
+                open_ = (x[rest] for x in (ids, ties, start, size, name, begin))
+                rows += pack(*open_, buf, np.zeros(int(rest.sum()), bool))
                 yield pd.DataFrame(
-                    list(pack(ids, ties, start, size, name, begin, buf, known)),
-                    columns=["shard", "known", "ids", "ties", "start", "size", "name", "bytes"],
+                    rows, columns=["shard", "known", "ids", "ties", "start", "size", "name", "bytes"]
                 )
 
     return _as_arrow(run, _PIECES)
