@@ -14,11 +14,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from sievework.llm.common import byte_buffer, plain, row_chunks, stored, text_column
 from sievework.llm.components import components
@@ -26,7 +24,6 @@ from sievework.llm.hashing import distinct, mix, seeded, shingles, word_hashes
 
 _U = np.uint64
 _RANK0 = 1 / 8
-_TWO64 = float(1 << 64)
 
 
 def _poisson_cdf(area: float) -> np.ndarray:
@@ -144,46 +141,38 @@ def _sketch(size: int, counts: bool, bands: int, rows: int):
 
 
 def _sets(size: int, counts: bool):
+    """Rows (node, members): the shingles of each text, the n-th of equal ones as an element of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch, "text")
             for lo, hi in row_chunks(texts):
                 h, d, w = weighted_shingles(texts.slice(lo, hi - lo), size, counts)
-                cut = np.searchsorted(d, np.arange(hi - lo + 1))
+                nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                members = np.where(nth == 0, np.repeat(h, w), mix(np.repeat(h, w) + nth.astype(_U)))
+                cut = np.searchsorted(np.repeat(d, w), np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                        pa.array([w[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(members.view(np.int64))),
                     ],
-                    names=["node", "elements", "weights"],
+                    names=["node", "members"],
                 )
 
     return run
 
 
-def weighted_jaccard(h1: bytes, w1: bytes, h2: bytes, w2: bytes) -> float:
-    """Sum of lesser weights by sum of greater ones, of two sets sorted by element."""
-    a, b = np.frombuffer(h1, _U), np.frombuffer(h2, _U)
-    x, y = np.frombuffer(w1, "<i4"), np.frombuffer(w2, "<i4")
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    both = b[at] == a if len(b) else np.zeros(len(a), bool)
-    low = int(np.minimum(x[both], y[at[both]]).sum())
-    high = int(x.sum()) + int(y.sum()) - low
-    return low / high if high else 0.0
-
-
-@F.pandas_udf(DoubleType())
-def _similarity(h1: pd.Series, w1: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.Series:
-    return pd.Series([weighted_jaccard(*x) for x in zip(h1, w1, h2, w2)], dtype=float)
+def _similarity(x: str, y: str) -> Column:
+    """Weighted Jaccard similarity of two member arrays."""
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact similarity of the pairs (a, b)."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("h1"), F.col("weights").alias("w1"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("h2"), F.col("weights").alias("w2"))
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", _similarity("h1", "w1", "h2", "w2").alias("sim"))
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("m1"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("m2"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", _similarity("m1", "m2").alias("sim"))
 
 
 def near_duplicates(
@@ -241,9 +230,6 @@ def near_duplicates(
         crowded.join(chosen.select("bucket", (-F.col("top.minus")).alias("centre")), "bucket").drop("n"), "centres"
     )
 
-    def possible(x: str, y: str):
-        return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
-
     pairs = (
         shared.where("node != centre")
         .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
@@ -251,7 +237,7 @@ def near_duplicates(
     )
     ids = shared.select(F.col("node").alias("doc_id")).distinct()
     wanted = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = stored(wanted.mapInArrow(_sets(size, counts), "node long, elements binary, weights binary"), "sets")
+    sets = stored(wanted.mapInArrow(_sets(size, counts), "node long, members array<long>"), "sets")
     first = stored(_verified(pairs, sets), "stars")
 
     # Repeated ids with other texts can give a pair twice; the closest counts.
@@ -275,20 +261,20 @@ def near_duplicates(
         .where("kinds > 1")
         .select("bucket", F.col("top.component").alias("main"))
     )
-    rest = placed.join(mixed, "bucket").where("node != centre")
+    # Compared inside the join, so that pairs that are no links are not rows.
+    rest = placed.join(mixed, "bucket").where("node != centre").join(sets, "node")
     x, y = rest.where("component != main").alias("x"), rest.alias("y")
-    crossing = (
+    second = (
         x.join(y, F.col("x.bucket") == F.col("y.bucket"))
         .where(
             (F.col("x.component") != F.col("y.component"))
             & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
             & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - threshold + 1e-9)
-            & possible("x.weight", "y.weight")
+            & (F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight") - 1e-9)
+            & (_similarity("x.members", "y.members") >= threshold)
         )
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
     )
-    second = _verified(crossing, sets).where(F.col("sim") >= threshold).select("a", "b")
     classes = components(links.union(second).union(copies))
     everyone = texts.select("doc_id").distinct()
     return everyone.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
