@@ -279,6 +279,7 @@ def _piece_rows(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.filter(batch.column(batch.schema.get_field_index("items")).is_valid())
             texts, listed = text_column(batch, "text"), batch.column(batch.schema.get_field_index("items"))
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_ties = batch.column(1).to_numpy(zero_copy_only=False)
@@ -449,25 +450,29 @@ def _assemble(with_text: bool):
 
 
 def _with_spans(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc_id, tie, text) with ``items``, the spans to remove of each row."""
+    """``texts`` (doc_id, tie, text and others) with ``items``, the spans to remove of each row.
+
+    Both joins keep all rows and columns of the texts, so that one exchange of the texts serves both.
+    """
     spark = texts.sparkSession
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(partitions(spark), -(-total // SHARD_BYTES))
-    named = texts.where("doc_id is not null")
-    names = named.mapInArrow(_name_rows(shards), _NAMES)
+    names = texts.where("doc_id is not null").select("doc_id", "tie", "text").mapInArrow(_name_rows(shards), _NAMES)
     runs = names.groupBy("shard").applyInPandas(_repeated_names, _RUNS)
     listed = runs.groupBy("doc_id", "tie").agg(F.collect_list("item").alias("items"))
-    pieces = named.join(listed, ["doc_id", "tie"]).mapInArrow(_piece_rows(shards), _PIECES)
+    pieces = texts.join(listed, ["doc_id", "tie"], "left").mapInArrow(_piece_rows(shards), _PIECES)
     spans = pieces.groupBy("shard").applyInPandas(_match_pieces, _RUNS)
     found = spans.groupBy("doc_id", "tie").agg(F.collect_list("item").alias("items"))
-    nameless = texts.where("doc_id is null").withColumn("items", F.array().cast("array<binary>"))
-    return named.join(found, ["doc_id", "tie"], "left").unionByName(nameless)
+    return texts.join(found, ["doc_id", "tie"], "left")
 
 
 def _tie(docs: DataFrame, text: Column) -> Column:
     """What tells rows of one id apart: nothing, unless an id is repeated."""
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    # Not a literal: the two joins of the texts are to have the same keys and so share one exchange.
+    same = F.xxhash64(text) if repeated else F.xxhash64("doc_id").bitwiseAND(F.lit(0))
+    # Rows without an id match nothing and are spread by their text.
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(same)
 
 
 def dedup_spans(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -500,9 +505,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.struct(*(F.col(f"`{c}`").alias(r) for c, r in zip(columns, rest) if c != "text")).alias("row"),
     )
-    found = _with_spans(named.select("doc_id", "tie", "text")).drop("text")
-    spans = found.where(F.size("items") > 0).dropDuplicates(["doc_id", "tie"])
-    cut = named.join(spans, ["doc_id", "tie"], "left")
+    cut = _with_spans(named)
     left = F.pandas_udf(_left_text, "string")(F.col("text"), F.col("items"))
     done = cut.withColumn("text", F.when(F.col("items").isNull(), F.col("text")).otherwise(left))
     done = done.where("items is null or text != ''")
