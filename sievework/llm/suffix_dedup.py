@@ -242,7 +242,7 @@ def _repeated_names(shard: pd.DataFrame) -> pd.DataFrame:
         )
     ids, ties, items, left, right, whole, covered = (np.concatenate(x) for x in zip(*parts))
     tested = np.flatnonzero(~covered)
-    covered[tested] = ids[tested] > _least(whole[tested], left[tested], ids[tested])
+    covered[tested] = ids[tested] > _least(whole[tested], whole[tested], ids[tested])
     open_ = np.zeros(len(ids), bool)
     for side in (left, right):
         order, first = _groups(side[tested])
