@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,23 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 
 def missing_rows(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key the target does not have yet."""
-    return new.join(target.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key the target does not have yet, one of each key. NULL keys are equal to each other."""
+    known, fresh = target.select(*keys).distinct().alias("known"), new.dropDuplicates(list(keys)).alias("fresh")
+    same = reduce(
+        lambda a, b: a & b, (F.col(f"fresh.{k}").eqNullSafe(F.col(f"known.{k}")) for k in keys)
+    )
+    return fresh.join(known, same, "left_anti")
 
 
 def append_missing(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Resumable append: a key that is already in the table is not written again."""
-    missing_rows(spark.read.parquet(path), new, keys).write.mode("append").parquet(path)
+    """Resumable append: a key that is already in the table is not written again. No table yet means none is."""
+    try:
+        target = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        target = new.limit(0)
+    missing_rows(target, new, keys).write.mode("append").parquet(path)
 
 
 def union_runs(

@@ -344,3 +344,12 @@ def test_matrix_reader_and_resume(spark, tmp_path):
     bad.write_text("Gene\tTPM\ng\t-1\n")
     with pytest.raises(Exception, match="bad value"):
         matrices.read_per_sample_files(spark, str(bad), r"s_(\w)\.tsv").collect()
+
+
+def test_append_missing_first_run_repeats_and_null_keys(spark, tmp_path):
+    out = str(tmp_path / "resumed")
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "n")], "k int, v string")
+    tables.append_missing(spark, out, rows, ["k"])
+    tables.append_missing(spark, out, rows.union(spark.createDataFrame([(2, "b")], "k int, v string")), ["k"])
+    got = sorted(map(str, (tuple(r) for r in spark.read.parquet(out).collect())))
+    assert got == ["(1, 'a')", "(2, 'b')", "(None, 'n')"]
