@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import shared_dir
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

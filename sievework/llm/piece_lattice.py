@@ -161,8 +161,8 @@ class PieceModel:
         return ["\0" + u for u in re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", marked)]
 
     def learn(self, cache: UnitCache, new: list[str]) -> None:
-        for lo in range(0, len(new), 100_000):
-            group = new[lo : lo + 100_000]
+        for lo in range(0, len(new), 25_000):
+            group = new[lo : lo + 25_000]
             spelled = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else SPACE + u for u in group]
             for u, ids in zip(group, self.encode_units(spelled)):
                 cache.add(u, ids)
