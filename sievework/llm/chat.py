@@ -69,8 +69,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     whole = placed.join(lengths, ["conv_id", "pos"]).select("conv_id", "pos", "p1", "p2")
     inner = placed.join(lengths.withColumnRenamed("pos", "last"), "conv_id").where("pos < last")
     prefixes = inner.select("pos", "p1", "p2").distinct()
-    kept = whole.join(prefixes, ["pos", "p1", "p2"], "left_anti")
-    kept = kept.groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id")).select("conv_id")
+    # Equal conversations become one row before the join, so that a very common one is no hot key there.
+    whole = whole.groupBy("pos", "p1", "p2").agg(F.min("conv_id").alias("conv_id"))
+    kept = whole.join(prefixes, ["pos", "p1", "p2"], "left_anti").select("conv_id")
     return placed.join(kept, "conv_id").select("conv_id", "pos", "role", "text")
 
 
