@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,24 @@ def put_file(uri: str, payload: bytes) -> None:
     where.move(draft, path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are reused and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a partition, with its memory released at the end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column without nulls: a null text counts as empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -92,7 +111,7 @@ class UnitCache:
     more than ``limit`` units, so its memory is bounded.
     """
 
-    def __init__(self, learn, limit: int = 400_000):
+    def __init__(self, learn, limit: int = 250_000):
         self.learn, self.limit = learn, limit
         self.clear()
 
@@ -100,18 +119,19 @@ class UnitCache:
         self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start: list[int] = []
-        self.length: list[int] = []
+        self.ends = np.zeros(1 << 12, np.int64)
 
     def add(self, unit: str, ids) -> None:
         n = len(ids)
         while self.used + n > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
         self.pool[self.used : self.used + n] = ids
-        self.known[unit] = len(self.start)
-        self.start.append(self.used)
-        self.length.append(n)
         self.used += n
+        # Unit number k has the ids from ends[k] up to ends[k + 1].
+        self.known[unit] = at = len(self.known)
+        if at + 1 == len(self.ends):
+            self.ends = np.r_[self.ends, np.zeros_like(self.ends)]
+        self.ends[at + 1] = self.used
 
     def encode(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of units, on end; and how many each text has."""
@@ -122,8 +142,8 @@ class UnitCache:
         if new:
             self.learn(self, new)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        start = np.array(self.start, np.int64)[at]
-        length = np.array(self.length, np.int64)[at]
+        start = self.ends[at]
+        length = self.ends[at + 1] - start
         total = np.r_[0, np.cumsum(length)]
         ids = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], length)]
         n_units = np.r_[0, np.cumsum([len(units) for units in split])].astype(np.int64)

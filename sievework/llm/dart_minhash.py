@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import byte_buffer, plain, row_chunks, stored, text_column
+from sievework.llm.common import byte_buffer, plain, releasing, row_chunks, stored, text_column
 from sievework.llm.components import components
 from sievework.llm.hashing import distinct, mix, seeded, shingles, word_hashes
 
@@ -204,7 +204,7 @@ def near_duplicates(
     texts = plain(docs, doc_id=f"{id_col}:long", text=f"{text_col}:string").where("doc_id is not null")
     sketch = stored(
         texts.mapInArrow(
-            _sketch(size, counts, bands, rows),
+            releasing(_sketch(size, counts, bands, rows)),
             "doc_id long, key1 long, key2 long, weight long, bands array<long>",
         ),
         "darts",
@@ -237,7 +237,7 @@ def near_duplicates(
     )
     ids = shared.select(F.col("node").alias("doc_id")).distinct()
     wanted = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = stored(wanted.mapInArrow(_sets(size, counts), "node long, members array<long>"), "sets")
+    sets = stored(wanted.mapInArrow(releasing(_sets(size, counts)), "node long, members array<long>"), "sets")
     first = stored(_verified(pairs, sets), "stars")
 
     # Repeated ids with other texts can give a pair twice; the closest counts.

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import UnitCache, plain, row_chunks, text_column
+from sievework.llm.common import UnitCache, plain, releasing, row_chunks, text_column
 
 SPACE = "▁"
+CHUNK_BYTES = 1 << 19
+GROUP = 12_000
 _NEVER = np.int64(1 << 40)
 
 
@@ -116,8 +118,8 @@ class PieceModel:
         # 0 ends a unit, 1 stands for every character that no piece has.
         self.code = np.ones(0x110000, np.uint16)
         self.code[[ord(c) for c in chars]] = np.arange(2, len(chars) + 2)
-        self.order = np.array(self.normal)
-        self.size = np.array([len(self.pieces[i]) for i in self.normal])
+        self.order = np.array(self.normal, np.int32)
+        self.size = np.array([len(self.pieces[i]) for i in self.normal], np.int32)
         low = np.zeros((len(self.order), self.deep), ">u2")
         high = np.full((len(self.order), self.deep), 0xFFFF, ">u2")
         for k, i in enumerate(self.normal):
@@ -161,8 +163,8 @@ class PieceModel:
         return ["\0" + u for u in re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", marked)]
 
     def learn(self, cache: UnitCache, new: list[str]) -> None:
-        for lo in range(0, len(new), 25_000):
-            group = new[lo : lo + 25_000]
+        for lo in range(0, len(new), GROUP):
+            group = new[lo : lo + GROUP]
             spelled = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else SPACE + u for u in group]
             for u, ids in zip(group, self.encode_units(spelled)):
                 cache.add(u, ids)
@@ -181,7 +183,7 @@ class PieceModel:
         padded = np.r_[codes, np.zeros(self.deep, np.uint16)].astype(">u2")
         deep = np.lib.stride_tricks.sliding_window_view(padded, self.deep)[:n]
         keys = np.ascontiguousarray(deep).view(f"S{2 * self.deep}").ravel()
-        suffixes = np.argsort(keys, kind="stable")
+        suffixes = np.argsort(keys, kind="stable").astype(np.int32)
         ordered = keys[suffixes]
         lo, hi = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
         found = np.flatnonzero(hi > lo)
@@ -190,14 +192,15 @@ class PieceModel:
         nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
         begin = suffixes[np.repeat(lo[found], count) + nth]
         token, length = np.repeat(self.order[found], count), np.repeat(self.size[found], count)
-        odd = np.flatnonzero(codes == 1)
+        odd = np.flatnonzero(codes == 1).astype(np.int32)
         begin = np.r_[begin, odd]
-        token = np.r_[token, np.full(len(odd), self.unknown)]
-        length = np.r_[length, np.ones(len(odd), np.int64)]
+        token = np.r_[token, np.full(len(odd), self.unknown, np.int32)]
+        length = np.r_[length, np.ones(len(odd), np.int32)]
 
-        owner = np.searchsorted(end, begin, "left")
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size + 1)
+        owner = unit[begin]
         stop = begin + length
-        step = stop - start[owner]
+        step = (stop - start[owner]).astype(np.int32)
         order = np.argsort(step, kind="stable")
         begin, token, stop, step, owner = begin[order], token[order], stop[order], step[order], owner[order]
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
@@ -257,7 +260,7 @@ def _model(path: str) -> tuple[PieceModel, UnitCache]:
 def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, int, list[str], list[np.ndarray]]]:
     model, cache = _model(path)
     texts = text_column(batch, "text")
-    for lo, hi in row_chunks(texts, 1 << 20):
+    for lo, hi in row_chunks(texts, CHUNK_BYTES):
         strings = texts.slice(lo, hi - lo).to_pylist()
         ids, n = cache.encode([model.units(t) for t in strings])
         cut = np.r_[0, np.cumsum(n)]
@@ -287,7 +290,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     return plain(docs, doc_id="doc_id:long", text="text:string").mapInArrow(
-        run, "doc_id long, ids array<int>, n_pieces long"
+        releasing(run), "doc_id long, ids array<int>, n_pieces long"
     )
 
 
@@ -321,5 +324,5 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     return plain(docs, doc_id="doc_id:long", text="text:string").mapInArrow(
-        run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
+        releasing(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
     )

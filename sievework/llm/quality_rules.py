@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import boosting
-from sievework.llm.common import byte_buffer, plain, row_chunks, text_column
+from sievework.llm.common import byte_buffer, plain, releasing, row_chunks, text_column
 from sievework.llm.hashing import SpanHasher, lines, mix, shingles, words
 
 WINDOW = 5
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> boostin
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = (
         chosen.select("doc_id", "text", "quality")
-        .mapInArrow(measure, schema)
+        .mapInArrow(releasing(measure), schema)
         .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
         .limit(max_rows)
         .toPandas()
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, forest: boosting.Forest | None) -> DataFram
                 names=["doc_id", *COUNTS, "base_failed", "kept", "score"],
             )
 
-    return plain(docs, doc_id="doc_id:long", text="text:string").mapInArrow(judge, schema)
+    return plain(docs, doc_id="doc_id:long", text="text:string").mapInArrow(releasing(judge), schema)
 
 
 def keep_documents(docs: DataFrame, forest: boosting.Forest | None) -> DataFrame:
@@ -202,4 +202,4 @@ def keep_documents(docs: DataFrame, forest: boosting.Forest | None) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(_judge(_all_statistics(text_column(batch, "text")), forest)[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import byte_buffer, partitions, plain, row_chunks, text_column
+from sievework.llm.common import byte_buffer, partitions, plain, release_memory, releasing, row_chunks, text_column
 from sievework.llm.hashing import SpanHasher
 from sievework.llm.induced_sort import suffix_order
 
@@ -198,7 +198,7 @@ def _as_arrow(run, schema: str):
             for lo in range(0, len(frame), 2000):
                 yield pa.RecordBatch.from_pandas(frame.iloc[lo : lo + 2000], schema=fields, preserve_index=False)
 
-    return wrapped
+    return releasing(wrapped)
 
 
 _RUNS = "doc_id long, tie long, item binary"
@@ -249,7 +249,9 @@ def _repeated_names(shard: pd.DataFrame) -> pd.DataFrame:
         open_[tested] |= _in_several(whole[tested], order, first) & _in_several(ids[tested], order, first)
     open_ &= ~covered
     keep = covered | open_
-    return _by_document(ids[keep], ties[keep], items[keep] | np.where(open_[keep], OPEN, 0).astype("<u4"))
+    found = _by_document(ids[keep], ties[keep], items[keep] | np.where(open_[keep], OPEN, 0).astype("<u4"))
+    release_memory()
+    return found
 
 
 _PIECES = "shard int, known boolean, ids binary, ties binary, start binary, size binary, name binary, bytes binary"
@@ -410,7 +412,9 @@ def _match_pieces(shard: pd.DataFrame) -> pd.DataFrame:
                     (np.full(m, ids[e]), np.full(m, ties[e]), start[e] + a, start[e] + b + WINDOW - 1)
                 )
     ids, ties, lo, hi = (np.concatenate(x) for x in zip(*out))
-    return _by_document(ids, ties, np.column_stack([lo, hi]))
+    found = _by_document(ids, ties, np.column_stack([lo, hi]))
+    release_memory()
+    return found
 
 
 def _assemble(with_text: bool):
@@ -446,7 +450,7 @@ def _assemble(with_text: bool):
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return run
+    return releasing(run)
 
 
 def _with_spans(texts: DataFrame) -> DataFrame:
