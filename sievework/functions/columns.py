@@ -14,6 +14,11 @@ def finite(col: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def no_nan(col: Column) -> Column:
+    """NULL for NaN, else the value in its own type."""
+    return F.when(~F.isnan(col), col)
+
+
 def hash_order(seed: int | str, *cols: Column | str) -> Column:
     """Reproducible shuffle key: the same on any partitioning and in any engine with md5."""
     parts = [F.col(c) if isinstance(c, str) else c for c in cols]

@@ -546,7 +546,7 @@ def permutation_t(
             *keys,
             "perm_id",
             "feature",
-            F.when(pooled > 1e-12, F.abs((m1 - m0) / (F.sqrt(pooled) * F.sqrt(1 / n1 + 1 / n0)))).alias(
+            F.when(pooled * (F.col("n") - 2) > 1e-13 * F.col("q"), F.abs((m1 - m0) / (F.sqrt(pooled) * F.sqrt(1 / n1 + 1 / n0)))).alias(
                 "abs_t"
             ),
         )

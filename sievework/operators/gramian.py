@@ -92,17 +92,19 @@ def correlation_edges(
         n.alias("n"),
         s.alias("s"),
         (own - s * s / n).alias("ss"),
+        own.alias("own"),
         F.posexplode(F.slice("row", 3, F.size("row") - 2)).alias("j", "xy"),
     ).where("i < j")
     other = rows.select(
-        *keys, F.col("i").alias("j"), s.alias("s_j"), (own - s * s / n).alias("ss_j")
+        *keys, F.col("i").alias("j"), s.alias("s_j"), (own - s * s / n).alias("ss_j"), own.alias("own_j")
     )
     joint = F.col("xy") - F.col("s") * F.col("s_j") / F.col("n")
     r = safe_div(joint, F.sqrt(F.greatest(F.col("ss") * F.col("ss_j"), F.lit(0.0))))
-    eps = 1e-12
+    # Less than this share of the sum of squares is rounding: a constant feature, whatever its unit.
+    eps = 1e-13
     pairs = (
         moments.join(other, [*keys, "j"])
-        .where((F.col("ss") > eps) & (F.col("ss_j") > eps))
+        .where((F.col("ss") > eps * F.col("own")) & (F.col("ss_j") > eps * F.col("own_j")))
         .select(*keys, "i", "j", r.alias("r"))
     )
     kept = pairs.where(F.abs("r") > above) if strict else pairs.where(F.abs("r") >= above)

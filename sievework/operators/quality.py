@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import finite
+from sievework.functions.ordering import numbered
 
 # The four scales and the limits between them.
 COUNTS, BACKGROUND, LOG, LINEAR = (
@@ -17,6 +18,7 @@ COUNTS, BACKGROUND, LOG, LINEAR = (
     "log_normalized",
     "linear_normalized",
 )
+UNKNOWN = "unknown"
 COUNTS_ABOVE = 100
 LOG_BELOW = 30
 
@@ -28,9 +30,9 @@ def detect_scale(
     """Scale of each dataset from all of its values.
 
     ``tolerance`` is the allowed distance to an integer. ``counts_without_negatives`` is the
-    stricter variant where a negative value rules counts out.
+    stricter variant where a negative value rules counts out. A dataset without a finite value is unknown.
     """
-    clean = features.withColumn("_x", finite(F.col("value"))).where("_x is not null")
+    clean = features.withColumn("_x", finite(F.col("value")))
     agg = clean.groupBy(*keys).agg(
         F.min("_x").alias("minimum"),
         F.max("_x").alias("maximum"),
@@ -42,7 +44,8 @@ def detect_scale(
         counts = counts & ~F.col("has_negatives")
     return agg.withColumn(
         "scale",
-        F.when(counts, COUNTS)
+        F.when(F.col("maximum").isNull(), UNKNOWN)
+        .when(counts, COUNTS)
         .when(F.col("has_negatives") & (F.col("maximum") >= COUNTS_ABOVE), BACKGROUND)
         .when(F.col("maximum") < LOG_BELOW, LOG)
         .otherwise(LINEAR),
@@ -52,8 +55,8 @@ def detect_scale(
 def verify_scale(
     detected: DataFrame, declared: DataFrame, keys: Sequence[str] = ("dataset",), strict: bool = False
 ) -> DataFrame:
-    """Declared against detected scale, with the likely cause of a mismatch."""
-    both = detected.join(declared, list(keys))
+    """Declared against detected scale, with the likely cause of a mismatch; nothing detected is a mismatch too."""
+    both = detected.join(declared, list(keys), "right").fillna(UNKNOWN, subset=["scale"])
     cause = (
         F.when(F.col("declared") == F.col("scale"), "")
         .when(
@@ -358,7 +361,8 @@ def audit_dataset(features: DataFrame, samples: DataFrame) -> DataFrame:
 def validate_rankings(rankings: DataFrame, pools: DataFrame, keys: list[str], split: list[str]):
     """Per ranking: features missing from it, outside its pool, repeated, or out of order.
 
-    A rank is compared with the next one by a join, so a long ranking is spread over tasks.
+    Positions in rank order are compared with the next one by a join, so a long ranking is spread over
+    tasks, and a gap in the ranks hides nothing.
     """
     pool = pools.select(*split, "feature").distinct()
     sizes = pool.groupBy(*split).agg(F.count(F.lit(1)).alias("_size"))
@@ -375,9 +379,10 @@ def validate_rankings(rankings: DataFrame, pools: DataFrame, keys: list[str], sp
         .withColumn("missing", F.col("_size") - F.col("_inside"))
         .drop("_size", "_inside")
     )
-    here = rankings.select(*keys, "rank", F.col("score").alias("_s"))
-    after = rankings.select(*keys, (F.col("rank") - 1).alias("rank"), F.col("score").alias("_next"))
-    order = here.join(after, [*keys, "rank"]).groupBy(*keys).agg(
+    placed = numbered(rankings, keys, "rank", "feature", name="_pos", descending=False)
+    here = placed.select(*keys, "_pos", F.col("score").alias("_s"))
+    after = placed.select(*keys, (F.col("_pos") - 1).alias("_pos"), F.col("score").alias("_next"))
+    order = here.join(after, [*keys, "_pos"]).groupBy(*keys).agg(
         F.count_if(F.col("_next") > F.col("_s")).alias("increasing")
     )
     return (

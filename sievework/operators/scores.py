@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.columns import hash_order, safe_div
+from sievework.functions.columns import hash_order, no_nan, safe_div
 from sievework.functions.ordering import (
     average_ranks,
     dealt,
@@ -115,7 +115,7 @@ def auc_score(
     Equal scores are counted per class first, so the ordered table has one row per distinct score.
     """
     per_score = (
-        df.where(F.col(score).isNotNull())
+        df.where(no_nan(F.col(score)).isNotNull())
         .groupBy(*keys, score)
         .agg(
             F.count(F.when(F.col(label) == 1, 1)).alias("pos"),

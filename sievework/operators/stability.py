@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.columns import quartiles, safe_div
+from sievework.functions.columns import no_nan, quartiles, safe_div
 from sievework.functions.ordering import average_ranks
 
 
@@ -172,7 +172,7 @@ def correlations(df: DataFrame, keys: list[str], x: str, y: str, bounded: bool =
 
     NULL unless there are three pairs and two distinct values on each side.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = df.where(no_nan(F.col(x)).isNotNull() & no_nan(F.col(y)).isNotNull())
     ranked = average_ranks(pairs, keys, x, "_rx", bounded=bounded)
     ranked = average_ranks(ranked, keys, y, "_ry", bounded=bounded)
     ok = (

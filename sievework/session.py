@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK = 4_000_000
+_shipped: dict[str, str] = {}
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,6 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless their Python path already has it."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or _shipped.get("to") == context.applicationId:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="sievework-"), "sievework.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(os.path.join(root, "sievework")):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    _shipped["to"] = context.applicationId
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     shared_dir(df.sparkSession)

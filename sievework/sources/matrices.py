@@ -125,13 +125,15 @@ def read_per_sample_files(
 ) -> DataFrame:
     """One two-column file per sample; the id is the first group of ``id_pattern`` in the path.
 
-    Values of a repeated feature are summed; a negative or unreadable value fails the read.
+    Values of a repeated feature are summed; a negative or unreadable value fails the read, and so does a
+    file whose path has no id.
     """
     raw = (
         spark.read.csv(path, sep=sep, header=True, inferSchema=False)
         .withColumn("_path", F.col("_metadata.file_path"))
     )
     feature, value = raw.columns[:2]
+    sample = F.regexp_extract("_path", id_pattern, 1)
     x = finite(F.expr(f"try_cast(`{value}` AS double)"))
     checked = F.when(
         x.isNull() | (x < 0),
@@ -139,7 +141,9 @@ def read_per_sample_files(
     ).otherwise(x)
     summed = (
         raw.select(
-            F.regexp_extract("_path", id_pattern, 1).alias("sample_id"),
+            F.when(sample != "", sample)
+            .otherwise(F.raise_error(F.concat(F.lit("no sample id in "), F.col("_path"))).cast("string"))
+            .alias("sample_id"),
             F.col(f"`{feature}`").alias("feature"),
             checked.alias("value"),
         )
