@@ -2,7 +2,8 @@
 
 Each word is predicted from the words on both sides of it. The vocabulary is the most frequent words of the
 whole corpus and hash buckets for all others, in classes of equal size; the network predicts the class, then
-the word in its class. Every document trains the network once: the corpus is dealt into rounds, in a round
+the word in its class. It grows with the number of distinct words. A word outside it has the probability of its
+bucket times its share of the bucket's count, from the counts of all words. Every document trains the network once: the corpus is dealt into rounds, in a round
 each partition runs its own gradient steps from the common parameters, and these are averaged by tokens.
 """
 
@@ -13,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import byte_buffer, plain, row_chunks, stored, text_column
 from sievework.llm.hashing import mix, word_hashes
 
 SIDE = 2
+# The smallest network; ``classes_for`` gives the size of larger ones.
 CLASSES = 32
 PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS
@@ -28,17 +31,31 @@ WIDTH = 8
 HIDDEN = 16
 BLOCK = 16_384
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-SHAPES = {
-    "embed": (VOCABULARY + 1, WIDTH),
-    "w1": (len(OFFSETS) * WIDTH, HIDDEN),
-    "b1": (HIDDEN,),
-    "wc": (HIDDEN, CLASSES),
-    "bc": (CLASSES,),
-    "wo": (CLASSES, HIDDEN, PER_CLASS),
-    "bo": (CLASSES, PER_CLASS),
-}
-_SIZES = [int(np.prod(s)) for s in SHAPES.values()]
-N_PARAMETERS = sum(_SIZES)
+SHARD_WORDS = 2_000_000
+
+
+def shapes(classes: int = CLASSES, per_class: int = PER_CLASS) -> dict[str, tuple[int, ...]]:
+    return {
+        "embed": (classes * per_class + 1, WIDTH),
+        "w1": (len(OFFSETS) * WIDTH, HIDDEN),
+        "b1": (HIDDEN,),
+        "wc": (HIDDEN, classes),
+        "bc": (classes,),
+        "wo": (classes, HIDDEN, per_class),
+        "bo": (classes, per_class),
+    }
+
+
+def n_parameters(classes: int = CLASSES, per_class: int = PER_CLASS) -> int:
+    return sum(int(np.prod(s)) for s in shapes(classes, per_class).values())
+
+
+N_PARAMETERS = n_parameters()
+
+
+def classes_for(distinct: int) -> int:
+    """Number of classes, and of words in each: the vocabulary is four times the root of the distinct words."""
+    return max(CLASSES, int(np.ceil(2 * distinct**0.25)))
 
 
 @dataclass
@@ -46,10 +63,12 @@ class Network:
     """Parameters as one vector, with a view for each part."""
 
     flat: np.ndarray
+    classes: int = CLASSES
+    per_class: int = PER_CLASS
 
     def __post_init__(self):
         at = 0
-        for name, shape in SHAPES.items():
+        for name, shape in shapes(self.classes, self.per_class).items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
@@ -58,19 +77,21 @@ class Network:
 def initial(class_counts: np.ndarray, word_counts: np.ndarray, seed: int = 3) -> Network:
     """Small random weights; the biases start at the log frequencies of classes and words."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.15, N_PARAMETERS).astype(np.float32))
+    classes, per_class = len(class_counts), len(word_counts) // len(class_counts)
+    flat = rng.normal(0, 0.15, n_parameters(classes, per_class)).astype(np.float32)
+    net = Network(flat, classes, per_class)
     net.b1[:] = 0
-    net.bc[:] = np.log((class_counts + 1) / (class_counts.sum() + CLASSES))
-    words = word_counts.reshape(CLASSES, PER_CLASS) + 1.0
+    net.bc[:] = np.log((class_counts + 1) / (class_counts.sum() + classes))
+    words = word_counts.reshape(classes, per_class) + 1.0
     net.bo[:] = np.log(words / words.sum(axis=1, keepdims=True))
     return net
 
 
-def contexts(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each token the tokens around it; past the ends of its document stands ``VOCABULARY``."""
+def contexts(tokens: np.ndarray, offsets: np.ndarray, outside: int = VOCABULARY) -> np.ndarray:
+    """For each token the tokens around it; past the ends of its document stands ``outside``."""
     n = len(tokens)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = np.full((n, len(OFFSETS)), VOCABULARY, np.int64)
+    out = np.full((n, len(OFFSETS)), outside, np.int64)
     for k, o in enumerate(OFFSETS):
         src, dst = (slice(0, n + o), slice(-o, n)) if o < 0 else (slice(o, n), slice(0, n - o))
         same = doc[src] == doc[dst]
@@ -78,47 +99,56 @@ def contexts(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in the place of ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= np.einsum("ij->i", x)[:, None]
+    return x
+
 
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of one entry of each row; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    return picked - np.log(np.einsum("ij->i", np.exp(x, out=x)))
 
-def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.argsort(cls, kind="stable"), np.r_[0, np.cumsum(np.bincount(cls, minlength=CLASSES))]
+
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.argsort(cls, kind="stable"), np.r_[0, np.cumsum(np.bincount(cls, minlength=classes))]
 
 
 def log_probabilities(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Log-probability of each token given the words on both sides."""
     x = net.embed[context].reshape(len(tokens), -1)
     h = np.tanh(x @ net.w1 + net.b1)
-    cls, word = tokens // PER_CLASS, tokens % PER_CLASS
-    out = _log_softmax(h @ net.wc + net.bc)[np.arange(len(tokens)), cls].astype(float)
-    order, cuts = _by_class(cls)
-    for c in range(CLASSES):
+    cls, word = tokens // net.per_class, tokens % net.per_class
+    out = _log_softmax_at(h @ net.wc + net.bc, cls).astype(float)
+    order, cuts = _by_class(cls, net.classes)
+    for c in range(net.classes):
         rows = order[cuts[c] : cuts[c + 1]]
         if len(rows):
-            logs = _log_softmax(h[rows] @ net.wo[c] + net.bo[c])
-            out[rows] += logs[np.arange(len(rows)), word[rows]]
+            out[rows] += _log_softmax_at(h[rows] @ net.wo[c] + net.bo[c], word[rows])
     return out
 
 
 def gradient(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Mean gradient of the negative log-probability, as a vector."""
     n = len(tokens)
-    grad = Network(np.zeros(N_PARAMETERS, np.float32))
+    grad = Network(np.zeros(len(net.flat), np.float32), net.classes, net.per_class)
     x = net.embed[context].reshape(n, -1)
     h = np.tanh(x @ net.w1 + net.b1)
-    cls, word = tokens // PER_CLASS, tokens % PER_CLASS
-    dc = np.exp(_log_softmax(h @ net.wc + net.bc))
+    cls, word = tokens // net.per_class, tokens % net.per_class
+    dc = _softmax(h @ net.wc + net.bc)
     dc[np.arange(n), cls] -= 1
     grad.wc[:], grad.bc[:] = h.T @ dc, dc.sum(axis=0)
     dh = dc @ net.wc.T
-    order, cuts = _by_class(cls)
-    for c in range(CLASSES):
+    order, cuts = _by_class(cls, net.classes)
+    for c in range(net.classes):
         rows = order[cuts[c] : cuts[c + 1]]
         if len(rows):
             hr = h[rows]
-            d = np.exp(_log_softmax(hr @ net.wo[c] + net.bo[c]))
+            d = _softmax(hr @ net.wo[c] + net.bo[c])
             d[np.arange(len(rows)), word[rows]] -= 1
             grad.wo[c], grad.bo[c] = hr.T @ d, d.sum(axis=0)
             dh[rows] += d @ net.wo[c].T
@@ -150,50 +180,149 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _tokenise(words: np.ndarray, place: np.ndarray):
-    """words: sorted hashes of the known words, place: their token."""
+def _bucket(hashes: np.ndarray, per_class: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(per_class)).astype(np.int64)
+
+
+def _place(words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands among the sorted ``words``, and whether it does."""
+    if not len(words):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return at, words[at] == h
+
+
+def _bucket_counts(words: np.ndarray, per_class: int):
+    """words: sorted hashes of the known words. How often the other words of each bucket occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(per_class, np.int64)
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            rare = ~_place(words, h)[1]
+            np.add.at(total, _bucket(h[rare], per_class), batch.column(1).to_numpy()[rare])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(per_class)), pa.array(total)], names=["bucket", "n"])
+
+    return run
+
+
+def _tokenise(words: np.ndarray, place: np.ndarray, per_class: int, known: int):
+    """words: sorted hashes of the known words, place: their token. ``rare`` has the hashes of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = text_column(batch, "text")
             for lo, hi in row_chunks(texts):
                 h, doc = word_hashes(*byte_buffer(texts.slice(lo, hi - lo)))
-                token = (KNOWN + (mix(h) % np.uint64(PER_CLASS)).astype(np.int64)).astype(np.int64)
+                token = known + _bucket(h, per_class)
+                at, hit = _place(words, h)
                 if len(words):
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    hit = words[at] == h
                     token[hit] = place[at[hit]]
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                short = token.astype("<u2")
+                each = np.arange(hi - lo + 1)
+                cut, rare_cut = np.searchsorted(doc, each), np.searchsorted(doc[~hit], each)
+                short, rare = token.astype("<u4"), h[~hit].astype("<u8")
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(np.arange(row, row + hi - lo)),
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                        pa.array([rare[a:b].tobytes() for a, b in zip(rare_cut, rare_cut[1:])], pa.binary()),
                     ],
-                    names=["doc_id", "tokens"],
+                    names=["row", "doc_id", "tokens", "rare"],
                 )
+                row += hi - lo
+
+    return run
+
+
+def _sharded(hashes: np.ndarray, values: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row of packed hashes and values for each shard of the hashes."""
+    shard = ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    hashes, values = hashes[order].astype("<u8"), values[order].astype("<i8")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    full = np.flatnonzero(np.diff(cut))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(full),
+            pa.array([hashes[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
+            pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
+        ],
+        names=["shard", "words", "numbers"],
+    )
+
+
+def _shard_rare(shards: int):
+    """The rare words of the documents by shard, each with the row of its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, n = [], [], 0
+        for batch in batches:
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = np.frombuffer(value.as_buffer(), "<u8")
+                held.append(words)
+                rows.append(np.full(len(words), row))
+                n += len(words)
+                if n > 500_000:
+                    yield from _sharded(np.concatenate(held), np.concatenate(rows), shards)
+                    held, rows, n = [], [], 0
+        if n:
+            yield from _sharded(np.concatenate(held), np.concatenate(rows), shards)
+
+    return run
+
+
+def _shard_counts(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n > 500_000:
+                table = pa.Table.from_batches(held)
+                yield from _sharded(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), shards)
+                held, n = [], 0
+        if n:
+            table = pa.Table.from_batches(held)
+            yield from _sharded(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), shards)
 
     return run
 
 
+def _log_counts(rare: pa.Table, counts: pa.Table) -> pa.Table:
+    """Sum of the log counts of the rare words of each row; a word that is not in ``counts`` occurs once."""
+
+    def numbers(table: pa.Table, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(v.as_buffer() for v in table[name]), kind)
+
+    known, n = numbers(counts, "words", "<u8"), numbers(counts, "numbers", "<i8")
+    order = np.argsort(known)
+    words, rows = numbers(rare, "words", "<u8"), numbers(rare, "numbers", "<i8")
+    at, hit = _place(known[order], words)
+    logs = np.log(n[order][at[hit]])
+    row, back = np.unique(rows[hit], return_inverse=True)
+    return pa.table({"row": pa.array(row), "logs": pa.array(np.bincount(back, logs, len(row)).astype(float))})
+
+
 def _token_chunks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi, their tokens on end and where each row begins."""
     column = batch.column(batch.schema.get_field_index("tokens"))
-    sizes = np.array([len(v.as_buffer()) for v in column]) // 2
+    sizes = np.array([len(v.as_buffer()) for v in column]) // 4
     lo = 0
     while lo < len(sizes):
         hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), limit, "right")))
         raw = b"".join(v.as_py() for v in column.slice(lo, hi - lo))
-        yield lo, hi, np.frombuffer(raw, "<u2").astype(np.int64), np.r_[0, np.cumsum(sizes[lo:hi])]
+        yield lo, hi, np.frombuffer(raw, "<u4").astype(np.int64), np.r_[0, np.cumsum(sizes[lo:hi])]
         lo = hi
 
 
-def _train(flat: np.ndarray, rate: float, step: int):
+def _train(flat: np.ndarray, side: int, rate: float, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, squares, seen = Network(flat.copy()), np.full(N_PARAMETERS, 1e-6, np.float32), 0
+        net, squares, seen = Network(flat.copy(), side, side), np.full(len(flat), 1e-6, np.float32), 0
         for batch in batches:
             for _, _, tokens, offsets in _token_chunks(batch, 200_000):
-                context = contexts(tokens, offsets)
+                context = contexts(tokens, offsets, side * side)
                 order = np.random.default_rng(len(tokens)).permutation(len(tokens))
                 for at in range(0, len(tokens), step):
                     rows = order[at : at + step]
@@ -204,9 +333,9 @@ def _train(flat: np.ndarray, rate: float, step: int):
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(N_PARAMETERS, dtype=np.int32)),
+                    pa.array(np.arange(len(flat), dtype=np.int32)),
                     pa.array(net.flat.astype(float) * seen),
-                    pa.array(np.full(N_PARAMETERS, float(seen))),
+                    pa.array(np.full(len(flat), float(seen))),
                 ],
                 names=["at", "total", "weight"],
             )
@@ -214,64 +343,109 @@ def _train(flat: np.ndarray, rate: float, step: int):
     return run
 
 
-def _score(flat: np.ndarray):
+def _score(flat: np.ndarray, side: int, log_sizes: np.ndarray):
+    """log_sizes: for each token the log count that its words share, 0 for known words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
+        net = Network(flat, side, side)
         for batch in batches:
             for lo, hi, tokens, offsets in _token_chunks(batch, 100_000):
                 total = np.zeros(len(tokens) + 1)
                 for at in range(0, len(tokens), BLOCK):
                     a, b = max(0, at - SIDE), min(len(tokens), at + BLOCK + SIDE)
-                    near = contexts(tokens[a:b], np.clip(offsets, a, b) - a)
+                    near = contexts(tokens[a:b], np.clip(offsets, a, b) - a, side * side)
                     mine = slice(at - a, min(at + BLOCK, len(tokens)) - a)
                     logs = log_probabilities(net, near[mine], tokens[a:b][mine])
                     total[at + 1 : at + 1 + len(logs)] = logs
-                sums = np.add.reduceat(np.r_[total[1:], 0.0], offsets[:-1]) * (np.diff(offsets) > 0)
                 n = np.diff(offsets)
+                sums, shared = (
+                    np.add.reduceat(np.r_[v, 0.0], offsets[:-1]) * (n > 0) for v in (total[1:], log_sizes[tokens])
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
+                        *(batch.column(k).slice(lo, hi - lo) for k in (0, 1)),
                         pa.array(n.astype(np.int64)),
                         pa.array(sums),
-                        pa.array([s / k if k else None for s, k in zip(sums.tolist(), n.tolist())], pa.float64()),
+                        pa.array(shared),
                     ],
-                    names=["doc_id", "n_tokens", "log_likelihood", "per_token"],
+                    names=["row", "doc_id", "n_tokens", "symbols", "shared"],
                 )
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 3, rate: float = 0.05, step: int = 4096) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum over tokens) and per_token (mean; null without tokens) of every row.
-
-    Words are runs of bytes other than ASCII white space. Word counts and training cover all documents;
-    ``rounds`` only deals them out by a hash of id and text. What reaches the driver is of fixed size: the
-    ``KNOWN`` most frequent words and the parameter vector of each round. Parameters follow the way rows lie
-    in partitions, so scores differ slightly when the same rows are partitioned otherwise.
-
-    Null and empty texts have no tokens and a sum of 0. Repeated rows count and are scored each; other
-    columns are not read; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, rounds: int, rate: float, step: int) -> DataFrame:
+    """doc_id, n_tokens, symbols (log-probability of the vocabulary's symbols) and share (log share of the rare
+    words in their buckets) of every row."""
     texts = plain(docs, doc_id="doc_id:long", text="text:string")
     parts = texts.mapInArrow(_count, "word long, n long")
     counts = stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    sizes = counts.agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).first()
+    side = classes_for(sizes.distinct)
+    known = side * side - side
+    top = counts.orderBy(F.desc("n"), "word").limit(known).toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    tokens = stored(texts.mapInArrow(_tokenise(words[order], order), "doc_id long, tokens binary"), "tokens")
-    word_counts = np.zeros(VOCABULARY)
+    words = words[order]
+    buckets = counts.mapInArrow(_bucket_counts(words, side), "bucket long, n long").groupBy("bucket")
+    buckets = buckets.agg(F.sum("n").alias("n")).toPandas()
+    word_counts = np.zeros(side * side)
     word_counts[: len(top)] = top["n"]
-    word_counts[KNOWN:] = (total - word_counts.sum()) / PER_CLASS
-    flat = initial(word_counts.reshape(CLASSES, PER_CLASS).sum(axis=1), word_counts).flat
+    word_counts[known + buckets["bucket"].to_numpy(np.int64)] = buckets["n"]
+    log_sizes = np.zeros(side * side)
+    log_sizes[known:] = np.log(np.maximum(word_counts[known:], 1))
+
+    tokens = stored(
+        texts.mapInArrow(_tokenise(words, order, side, known), "row long, doc_id long, tokens binary, rare binary"),
+        "tokens",
+    )
+    flat = initial(word_counts.reshape(side, side).sum(axis=1), word_counts).flat
     dealt = tokens.withColumn("round", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(rounds)))
     for r in range(rounds):
         trained = dealt.where(F.col("round") == r).select("tokens").mapInArrow(
-            _train(flat, rate, step), "at int, total double, weight double"
+            _train(flat, side, rate, step), "at int, total double, weight double"
         )
         mean = trained.groupBy("at").agg((F.sum("total") / F.sum("weight")).alias("v")).toPandas()
         if len(mean):
             flat = mean.sort_values("at")["v"].to_numpy(np.float32)
-    return tokens.mapInArrow(
-        _score(flat), "doc_id long, n_tokens long, log_likelihood double, per_token double"
+    scored = tokens.select("row", "doc_id", "tokens").mapInArrow(
+        _score(flat, side, log_sizes), "row long, doc_id long, n_tokens long, symbols double, shared double"
     )
+    shards = 1 + (sizes.n or 0) // SHARD_WORDS
+    packed = "shard long, words binary, numbers binary"
+    rare = tokens.select("row", "rare").mapInArrow(_shard_rare(shards), packed).groupBy("shard")
+    often = counts.where("n > 1").mapInArrow(_shard_counts(shards), packed).groupBy("shard")
+    logs = rare.cogroup(often).applyInArrow(_log_counts, "row long, logs double")
+    logs = logs.groupBy("row").agg(F.sum("logs").alias("logs"))
+    share = F.coalesce("logs", F.lit(0.0)) - F.col("shared")
+    return scored.join(logs, "row", "left").select("doc_id", "n_tokens", "symbols", share.alias("share"))
+
+
+def _per_token(scored: DataFrame, value: Column) -> DataFrame:
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", value.alias("log_likelihood")).withColumn("per_token", mean)
+
+
+def word_likelihood(docs: DataFrame, rounds: int = 3, rate: float = 0.05, step: int = 4096) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum over tokens) and per_token (mean; null without tokens) of every row.
+
+    As ``pseudo_likelihood``, but a word outside the vocabulary has the probability of its bucket times its share
+    of all words counted there, so every distinct word has a probability of its own.
+    """
+    return _per_token(_scored(docs, rounds, rate, step), F.col("symbols") + F.col("share"))
+
+
+def pseudo_likelihood(docs: DataFrame, rounds: int = 3, rate: float = 0.05, step: int = 4096) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum over tokens) and per_token (mean; null without tokens) of every row.
+
+    Scores the symbols of the vocabulary: all words of a bucket count as one. ``word_likelihood`` tells them apart.
+
+    Words are runs of bytes other than ASCII white space. Word counts and training cover all documents;
+    ``rounds`` only deals them out by a hash of id and text. What reaches the driver grows with the root of the
+    number of distinct words: the most frequent words and the parameter vector of each round. Parameters follow
+    the way rows lie in partitions, so scores differ slightly when the same rows are partitioned otherwise.
+
+    Null and empty texts have no tokens and a sum of 0. Repeated rows count and are scored each; other
+    columns are not read; an empty table gives no rows.
+    """
+    return _per_token(_scored(docs, rounds, rate, step), F.col("symbols"))

@@ -179,9 +179,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document."""
-    from sievework.llm.pseudo_lm import pseudo_likelihood
+    from sievework.llm.pseudo_lm import word_likelihood
 
-    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+    return word_likelihood(_table(spark, sf_dir, "documents"))
 
 
 @register

@@ -285,6 +285,26 @@ def test_pseudo_likelihood(spark, odd):
     assert pseudo_lm.pseudo_likelihood(odd.limit(0)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    assert pseudo_lm.classes_for(457_666) > pseudo_lm.CLASSES
+    rare = Counter({f"w{i}": 1 + i % 3 for i in range(1500)})
+    table = [(i, f"x{i} " * 5) for i in range(992)] + [(2000 + i, " ".join([w] * n)) for i, (w, n) in enumerate(rare.items())]
+    table += [(None, None), (1, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in pseudo_lm._scored(df, 3, 0.05, 4096).collect()}
+    hashes = pseudo_lm.word_hashes(*pseudo_lm.byte_buffer(pseudo_lm.pa.array(list(rare))))[0]
+    bucket = dict(zip(rare, pseudo_lm._bucket(hashes, 32).tolist()))
+    size = Counter()
+    for w, n in rare.items():
+        size[bucket[w]] += n
+    for i, (w, n) in enumerate(rare.items()):
+        assert got[2000 + i].share == pytest.approx(n * np.log(n / size[bucket[w]]))
+    assert all(got[i].share == 0 for i in [*range(992), None])
+    words = {r.doc_id: r for r in pseudo_lm.word_likelihood(df).collect()}
+    assert len(words) == len(got) and words[None].per_token is None
+    assert words[0].per_token > words[2000].per_token  # a word counted five times against one counted once
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
