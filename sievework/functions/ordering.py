@@ -5,6 +5,7 @@ order, the slices are numbered on their own, and the rows before a slice come fr
 of slice totals. The cuts are taken over the whole frame, not per group: a slice holds at most
 about ``rows_per_task`` rows of *all* groups together, so no (group, slice) can hold more. The
 cut points are literals in the plan, so a task that is run again slices its rows the same way.
+Values are cut as their own type and NaN counts as missing, so cutting does not change the order.
 Frames that fit one task are not cut at all and use the plain window.
 """
 
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.session import rows_per_task
 
@@ -31,20 +33,38 @@ def fits_one_task(df: DataFrame, factor: int = 1) -> bool:
     return df.count() * factor <= rows_per_task(df.sparkSession)
 
 
+def _kind(df: DataFrame, value: str) -> str:
+    kind = df.select(value).schema[0].dataType
+    if isinstance(kind, T.IntegralType | T.BooleanType):
+        return "long"
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return "double"
+    return kind.simpleString()
+
+
+def _exact(df: DataFrame, value: str) -> Column:
+    """The value as the type that it is cut by: no two different values fall together."""
+    return F.col(value).cast(_kind(df, value))
+
+
+def _without_nan(df: DataFrame, value: str) -> Column:
+    """The value with NaN as NULL."""
+    return F.when(~F.isnan(value), F.col(value)) if _kind(df, value) == "double" else F.col(value)
+
+
 def order_cuts(
     df: DataFrame, value: str, tie: str | None, limit: int | None = None
-) -> list[tuple[float, str]]:
+) -> list[tuple]:
     """Cut points (value, tie) that split the frame into slices of about ``limit`` rows."""
     limit = limit or rows_per_task(df.sparkSession)
     n = df.count()
     if n <= limit:
         return []
     slices = -(-n // limit)
-    tie_col = F.col(tie).cast("string") if tie else F.lit("")
     fraction = min(1.0, _SAMPLE_PER_SLICE * slices / n)
     picked = (
-        df.select(F.col(value).cast("double").alias("v"), tie_col.alias("t"))
-        .where("v is not null")
+        df.select(_exact(df, value).alias("v"), _tie(tie).alias("t"))
+        .where(_without_nan(df, value).isNotNull())
         .sample(fraction, 17)
         .collect()
     )
@@ -53,16 +73,22 @@ def order_cuts(
     return sorted(set(picked[step::step]))
 
 
-def slice_number(value: str, tie: str | None, cuts: list[tuple[float, str]]) -> Column:
-    """Number of cut points at or below the row; NULL values come last."""
+def _tie(tie: str | None) -> Column:
+    return F.coalesce(F.col(tie).cast("string"), F.lit("")) if tie else F.lit("")
+
+
+def slice_number(df: DataFrame, value: str, tie: str | None, cuts: list[tuple]) -> Column:
+    """Number of cut points at or below the row; NULL and NaN come last."""
     if not cuts:
         return F.lit(0)
-    values = np.array([c[0] for c in cuts])
+    kind = _kind(df, value)
+    dtype = {"long": np.int64, "double": float}.get(kind, object)
+    values = np.array([c[0] for c in cuts], dtype=dtype)
     ties = np.array([c[1] for c in cuts], dtype=object)
 
     @F.pandas_udf("int")
     def slice_of(v: pd.Series, t: pd.Series) -> pd.Series:
-        x = v.to_numpy(dtype=float)
+        x = v.to_numpy(dtype=dtype)
         lo = np.searchsorted(values, x, "left")
         hi = np.searchsorted(values, x, "right")
         out = lo.copy()
@@ -70,11 +96,19 @@ def slice_number(value: str, tie: str | None, cuts: list[tuple[float, str]]) ->
             rows = np.flatnonzero((lo == at) & (hi > lo))
             same = ties[at : hi[rows[0]]]
             out[rows] = at + np.searchsorted(same, t.to_numpy(dtype=object)[rows], "right")
-        out[np.isnan(x)] = len(values)
         return pd.Series(out.astype("int32"))
 
-    t = F.col(tie).cast("string") if tie else F.lit("")
-    return slice_of(F.col(value).cast("double"), t)
+    # NULL would make pandas read whole numbers as doubles; such rows are set apart below.
+    filled = F.coalesce(_without_nan(df, value).cast(kind), F.lit(cuts[0][0]).cast(kind))
+    return F.when(_without_nan(df, value).isNull(), len(cuts)).otherwise(slice_of(filled, _tie(tie)))
+
+
+def _reversed(df: DataFrame, value: str) -> Column | None:
+    """A number in the opposite order, or None if the value is no number."""
+    kind = _kind(df, value)
+    if kind == "long":
+        return F.bitwise_not(F.col(value).cast("long"))
+    return -F.col(value) if kind == "double" or kind.startswith("decimal") else None
 
 
 def _before(df: DataFrame, keys: list[str], totals: dict[str, Column], how=F.sum) -> DataFrame:
@@ -96,12 +130,13 @@ def numbered(
     limit: int | None = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """Row number 1.. inside ``keys`` by ``value`` (NULL last), ties by ``tie`` as a string.
+    """Row number 1.. inside ``keys`` by ``value`` (NULL and NaN last), ties by ``tie`` as a string.
 
     ``then`` gives further orders between the two. ``cumulate`` names a column whose running sum in that order is added as ``cum_<column>``.
     ``bounded=True`` states that a group cannot outgrow a task (methods of one split, say).
     """
-    direction = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    clean = _without_nan(df, value)
+    direction = clean.desc_nulls_last() if descending else clean.asc_nulls_last()
     by_tie = F.col(tie).cast("string").asc()
     totals = {"_n": F.count(F.lit(1))}
     if cumulate:
@@ -109,10 +144,15 @@ def numbered(
     span = (Window.unboundedPreceding, Window.currentRow)
     cuts: list = []
     if not bounded:
-        df = df.withColumn("_v", -F.col(value).cast("double") if descending else F.col(value))
-        cut_tie = None if then else tie
+        turned = _reversed(df, value) if descending else F.col(value)
+        plainly = turned is not None
+        df = df.withColumn("_v", turned if plainly else F.col(value))
+        cut_tie = tie if plainly and not then else None
         cuts = order_cuts(df, "_v", cut_tie, limit)
-        df = df.withColumn("_slice", slice_number("_v", cut_tie, cuts)).drop("_v")
+        at = slice_number(df, "_v", cut_tie, cuts)
+        # What cannot be turned round is cut in ascending order, and the slices are counted from the end.
+        at = at if plainly else F.when(F.col("_v").isNotNull(), -at).otherwise(at + 1)
+        df = df.withColumn("_slice", at).drop("_v")
     part = [*keys, "_slice"] if cuts else keys
     w = Window.partitionBy(*part).orderBy(direction, *then, by_tie)
     out = df.withColumn(name, F.row_number().over(w))
@@ -174,7 +214,7 @@ def running(
     label = "before" if how == "sum" else "least"
     if cuts:
         sign = -1 if descending else 1
-        df = df.withColumn("_slice", sign * slice_number(value, None, cuts))
+        df = df.withColumn("_slice", sign * slice_number(df, value, None, cuts))
     order = F.col(value).desc() if descending else F.col(value).asc()
     part = [*keys, "_slice"] if cuts else keys
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, last)

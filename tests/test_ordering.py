@@ -118,3 +118,32 @@ def test_dealt_does_not_depend_on_slices(spark, frame, slices):
     plain = {(r.g, r.id): r.pos for r in od.dealt(hashed, ["g"], "h", "pos").collect()}
     got = {(r.g, r.id): r.pos for r in od.dealt(hashed, ["g"], "h", "pos", slices).collect()}
     assert got == plain
+
+
+@pytest.mark.parametrize("descending", [True, False])
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(30,2)", "string"])
+def test_slices_do_not_change_the_order(spark, kind, descending):
+    rnd = random.Random(5)
+    if kind == "double":
+        values = [rnd.choice([float("nan"), None, float("inf"), -0.0, 0.0, rnd.gauss(0, 1)]) for _ in range(300)]
+    elif kind == "string":
+        values = [rnd.choice(["", "é", "b", None, str(rnd.random())]) for _ in range(300)]
+    else:
+        values = [rnd.choice([None, -(2**63), 2**63 - 1, 2**62 + rnd.randrange(40)]) for _ in range(300)]
+    ids = rnd.sample(range(1000), 299)
+    rows = [("a" if i % 2 else "b", None if i == 299 else f"f{ids[i]}", v) for i, v in enumerate(values)]
+    schema = f"g string, id string, value {'long' if kind.startswith('decimal') else kind}"
+    df = spark.createDataFrame(rows, schema).withColumn("value", F.col("value").cast(kind))
+
+    def run(limit, **more):
+        out = od.numbered(df, ["g"], "value", "id", "r", descending, limit=limit, **more).collect()
+        return {(r.g, r.id): r.r for r in out}
+
+    plain = run(10_000)
+    assert plain == run(20) == run(None, bounded=True)
+    assert len(plain) == 300
+    if kind == "double":
+        missing = {(g, i) for g, i, v in rows if v is None or v != v}
+        for g in "ab":
+            last = sum(k[0] == g for k in plain) - sum(k[0] == g for k in missing)
+            assert all((r > last) == (k in missing) for k, r in plain.items() if k[0] == g)
