@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased; a shingle is a hash of five of them. Only a window that
 holds a shingle of an item can be similar to it, so windows are laid where such a shingle stands: every
-start at which the item's length covers it. Their 128-bit SimHash is summed in packed counters, sixteen bits
+start at which the item's length covers it. Their 128-bit SimHash is summed in packed counters, 32 bits
 a lane. Fingerprints within ``radius`` differ in at most that many of ``radius + 1`` blocks, so one block at
 least is equal: the join on item and block finds all of them. What is found is compared exactly.
 """
@@ -17,8 +17,9 @@ from sievework.llm.common import plain, stored
 SIZE = 5
 BITS = 128
 RADIUS = 31
-LANES = 0x0001000100010001
-MAX_WINDOW = 0x3FFF
+LANES = 0x0000000100000001
+LANE_BITS = 32
+HALF = 1 << 30
 BROADCAST_ROWS = 1_000_000
 
 
@@ -41,25 +42,25 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def _packed(h: Column) -> list[Column]:
-    """The 64 bits of a hash as 16 numbers of four lanes of 16 bits."""
-    return [F.shiftrightunsigned(h, b).bitwiseAND(F.lit(LANES)) for b in range(16)]
+    """The 64 bits of a hash as 32 numbers of two lanes of 32 bits."""
+    return [F.shiftrightunsigned(h, b).bitwiseAND(F.lit(LANES)) for b in range(LANE_BITS)]
 
 
 def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys``, n and the 128-bit majority fingerprint (f0, f1) of the hashes ``h`` of each key.
 
-    A key has up to ``MAX_WINDOW`` hashes; each occurrence counts, so a shingle weighs as often as it stands.
+    A key has up to 2^30 hashes; each occurrence counts, so a shingle weighs as often as it stands.
     """
     wide = rows.select(*keys, *(c.alias(f"c{k}_{b}") for k, h in _two("h") for b, c in enumerate(_packed(h))))
     sums = wide.groupBy(*keys).agg(
-        F.count("*").alias("n"), *(F.sum(f"c{k}_{b}").alias(f"c{k}_{b}") for k in (0, 1) for b in range(16))
+        F.count("*").alias("n"), *(F.sum(f"c{k}_{b}").alias(f"c{k}_{b}") for k in (0, 1) for b in range(LANE_BITS))
     )
-    over = F.lit(LANES) * (F.lit(0x3FFF) - F.floor(F.col("n") / 2))
+    over = F.lit(LANES) * (F.lit(HALF - 1) - F.floor(F.col("n") / 2))
     out = []
     for k in (0, 1):
         bits = [
-            F.shiftleft(F.shiftrightunsigned(F.col(f"c{k}_{b}") + over, 14).bitwiseAND(F.lit(LANES)), b)
-            for b in range(16)
+            F.shiftleft(F.shiftrightunsigned(F.col(f"c{k}_{b}") + over, 30).bitwiseAND(F.lit(LANES)), b)
+            for b in range(LANE_BITS)
         ]
         word = bits[0]
         for more in bits[1:]:
@@ -92,32 +93,29 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     differs from the item's in 19 of 128 bits on average (standard deviation 4), so a radius of 31 loses about
     one in 500 windows that stand just there, and none of clearly similar ones.
 
-    Items of fewer than five words have no shingle and match nothing, as do null and empty texts. Items of
-    more than 16,387 words are refused by an error. Repeated rows count once; null ids are not looked for;
+    Items of fewer than five words have no shingle and match nothing, as do null and empty texts. Repeated rows count once; null ids are not looked for;
     an id with several texts is matched by each of them. Other columns are not read. Empty tables give an
     empty result.
     """
+    item = ["item_id", "ikey"]
     bench = (
         plain(items, item_id="item_id:long", text="text:string")
         .where("item_id is not null")
         .distinct()
-        .select("item_id", F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "h"))
-    )
-    bench = stored(bench.groupBy("item_id", "h").agg(F.count("*").alias("w")), "items")
-    lengths = bench.groupBy("item_id").agg(F.sum("w").alias("item_n"))
-    too_long = F.when(F.col("item_n") > MAX_WINDOW, F.raise_error(F.lit("an item has too many words")))
-    known = bench.join(lengths, "item_id").select(
-        "h", "item_id", F.coalesce(too_long.cast("long"), F.col("item_n")).alias("item_n")
+        .select("item_id", F.xxhash64("text").alias("ikey"), F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "h"))
     )
+    bench = stored(bench.groupBy(*item, "h").agg(F.count("*").alias("w")), "items")
+    lengths = bench.groupBy(*item).agg(F.sum("w").alias("item_n"))
+    known = bench.join(lengths, item).select("h", *item, "item_n")
     if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)  # at most a million rows of three numbers
+        known = F.broadcast(known)  # at most a million rows of four numbers
 
     texts = plain(docs, doc_id="doc_id:long", text="text:string").where("doc_id is not null")
     texts = texts.withColumn("tkey", F.xxhash64("text"))
     hits = (
         texts.select("doc_id", "tkey", F.posexplode(shingle_hashes(F.col("text"))).alias("pos", "h"))
         .join(known, "h")
-        .select("doc_id", "tkey", "item_id", "item_n", "pos")
+        .select("doc_id", "tkey", *item, "item_n", "pos")
         .distinct()
     )
     hits = stored(hits, "hits")
@@ -130,10 +128,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     starts = hits.join(held.select("doc_id", "tkey", F.size("hs").alias("doc_n")), ["doc_id", "tkey"])
     room = F.greatest(F.col("doc_n") - F.col("item_n"), F.lit(0))
     starts = starts.select(
-        "doc_id", "tkey", "item_id", "item_n",
+        "doc_id", "tkey", *item, "item_n",
         F.explode(F.sequence(F.least(first, room), F.least(F.col("pos").cast("long"), room))).alias("start"),
     ).distinct()
-    keys = ["doc_id", "tkey", "item_id", "start"]
+    keys = ["doc_id", "tkey", *item, "start"]
 
     def opened(windows: DataFrame) -> DataFrame:
         cut = F.slice("hs", (F.col("start") + 1).cast("int"), F.col("item_n").cast("int"))
@@ -141,16 +139,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
 
     windows = fingerprints(opened(starts), keys)
     per_item = fingerprints(
-        bench.select("item_id", F.explode(F.expr("array_repeat(h, int(w))")).alias("h")), ["item_id"]
+        bench.select(*item, F.explode(F.expr("array_repeat(h, int(w))")).alias("h")), item
     )
     left = windows.select(*keys, F.col("f0").alias("x0"), F.col("f1").alias("x1"), _blocks().alias("block"))
-    right = per_item.select("item_id", F.col("f0").alias("y0"), F.col("f1").alias("y1"), _blocks().alias("block"))
+    right = per_item.select(*item, F.col("f0").alias("y0"), F.col("f1").alias("y1"), _blocks().alias("block"))
     far = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
-    near = left.join(right, ["item_id", "block"]).where(far <= RADIUS).select(*keys).distinct()
+    near = left.join(right, [*item, "block"]).where(far <= RADIUS).select(*keys).distinct()
 
-    chosen = near.join(lengths, "item_id")
+    chosen = near.join(lengths, item)
     counts = opened(chosen).groupBy(*keys, "item_n", "h").agg(F.count("*").alias("n"))
-    common = counts.join(bench, ["item_id", "h"], "left").groupBy(*keys, "item_n").agg(
+    common = counts.join(bench, [*item, "h"], "left").groupBy(*keys, "item_n").agg(
         F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("w", F.lit(0)))).alias("both")
     )
     similarity = F.col("both") / (F.col("n") + F.col("item_n") - F.col("both"))

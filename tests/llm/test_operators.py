@@ -205,6 +205,16 @@ def test_suffix_dedup(spark, odd):
     assert dedup_spans(odd.limit(0)).count() == 0
 
 
+def test_contaminated_by_long_items_and_several_texts(spark):
+    parts = [" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 40), ("b", 90), ("c", 17_000))]
+    items = spark.createDataFrame([(1, parts[0]), (1, parts[1]), (2, parts[2])], "item_id long, text string")
+    table = [(1, "x y " + parts[0] + " z"), (2, parts[1]), (3, parts[2]), (4, parts[0] + " " + parts[1]), (5, "none of them is here")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = sorted(tuple(r) for r in contaminated(df, items).collect())
+    assert got == [(1, 1, 2, 1.0), (2, 1, 0, 1.0), (3, 2, 0, 1.0), (4, 1, 0, 1.0)]
+    assert [r.doc_id for r in drop_contaminated(df, items).collect()] == [5]
+
+
 def test_contaminated(spark, odd):
     items = spark.createDataFrame([(1, "gamma delta epsilon zeta eta theta iota"), (2, "two"), (3, None)], "item_id long, text string")
     got = sorted(tuple(r) for r in contaminated(odd, items).collect())
