@@ -43,23 +43,42 @@ FEATURES = [
 ]
 
 
-def _tag_end(text: str, at: int) -> int:
-    """Position after the tag that begins at ``at``; quoted ``>`` do not end it."""
-    i, quote = at + 1, ""
-    end = text.find(">", i)
-    if end < 0:
-        return len(text)
-    if '"' not in text[i:end] and "'" not in text[i:end]:
-        return end + 1
-    for m in re.compile("[\"'>]").finditer(text, i, i + 20_000):
-        c = m[0]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c == ">":
-            return m.end()
-        elif text[m.start() - 1] in "= \t\n":
-            quote = c
-    return end + 1
+_IN_TAG = re.compile("[\"'>]")
+
+
+class _Tags:
+    """Ends of the tags of one page, each place looked at a bounded number of times."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = {q: text.rfind(q) for q in "\"'"}
+        self.open: set[int] = set()  # quotes from which no tag ends
+
+    def end(self, at: int) -> int:
+        """Position after the tag that begins at ``at``; quoted ``>`` do not end it.
+
+        If a quote stays open to the end of the page, the first ``>`` ends the tag.
+        """
+        text, i, seen = self.text, at + 1, []
+        first = text.find(">", i)
+        if first < 0:
+            return len(text)
+        if '"' not in text[i:first] and "'" not in text[i:first]:
+            return first + 1
+        while m := _IN_TAG.search(text, i):
+            at, c = m.start(), m[0]
+            if c == ">":
+                return m.end()
+            i = m.end()
+            if text[at - 1] in "= \t\n":
+                if at in self.open:
+                    break
+                seen.append(at)
+                if i > self.last[c]:
+                    break
+                i = text.find(c, i) + 1
+        self.open.update(seen)
+        return first + 1
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
@@ -70,6 +89,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     parts: list[str] = []
     linked, link_depth, heading, any_article = 0, 0, False, False
     lower, n, at = page.lower(), len(page), 0
+    tags = _Tags(page)
 
     def flush():
         nonlocal parts, linked
@@ -97,18 +117,18 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             at = n if end < 0 else end + 3
             continue
         if page.startswith(("<!", "<?"), lt):
-            at = _tag_end(page, lt)
+            at = tags.end(lt)
             continue
         m = _NAME.match(page, lt)
         if not m:
             parts.append("<")
             at = lt + 1
             continue
-        at = _tag_end(page, lt)
+        at = tags.end(lt)
         name, closing = m[1].lower(), page[lt + 1] == "/"
         if name in SKIPPED and not closing:
             end = lower.find(f"</{name}", at)
-            at = n if end < 0 else _tag_end(page, end)
+            at = n if end < 0 else tags.end(end)
             continue
         if name == "a":
             link_depth = 0 if closing else 1

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from sievework.llm.chat import maximal_conversations, render
 from sievework.llm.components import components
 from sievework.llm.dart_minhash import DartSketch, keep_first, near_duplicates
 from sievework.llm.decontaminate import contaminated, drop_contaminated
-from sievework.llm.extract import extract, main_text
+from sievework.llm.extract import blocks, extract, main_text
 from sievework.llm.induced_sort import suffix_order
 from sievework.llm.piece_lattice import decode_documents, encode_documents
 from sievework.llm.quality_rules import keep_documents, score_documents, train
@@ -234,6 +235,20 @@ def test_chat(spark):
     assert maximal_conversations(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_extract_long_attributes(quote):
+    text = "This is a sentence of the article that holds enough words to be kept as main text of the page."
+    for n in (10, 30_000):
+        inside = "<p>hidden words > " * n
+        page = f"<article><p>{text}</p><div data-props={quote}{inside}{quote}><p>{text}</p></div></article>"
+        assert [t for t in blocks(page)[0]] == [text, text]
+    assert blocks("<p a='x>one<p>two")[0] == ["one", "two"]
+    start = time.process_time()
+    for piece in ("<a ='>' ", "<a ='>", "<b x=\">' =\"", "<p a=\"'>"):
+        blocks(piece * 50_000)
+    assert time.process_time() - start < 30
+
+
 def test_extract(spark):
     page = "<nav><a>x</a></nav><article><h1>T &amp; t</h1><p>a\n b<br>c<p>d.<div class='comments'><p>no</p></div></article><footer>f</footer>"
     assert extract(page) == "T & t\na b c\nd."
