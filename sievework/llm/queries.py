@@ -190,3 +190,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.suffix_dedup import dedup_spans
 
     return dedup_spans(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and SentencePiece ids of every document, with corpus-wide counts."""
+    import public_tokenizers
+
+    from sievework.llm.alignment import align_tokens
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_tokens(_table(spark, sf_dir, "documents"), *paths)
