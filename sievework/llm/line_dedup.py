@@ -246,7 +246,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     )
     counted = lines_of.where("known").select("digest", "name").distinct()
     often = counted.groupBy("digest").agg(F.count("*").alias("n"), F.max("name").alias("keeper"))
-    often = often.where(F.col("n") >= min_docs).drop("n")
+    # Written, so that the join below deals both sides anew and can split the key of a very common line.
+    often = stored(often.where(F.col("n") >= min_docs).drop("n"), "common-lines")
     lost = lines_of.join(often, "digest").where(~F.col("known") | (F.col("name") != F.col("keeper")))
     return lost.groupBy("name", "known").agg(F.collect_set("hash").alias("hashes"))
 
