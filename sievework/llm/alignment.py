@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from sievework.llm.common import plain, releasing, row_chunks, stored, text_colu
 CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 22
 #: Bytes of the axis that share one pair of dictionaries; a longer text is passed through several.
-AXIS_BYTES = 1 << 20
+AXIS_BYTES = 1 << 16
 # Fixed value: how byte-level tokenizers split a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -98,22 +99,22 @@ class _Side:
         self.ends = np.cumsum(sizes[self.ids])
         self.cut = np.r_[0, np.cumsum(self.n)]
 
-    def ends_between(self, lo: int, hi: int) -> dict[int, int]:
-        """End to index, of the tokens that end after ``lo`` and not after ``hi``."""
-        a, b = np.searchsorted(self.ends, [lo, hi], "right").tolist()
-        return dict(zip(self.ends[a:b].tolist(), range(a, b)))
+    def ends_between(self, lo: int, hi: int) -> tuple[int, pd.Index]:
+        """Dictionary of the ends after ``lo`` up to ``hi``: a hash table from an end to its token, less the first."""
+        first, behind = np.searchsorted(self.ends, [lo, hi], "right").tolist()
+        return first, pd.Index(self.ends[first:behind])
 
 
 def common_cuts(a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of either side stand before each end that both sides have (0 comes first)."""
     last = int(a.ends[-1]) if len(a.ends) else 0
-    of_a, of_b = [0], [0]
+    of_a, of_b = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     for lo in range(0, last, AXIS_BYTES):
-        in_a, in_b = a.ends_between(lo, lo + AXIS_BYTES), b.ends_between(lo, lo + AXIS_BYTES)
-        for end in sorted(in_a.keys() & in_b.keys()):
-            of_a.append(in_a[end] + 1)
-            of_b.append(in_b[end] + 1)
-    return np.array(of_a, np.int64), np.array(of_b, np.int64)
+        (first_a, in_a), (first_b, in_b) = (x.ends_between(lo, lo + AXIS_BYTES) for x in (a, b))
+        common = np.sort(in_a.to_numpy()[in_b.get_indexer(in_a) >= 0])
+        of_a.append(in_a.get_indexer(common) + first_a + 1)
+        of_b.append(in_b.get_indexer(common) + first_b + 1)
+    return np.concatenate(of_a), np.concatenate(of_b)
 
 
 def links_in_slices(a: _Side, b: _Side, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
