@@ -11,18 +11,42 @@ from catalog.standins import cte, evaluations, features, samples, with_
 from sievework.functions.columns import each
 from sievework.operators import folds as fo
 from sievework.operators import models as mo
+from sievework.operators import penalised as pen
 from sievework.operators.preparation import standardise
 from sievework.operators.scores import univariate_auc_rank
+from sievework.plans import decoy_study as ds
+from sievework.plans import null_study as ns
+from sievework.plans.null_study import training_part
 from sievework.session import cut_lineage
 
 
+FOLD = ["dataset", "fold_idx"]
+
+
+def roles(t):
+    """Four stratified folds of the embedding samples, each the test part of one split."""
+    return fo.fold_roles(fo.stratified_folds(samples(t), 4, 42), 4).drop("fold")
+
+
+cte(
+    "roles",
+    """SELECT dataset, f AS fold_idx, sample_id, label, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM (
+    SELECT *, (row_number() OVER (PARTITION BY dataset, label ORDER BY md5(concat_ws('|', '42', sample_id))) - 1) % 4 + 1
+      AS fold FROM samples), range(1, 5) g(f)""",
+    "samples",
+)
+
+
+def training(t):
+    """Labels and z-scores of the training samples of all splits."""
+    return training_part(samples(t), features(t), roles(t), FOLD)
+
+
 def one_split(t):
     """z-scores of the first fold of the embedding samples."""
-    s = samples(t)
-    roles = fo.fold_roles(fo.stratified_folds(s, 4, 42), 4).where("fold_idx = 1").drop("fold")
-    z = standardise(features(t), roles, ["dataset", "fold_idx"])
+    z = standardise(features(t), roles(t).where("fold_idx = 1"), FOLD)
     # every fit reads this split several times
-    return s, cut_lineage(z.select("sample_id", "role", "feature", "value"))
+    return samples(t), cut_lineage(z.select("sample_id", "role", "feature", "value"))
 
 
 def train_half(t):
@@ -30,16 +54,19 @@ def train_half(t):
     return z.where("role = 'train'").drop("role"), s.select("sample_id", "label")
 
 
-@query("elastic_net_rank", "feature:s score:e selected:b rank:i")
+RANKED = "dataset:s fold_idx:i feature:s score:e rank:i selected:b alpha:e penalty:e"
+
+
+@query("elastic_net_rank", RANKED)
 def elastic_net_rank(t):
-    x, y = train_half(t)
-    return mo.elastic_net_rank(x, y, alphas=(0.5, 0.9), penalties=(0.05, 0.01), k=3)
+    y, x = training(t)
+    return pen.elastic_net_rank(x, y, FOLD)
 
 
-@query("lasso_rank", "feature:s score:e selected:b rank:i")
+@query("lasso_rank", RANKED)
 def lasso_rank(t):
-    x, y = train_half(t)
-    return mo.elastic_net_rank(x, y, alphas=(1.0,), penalties=(0.05, 0.02, 0.01), k=3)
+    y, x = training(t)
+    return pen.elastic_net_rank(x, y, FOLD, alphas=(1.0,))
 
 
 @query("forest_rank", "feature:s score:e rank:i")
@@ -61,24 +88,73 @@ def evaluate_panels(t):
 
 
 def _fits(t):
-    s = samples(t)
-    halves = fo.subsamples(s, 4, seed=7, scheme="half").select("resample_id", "sample_id", "role")
-    x = features(t).select("sample_id", "feature", (F.col("value") * 8).alias("value"))
-    return mo.resample_fits(
-        x, s.select("sample_id", "label"), halves, 4, penalties=(0.05, 0.02, 0.01), k=3, steps=40
-    )
+    y, x = training(t)
+    return pen.resample_fits(x, fo.subsamples(y, 50, 5, 7, by=FOLD), FOLD)
 
 
-@query("resample_fits", "alpha:e resample_id:i penalty:e intercept:e oob_auc:e")
+@query(
+    "resample_fits",
+    "dataset:s fold_idx:i resample_id:i alpha:e penalty:e deviance:e intercept:e oob_auc:e",
+)
 def resample_fits(t):
     return _fits(t)[1]
 
 
-@query("resample_coefficients", "alpha:e resample_id:i feature:s beta:e")
+@query("resample_coefficients", "dataset:s fold_idx:i resample_id:i alpha:e feature:s beta:e rise:e")
 def resample_coefficients(t):
     return _fits(t)[0]
 
 
+# What the fits of a permutation are made of: shuffled labels, their own resamples and inner folds.
+cte(
+    "null_members",
+    """WITH train AS (SELECT * FROM roles WHERE role = 'train'),
+    shuffled AS (SELECT a.dataset, a.fold_idx, a.perm_id, a.sample_id, b.label FROM (
+        SELECT dataset, fold_idx, sample_id, perm_id, row_number() OVER (PARTITION BY dataset, fold_idx, perm_id
+          ORDER BY md5(concat_ws('|', 'base', sample_id))) AS pos FROM train, range(1, 101) g(perm_id)) a
+      JOIN (SELECT dataset, fold_idx, label, perm_id, row_number() OVER (PARTITION BY dataset, fold_idx, perm_id
+          ORDER BY md5(concat_ws('|', '123', perm_id, sample_id))) AS pos FROM train, range(1, 101) g(perm_id)) b
+      USING (dataset, fold_idx, perm_id, pos)),
+    dealt AS (SELECT *, (row_number() OVER (PARTITION BY dataset, fold_idx, perm_id, r, label
+        ORDER BY md5(concat_ws('|', '123', 123 + 1000 * r, sample_id))) - 1) % 5 + 1 AS part
+      FROM shuffled, range(1, 5) g(r)),
+    member AS (SELECT dataset, fold_idx, perm_id, (r - 1) * 5 + f AS resample_id, sample_id, label, part = f AS oob
+      FROM dealt, range(1, 6) h(f))
+    SELECT *, CASE WHEN oob THEN 0 ELSE (row_number() OVER (PARTITION BY dataset, fold_idx, perm_id, resample_id, label, oob
+      ORDER BY md5(concat_ws('|', '123', dataset, fold_idx, perm_id, resample_id, sample_id))) - 1) % 5 + 1 END AS fold
+    FROM member""",
+    "roles",
+)
+
+
+@query(
+    "null_fit_members",
+    "dataset:s fold_idx:i perm_id:i resample_id:i fold:i n:i n_positive:i first_id:i id_sum:i",
+    with_("null_members")
+    + """SELECT dataset, fold_idx, perm_id, resample_id, fold, count(*) AS n, sum(label) AS n_positive,
+    min(sample_id) AS first_id, sum(sample_id) AS id_sum FROM null_members GROUP BY 1, 2, 3, 4, 5""",
+)
+def null_fit_members(t):
+    labels = roles(t).where("role = 'train'").drop("role")
+    per = [*FOLD, "perm_id"]
+    drawn = fo.subsamples(fo.permute_labels(labels, 100, 123, FOLD), 20, 5, 123, by=per)
+    members = pen.resample_members(drawn, per, ["resample_id"], 5, 123)
+    return members.groupBy(*per, "resample_id", "fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").alias("n_positive"),
+        F.min("sample_id").alias("first_id"),
+        F.sum("sample_id").alias("id_sum"),
+    )
+
+
+@query(
+    "null_study",
+    "dataset:s fold_idx:i feature:s alpha:e pi:e u:e sign_consistency:e e_pi:e e_u:e t_obs:e n_null:i p:e rank:i",
+)
+def null_study(t):
+    return ns.null_study(samples(t), features(t), roles(t), FOLD)
+
+
 @query(
     "choose_alpha",
     "dataset:s alpha:f mean_value:f",
@@ -140,6 +216,12 @@ def decoy_features(t):
     return d.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
+@query("decoy_study", "dataset:s fold_idx:i feature:s score:e threshold:e fdp:e selected:b")
+def decoy_study(t):
+    y, x = training(t)
+    return ds.decoy_study(x, y, FOLD)
+
+
 @query("forward_panel", "feature:s rank:i inner_auc:e")
 def forward_panel(t):
     x, y = train_half(t)

@@ -78,12 +78,20 @@ def deviance_utility(
     rise = -2 * (
         (y * F.col("_less") - softplus(F.col("_less"))) - (y * F.col("eta") - softplus(F.col("eta")))
     )
-    delta = x.groupBy(*on, "feature").agg(F.sum(rise).alias("delta"))
+    delta = x.groupBy(*on, "feature").agg(F.sum(rise).alias("rise"))
+    return utility_of_rises(delta, fits, keys, on)
+
+
+def utility_of_rises(rises: DataFrame, fits: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """Mean held-out deviance rise of a feature over the fits ``on`` that chose it, weighted by max(AUC - .5, 0).
+
+    A missing AUC counts as .5. Negative means are 0, and so is a feature without any weight.
+    """
     weight = F.greatest(F.coalesce(finite(F.col("oob_auc")), F.lit(0.5)) - 0.5, F.lit(0.0))
-    weighted = delta.join(fits.select(*on, weight.alias("w")), on)
+    weighted = rises.select(*on, "feature", "rise").join(fits.select(*on, weight.alias("w")), on)
     return weighted.groupBy(*keys, "feature").agg(
         F.greatest(
-            safe_div(F.sum(F.col("delta") * F.col("w")), F.sum("w"), F.lit(0.0)), F.lit(0.0)
+            safe_div(F.sum(F.col("rise") * F.col("w")), F.sum("w"), F.lit(0.0)), F.lit(0.0)
         ).alias("utility"),
         F.count(F.lit(1)).alias("n_selected"),
     )

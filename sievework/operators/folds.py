@@ -110,14 +110,16 @@ def subsamples(
             )
             .drop("_h", "_pos", "_n")
         )
-    repeats = -(-b // k)
-    cv = repeated_cv(samples, k, repeats, seed, "paired" if scheme == "paired" else "stratified", by)
+    # Own names for repeat and fold: a split may bring columns of these names along.
+    deal = paired_folds if scheme == "paired" else stratified_folds
+    copies = numbered_copies(samples, "_repeat", -(-b // k))
+    cv = deal(copies, k, seed, [*by, "_repeat"], parts=[F.lit(seed) + 1000 * F.col("_repeat")])
     return (
-        fold_roles(cv, k)
-        .withColumn("resample_id", (F.col("repeat_idx") - 1) * k + F.col("fold_idx"))
+        fold_roles(cv, k, "_fold")
+        .withColumn("resample_id", (F.col("_repeat") - 1) * k + F.col("_fold"))
         .where(F.col("resample_id") <= b)
         .withColumn("role", F.when(F.col("role") == "test", "oob").otherwise("train"))
-        .drop("repeat_idx", "fold_idx", "fold")
+        .drop("_repeat", "_fold", "fold")
     )
 
 
