@@ -173,10 +173,49 @@ def shadow_importance(t):
     return mo.shadow_importance(x, y, runs=3, trees=20)
 
 
-@query("mrmr_rank", "feature:s rank:i score:e selected:b")
+# The first pick of every split is the most informative feature, the second gives up what it shares with the first.
+MRMR_SQL = """
+    , train AS (SELECT r.dataset, r.fold_idx, r.sample_id, r.label, f.feature, f.value FROM roles r
+      JOIN (SELECT sample_id, feature, value FROM features) f USING (sample_id) WHERE role = 'train'),
+    info AS (SELECT dataset, fold_idx, feature, -0.5 * ln(1 - least(abs(corr(value, label)), 1 - 1e-12) ** 2) AS rel
+      FROM train GROUP BY 1, 2, 3),
+    shared AS (SELECT a.dataset, a.fold_idx, a.feature, b.feature AS other,
+        -0.5 * ln(1 - least(abs(corr(a.value, b.value)), 1 - 1e-12) ** 2) AS red
+      FROM train a JOIN train b USING (dataset, fold_idx, sample_id) GROUP BY 1, 2, 3, 4),
+    pick1 AS (SELECT dataset, fold_idx, feature AS p1, rel FROM info
+      QUALIFY row_number() OVER (PARTITION BY dataset, fold_idx ORDER BY round(rel, 12) DESC, feature) = 1),
+    pick2 AS (SELECT dataset, fold_idx, p1, i.feature AS p2, i.rel - red AS s2 FROM info i JOIN pick1 USING (dataset, fold_idx)
+      JOIN (SELECT dataset, fold_idx, feature, other, red FROM shared) s ON s.dataset = i.dataset AND s.fold_idx = i.fold_idx
+        AND s.feature = i.feature AND s.other = p1 WHERE i.feature != p1
+      QUALIFY row_number() OVER (PARTITION BY i.dataset, i.fold_idx ORDER BY round(i.rel - red, 12) DESC, i.feature) = 1),
+    pick3 AS (SELECT i.dataset, i.fold_idx, i.feature AS p3, i.rel - (a.red + b.red) / 2 AS s3 FROM info i
+      JOIN pick2 p ON p.dataset = i.dataset AND p.fold_idx = i.fold_idx
+      JOIN shared a ON a.dataset = i.dataset AND a.fold_idx = i.fold_idx AND a.feature = i.feature AND a.other = p.p1
+      JOIN shared b ON b.dataset = i.dataset AND b.fold_idx = i.fold_idx AND b.feature = i.feature AND b.other = p.p2
+      WHERE i.feature NOT IN (p.p1, p.p2)
+      QUALIFY row_number() OVER (PARTITION BY i.dataset, i.fold_idx ORDER BY round(i.rel - (a.red + b.red) / 2, 12) DESC, i.feature) = 1)
+    SELECT dataset, fold_idx, p1 AS feature, 1 AS rank, rel AS score, true AS selected FROM pick1
+    UNION ALL SELECT dataset, fold_idx, p2, 2, s2, true FROM pick2
+    UNION ALL SELECT dataset, fold_idx, p3, 3, s3, true FROM pick3
+    UNION ALL SELECT i.dataset, i.fold_idx, feature, 3 + row_number() OVER (PARTITION BY i.dataset, i.fold_idx ORDER BY feature), NULL, false
+      FROM info i JOIN pick1 a USING (dataset, fold_idx) JOIN (SELECT dataset, fold_idx, p2 FROM pick2) b USING (dataset, fold_idx)
+      JOIN pick3 c USING (dataset, fold_idx) WHERE feature NOT IN (p1, p2, p3)"""
+
+
+@query("mrmr_rank", "dataset:s fold_idx:i feature:s rank:i score:f selected:b")
 def mrmr_rank(t):
-    x, y = train_half(t)
-    return mo.mrmr_rank(x, y, picks=8)
+    y, x = training(t)
+    return mo.mrmr_rank(x, y, FOLD)
+
+
+@query(
+    "mrmr_first_picks",
+    "dataset:s fold_idx:i feature:s rank:i score:f selected:b",
+    with_("roles", "features").rstrip() + MRMR_SQL,
+)
+def mrmr_first_picks(t):
+    y, x = training(t)
+    return mo.mrmr_rank(x, y, FOLD, picks=3)
 
 
 cte(

@@ -1,35 +1,35 @@
-"""Correlations of features from blockwise cross products.
+"""Correlations of features from cross products of blocks.
 
-Samples become dense vectors of their split's pool, whose size is limited. Every task multiplies
-its own block, so no pair of features is formed row by row and the shuffle carries one p-vector
-per feature and task.
+A split's matrix is cut into pieces, a run of features by a share of the samples each. Two pieces of the
+same samples are multiplied in one task, and the products of a pair of feature blocks are summed over the
+shares; a task holds two pieces and one product, however many features there are. Values are centred
+first, so large means cost no digits. Only the correlations above a limit leave a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from sievework.functions.columns import safe_div
 from sievework.session import cut_lineage
 
-MAX_FEATURES = 5000
+#: Features of a block and samples of a piece.
+BLOCK = 512
+PIECE_SAMPLES = 1024
+#: Products that a task holds before it sends their sums.
+HELD = 16
+#: Less than this share of the sum of squares is rounding: a constant feature, whatever its unit.
+ROUNDING = 1e-13
 
 
 def feature_index(features: DataFrame, keys: list[str]) -> DataFrame:
-    """Position 0.. of every feature of a split by name; fails above ``MAX_FEATURES``."""
+    """Position 0.. of every feature of a split by name."""
     w = Window.partitionBy(*keys).orderBy("feature")
     pool = features.select(*keys, "feature").distinct()
-    placed = pool.withColumn("idx", F.row_number().over(w) - 1)
-    too_many = F.raise_error(F.lit(f"more than {MAX_FEATURES} features in one pool"))
-    return placed.where(
-        F.when(F.col("idx") >= MAX_FEATURES, too_many.cast("boolean")).otherwise(True)
-    )
+    return pool.withColumn("idx", F.row_number().over(w) - 1)
 
 
 def sample_vectors(features: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,68 +51,117 @@ def sample_vectors(features: DataFrame, index: DataFrame, keys: list[str]) -> Da
     )
 
 
-def cross_products(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of products: ``keys, i, row`` where the row is (n, sum, products with 0..p-1) of i."""
-    key_fields = [vectors.schema[k] for k in keys]
-    schema = StructType(
-        [*key_fields, StructField("i", IntegerType()), StructField("row", ArrayType(DoubleType()))]
+def _pieces(features: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, piece, block, ids, x, raw: centred values of a block's features in a share of the samples.
+
+    ``x`` is samples x features in order of sample and index, ``raw`` the sums of the squared uncentred values.
+    """
+    on = [*keys, "feature"]
+    means = features.groupBy(*on).agg(F.avg("value").alias("_m"))
+    pieces = F.ceil(F.count_distinct("sample_id") / PIECE_SAMPLES).alias("_pieces")
+    shares = features.groupBy(*keys).agg(pieces)
+    cells = (
+        features.join(index.join(means, on), on)
+        .join(shares, keys)
+        .select(
+            *keys,
+            F.pmod(F.xxhash64("sample_id"), F.col("_pieces")).alias("piece"),
+            F.floor(F.col("idx") / BLOCK).cast("int").alias("block"),
+            F.struct(F.xxhash64("sample_id").alias("s"), "idx", (F.col("value") - F.col("_m")).alias("v"), "_m").alias("c"),
+        )
     )
+    grouped = cells.groupBy(*keys, "piece", "block").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return grouped.select(
+        *keys, "piece", "block", F.col("c.s").alias("s"), F.col("c.idx").alias("i"), F.col("c.v").alias("v"), F.col("c._m").alias("m")
+    )
+
+
+def _matrix(samples: np.ndarray, i: np.ndarray, v: np.ndarray, m: np.ndarray):
+    """Samples, first index, centred matrix and raw sums of squares of a piece; every cell must exist once."""
+    ids, first = np.unique(samples, return_index=True)
+    width = int(i.max()) - int(i.min()) + 1
+    if len(v) != len(ids) * width:
+        raise ValueError("a sample does not have every feature of its pool, or has one twice")
+    x = np.asarray(v, float).reshape(len(ids), width)
+    raw = ((x + np.asarray(m, float)[:width]) ** 2).sum(0)
+    return ids, int(i.min()), x, raw
+
+
+def _products(keys: list[str]):
+    """Sums over pieces of x_i' x_j, and of the squares on either side, for pairs of blocks."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
 
-    def block(batches):
-        held: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for key, part in b.groupby(keys, sort=False):
-                x = np.vstack(part["x"].to_numpy())
-                ones = np.ones((len(x), 1))
-                left = np.hstack([ones, x])
-                got = x.T @ left
-                add = np.hstack([np.full((x.shape[1], 1), float(len(x))), got])
-                held[key] = held[key] + add if key in held else add
-        for key, m in held.items():
-            out = pd.DataFrame({"i": np.arange(len(m), dtype="int32"), "row": list(m)})
-            for name, v in zip(keys, key, strict=True):
-                out[name] = v
-            yield out[[*keys, "i", "row"]]
-
-    parts = vectors.select(*keys, "x").mapInPandas(block, schema)
-    summed = parts.groupBy(*keys, "i").agg(Summarizer.sum(array_to_vector("row")).alias("row"))
-    return summed.select(*keys, "i", vector_to_array("row").alias("row"))
+        def rows():
+            for (key, i, j), (n, *parts) in held.items():
+                yield dict(zip(keys, key)) | {
+                    "i": i, "j": j, "n": n, **{k: p.tobytes() for k, p in zip(("xy", "si", "sj", "ri", "rj"), parts)}
+                }
+            held.clear()
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                a_ids, i, a, a_raw = _matrix(r.s, r.i, r.v, r.m)
+                b_ids, j, b, b_raw = (a_ids, i, a, a_raw) if r.block == r.block2 else _matrix(r.s2, r.i2, r.v2, r.m2)
+                if not np.array_equal(a_ids, b_ids):
+                    raise ValueError("a sample does not have every feature of its pool")
+                parts = [len(a), a.T @ b, (a * a).sum(0), (b * b).sum(0), a_raw, b_raw]
+                at = (tuple(getattr(r, k) for k in keys), i, j)
+                held[at] = [x + y for x, y in zip(held[at], parts)] if at in held else parts
+                if len(held) >= HELD:
+                    yield pd.DataFrame(list(rows()))
+        if held:
+            yield pd.DataFrame(list(rows()))
+
+    return run
+
+
+def _strong(keys: list[str], above: float, strict: bool):
+    """Index pairs of two blocks whose correlation is above the limit, from all their partial sums."""
+
+    def run(key, parts):
+        def total(name):
+            return sum(np.frombuffer(b) for b in parts[name])
+
+        si, sj = total("si"), total("sj")
+        varies_i, varies_j = si > ROUNDING * total("ri"), sj > ROUNDING * total("rj")
+        scale = np.sqrt(np.outer(np.where(varies_i, si, np.nan), np.where(varies_j, sj, np.nan)))
+        r = total("xy").reshape(len(si), len(sj)) / scale
+        i, j = key[-2], key[-1]
+        if i == j:
+            r[np.tril_indices(len(si))] = np.nan
+        with np.errstate(invalid="ignore"):
+            a, b = np.nonzero(np.abs(r) > above if strict else np.abs(r) >= above)
+        out = pd.DataFrame({"i": i + a, "j": j + b, "r": r[a, b]})
+        for k, v in zip(keys, key):
+            out[k] = pd.Series([v] * len(out), dtype=object)
+        return out
+
+    return run
 
 
 def correlation_edges(
     features: DataFrame, keys: list[str], above: float = 0.0, strict: bool = True
 ) -> DataFrame:
-    """Pairs ``feature_a < feature_b`` with |r| above a limit; constant features have no pair."""
-    index = feature_index(features, keys)
-    rows = cross_products(sample_vectors(features, index, keys), keys)
-    n, s, own = F.col("row")[0], F.col("row")[1], F.col("row")[F.col("i") + 2]
-    moments = rows.select(
-        *keys,
-        "i",
-        n.alias("n"),
-        s.alias("s"),
-        (own - s * s / n).alias("ss"),
-        own.alias("own"),
-        F.posexplode(F.slice("row", 3, F.size("row") - 2)).alias("j", "xy"),
-    ).where("i < j")
-    other = rows.select(
-        *keys, F.col("i").alias("j"), s.alias("s_j"), (own - s * s / n).alias("ss_j"), own.alias("own_j")
-    )
-    joint = F.col("xy") - F.col("s") * F.col("s_j") / F.col("n")
-    r = safe_div(joint, F.sqrt(F.greatest(F.col("ss") * F.col("ss_j"), F.lit(0.0))))
-    # Less than this share of the sum of squares is rounding: a constant feature, whatever its unit.
-    eps = 1e-13
-    pairs = (
-        moments.join(other, [*keys, "j"])
-        .where((F.col("ss") > eps * F.col("own")) & (F.col("ss_j") > eps * F.col("own_j")))
-        .select(*keys, "i", "j", r.alias("r"))
+    """Pairs ``feature_a < feature_b`` with |r| above a limit; constant features have no pair.
+
+    Every sample needs every feature of its split once. Pools may have any number of features.
+    """
+    index = cut_lineage(feature_index(features, keys))
+    pieces = cut_lineage(_pieces(features, index, keys))
+    other = pieces.select(*keys, "piece", *[F.col(c).alias(f"{c}2") for c in ("block", "s", "i", "v", "m")])
+    pairs = pieces.join(other, [*keys, "piece"]).where("block <= block2")
+    fields = [pieces.schema[k] for k in keys]
+    numbers = [StructField("i", IntegerType()), StructField("j", IntegerType())]
+    sums = [StructField("n", LongType()), *[StructField(c, BinaryType()) for c in ("xy", "si", "sj", "ri", "rj")]]
+    products = pairs.mapInPandas(_products(keys), StructType([*fields, *numbers, *sums]))
+    found = products.groupBy(*keys, "i", "j").applyInPandas(
+        _strong(keys, above, strict), StructType([*numbers, StructField("r", DoubleType()), *fields])
     )
-    kept = pairs.where(F.abs("r") > above) if strict else pairs.where(F.abs("r") >= above)
     a = index.select(*keys, F.col("idx").alias("i"), F.col("feature").alias("feature_a"))
     b = index.select(*keys, F.col("idx").alias("j"), F.col("feature").alias("feature_b"))
-    return kept.join(a, [*keys, "i"]).join(b, [*keys, "j"]).select(
-        *keys, "feature_a", "feature_b", "r"
-    )
+    return found.join(a, [*keys, "i"]).join(b, [*keys, "j"]).select(*keys, "feature_a", "feature_b", "r")
 
 
 def redundancy_filter(
