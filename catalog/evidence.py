@@ -525,9 +525,9 @@ cte(
     FROM features f JOIN (SELECT perm_id - 1 AS perm_id, sample_id, label FROM (
       SELECT a.perm_id, a.sample_id, b.label FROM (
         SELECT sample_id, perm_id, row_number() OVER (PARTITION BY perm_id ORDER BY md5(concat_ws('|', 'base', sample_id))) AS pos
-          FROM samples, range(1, 42) g(perm_id)) a
+          FROM samples, range(1, 1002) g(perm_id)) a
         JOIN (SELECT label, perm_id, row_number() OVER (PARTITION BY perm_id ORDER BY md5(concat_ws('|', '13', perm_id - 1, sample_id))) AS pos
-          FROM samples, range(1, 42) g(perm_id)) b USING (perm_id, pos))
+          FROM samples, range(1, 1002) g(perm_id)) b USING (perm_id, pos))
       UNION ALL SELECT -1, sample_id, label FROM samples) p USING (sample_id) GROUP BY 1, 2, 3""",
     "features",
     "samples",
@@ -545,7 +545,7 @@ cte(
         "("
         + bh_sql(
             """(SELECT o.dataset, o.set_id, o.n_members, o.stat AS stat_obs, avg(n.stat) AS null_mean,
-          (1 + count(*) FILTER (n.stat >= o.stat)) / 41.0::DOUBLE AS p, (1 + count(*) FILTER (n.stat >= s.stat)) / 41.0::DOUBLE AS p_self
+          (1 + count(*) FILTER (n.stat >= o.stat)) / 1001.0::DOUBLE AS p, (1 + count(*) FILTER (n.stat >= s.stat)) / 1001.0::DOUBLE AS p_self
           FROM set_stats o JOIN set_stats s ON s.set_id = o.set_id AND s.perm_id = 0
           JOIN set_stats n ON n.set_id = o.set_id AND n.perm_id > 0 WHERE o.perm_id = -1 GROUP BY ALL, s.stat)""".replace("GROUP BY ALL, s.stat", "GROUP BY 1, 2, 3, 4"),
             "dataset",
@@ -560,8 +560,8 @@ cte(
 
 
 def gate(t):
-    pt = ev.permutation_t(features(t), samples(t), K, 40, 13)
-    return ev.set_gate(pt, feat_sets(t), K, 40, 4)
+    pt = ev.permutation_t(features(t), samples(t), K, 1000, 13)
+    return ev.set_gate(pt, feat_sets(t), K, 1000, 4)
 
 
 @query(
@@ -606,5 +606,5 @@ def gate_report(t):
     stddev_samp(stat) FILTER (perm_id > 0) AS sd FROM set_stats GROUP BY 1, 2)""",
 )
 def set_scores(t):
-    pt = ev.permutation_t(features(t), samples(t), K, 40, 13)
+    pt = ev.permutation_t(features(t), samples(t), K, 1000, 13)
     return ev.set_scores(pt, feat_sets(t), K, 4)

@@ -10,13 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from sievework.functions.columns import clipped_ratio, finite, safe_div, share, softplus
 from sievework.functions.ordering import average_ranks, fits_one_task, group_quantiles, numbered
 from sievework.operators.folds import permute_labels
+from sievework.operators.gramian import ROUNDING, feature_index, piece_matrix, pieces
 from sievework.operators.scores import bh_adjust, percentile01
+from sievework.session import cut_lineage
 
 
 def selection_frequency(coefs: DataFrame, keys: list[str], resamples: int) -> DataFrame:
@@ -521,77 +528,128 @@ def component_rankings(
     return numbered(rows, [*keys, "method"], "score", "feature", then=then, bounded=bounded)
 
 
+def label_matrix(samples: DataFrame, keys: list[str], m: int, seed: int) -> DataFrame:
+    """keys, sample_id and ``labels``: the observed label, that of the self-test permutation, then of ``m`` others."""
+    shuffled = permute_labels(samples, m + 1, seed, keys, first=0)
+    real = samples.select(*keys, F.lit(-1).alias("perm_id"), "sample_id", "label")
+    each_label = F.struct("perm_id", F.col("label").cast("tinyint").alias("label"))
+    rows = shuffled.select(*keys, "perm_id", "sample_id", "label").unionByName(real)
+    return rows.groupBy(*keys, "sample_id").agg(F.array_sort(F.collect_list(each_label)).alias("_l")).select(
+        *keys, "sample_id", F.col("_l.label").alias("labels")
+    )
+
+
 def permutation_t(
     features: DataFrame, samples: DataFrame, keys: list[str], m: int, seed: int
 ) -> DataFrame:
-    """|t| of every feature under the observed labels (perm_id -1), a self-test permutation
-    (perm_id 0) and ``m`` null permutations.
+    """keys, feature and ``abs_t``: |t| under the observed labels, a self-test permutation and ``m`` null ones.
 
-    A permutation only moves samples between the classes: with the totals known, one sum over the
-    positive samples gives both means and the pooled variance.
+    A permutation only moves samples between the classes: with the totals known, the sums over the positive samples
+    give both means and the pooled variance. They come for all permutations at once from the product of a piece of
+    the feature matrix with the label matrix of the same samples, and are added up over the pieces. An entry is NULL
+    where the feature does not vary inside the classes.
     """
-    perms = permute_labels(samples, m + 1, seed, keys, first=0)
-    real = samples.select(*keys, F.lit(-1).alias("perm_id"), "sample_id", "label")
-    positive = perms.unionByName(real).where("label = 1").drop("label")
-    n = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")
-    )
-    totals = features.groupBy(*keys, "feature").agg(
-        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")
-    )
-    sums = (
-        features.join(positive, [*keys, "sample_id"])
-        .groupBy(*keys, "perm_id", "feature")
-        .agg(F.sum("value").alias("s1"))
-    )
-    n1, n0 = F.nullif("n1", F.lit(0)), F.nullif(F.col("n") - F.col("n1"), F.lit(0))
-    m1, m0 = F.col("s1") / n1, (F.col("s") - F.col("s1")) / n0
-    pooled = (F.col("q") - n1 * m1 * m1 - n0 * m0 * m0) / F.nullif(F.col("n") - 2, F.lit(0))
-    return (
-        sums.join(totals, [*keys, "feature"])
-        .join(n, keys)
-        .select(
-            *keys,
-            "perm_id",
-            "feature",
-            F.when(pooled * (F.col("n") - 2) > 1e-13 * F.col("q"), F.abs((m1 - m0) / (F.sqrt(pooled) * F.sqrt(1 / n1 + 1 / n0)))).alias(
-                "abs_t"
-            ),
-        )
-    )
+    index = cut_lineage(feature_index(features, keys))
+    cells = pieces(features, index, keys)
+    shares = cells.select(*keys, "piece", F.explode("s").alias("s")).distinct()
+    labels = label_matrix(samples, keys, m, seed).withColumn("s", F.xxhash64("sample_id"))
+    rows = labels.join(shares, [*keys, "s"]).groupBy(*keys, "piece").agg(
+        F.array_sort(F.collect_list(F.struct("s", "labels"))).alias("l")
+    )
+    both = cells.join(rows.select(*keys, "piece", F.col("l.labels").alias("l")), [*keys, "piece"])
+    fields = [cells.schema[k] for k in keys]
+
+    def multiply(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, first, x, raw = piece_matrix(r.s, r.i, r.v, r.m)
+                label = np.vstack(list(r.l)).astype(float)
+                if len(label) != len(ids):
+                    raise ValueError("a sample has features but no label, or more than one")
+                row = {k: getattr(r, k) for k in keys} | {"first": first, "n": len(ids), "width": x.shape[1]}
+                parts = {"n1": label.sum(0), "s1": x.T @ label, "s": x.sum(0), "q": (x * x).sum(0), "raw": raw}
+                yield pd.DataFrame([row | {k: v.tobytes() for k, v in parts.items()}])
+
+    blobs = ["n1", "s1", "s", "q", "raw"]
+    sums = [StructField("first", IntegerType()), StructField("n", IntegerType()), StructField("width", IntegerType())]
+    products = both.mapInPandas(multiply, StructType([*fields, *sums, *[StructField(c, BinaryType()) for c in blobs]]))
+
+    def statistics(key, parts):
+        n1, s1, s, q, raw = (sum(np.frombuffer(b) for b in parts[c]) for c in blobs)
+        n, width = int(parts["n"].sum()), int(parts["width"].iloc[0])
+        s1, n0 = s1.reshape(width, -1), n - n1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m1, m0 = s1 / n1, (s[:, None] - s1) / n0
+            rest = q[:, None] - n1 * m1 * m1 - n0 * m0 * m0
+            t = np.abs(m1 - m0) / np.sqrt(rest / (n - 2) * (1 / n1 + 1 / n0))
+        varies = (rest > ROUNDING * raw[:, None]) & (n1 > 0) & (n0 > 0) & (n > 2)
+        out = pd.DataFrame({"idx": key[-1] + np.arange(width)})
+        out["abs_t"] = [[v if ok else None for v, ok in zip(a, b)] for a, b in zip(t.tolist(), varies.tolist())]
+        for k, v in zip(keys, key):
+            out[k] = pd.Series([v] * len(out), dtype=object)
+        return out
+
+    scored = products.groupBy(*keys, "first").applyInPandas(
+        statistics, StructType([StructField("idx", IntegerType()), StructField("abs_t", ArrayType(DoubleType())), *fields])
+    )
+    return scored.join(index, [*keys, "idx"]).select(*keys, "feature", "abs_t")
 
 
 def _set_statistics(t: DataFrame, feature_sets: DataFrame, keys: list[str], minimum: int):
-    """Mean |t| over the members of every set in every permutation; sets below ``minimum`` drop."""
+    """``stats``: mean |t| over the members of every set, permutation by permutation; small sets drop.
+
+    The sets are a sparse matrix of zeros and ones: its product with the |t| of the features is a grouped sum of vectors.
+    """
     members = feature_sets.select("set_id", "feature").distinct()
-    return (
-        t.join(members, "feature")
-        .groupBy(*keys, "perm_id", "set_id")
-        .agg(F.avg("abs_t").alias("stat"), F.count(F.lit(1)).alias("n_members"))
-        .where(F.col("n_members") >= minimum)
+    zeros = F.transform("abs_t", lambda x: F.coalesce(x, F.lit(0.0)))
+    known = F.transform("abs_t", lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
+    some = t.withColumn("_t", array_to_vector(zeros)).withColumn("_k", array_to_vector(known))
+    summed = (
+        some.join(members, "feature")
+        .groupBy(*keys, "set_id")
+        .agg(
+            F.count_if(F.exists("abs_t", lambda x: x.isNotNull())).alias("n_members"),
+            Summarizer.sum(F.col("_t")).alias("_t"),
+            Summarizer.sum(F.col("_k")).alias("_k"),
+        )
     )
+    means = F.zip_with(vector_to_array("_t"), vector_to_array("_k"), lambda a, b: F.when(b > 0, a / b))
+    return summed.where(F.col("n_members") >= minimum).select(*keys, "set_id", "n_members", means.alias("stats"))
+
+
+def _nulls(stats: str = "stats"):
+    return F.slice(stats, 3, F.size(stats))
+
+
+def _mean(values):
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(values))
 
 
 def set_gate(
     t: DataFrame, feature_sets: DataFrame, keys: list[str], m: int, minimum: int = 10
 ) -> DataFrame:
-    """Permutation p and q of every set, and the same for the self-test permutation."""
+    """Permutation p and q of every set, and the same for the self-test permutation.
+
+    ``t`` comes from ``permutation_t`` with ``m`` permutations. A set below ``minimum`` members that vary is left out.
+    """
     stats = _set_statistics(t, feature_sets, keys, minimum)
-    on = [*keys, "set_id"]
-    obs = stats.where("perm_id = -1").select(*on, "n_members", F.col("stat").alias("stat_obs"))
-    own = stats.where("perm_id = 0").select(*on, F.col("stat").alias("stat_self"))
-    null = stats.where("perm_id > 0").select(*on, F.col("stat").alias("_n"))
-    g = (
-        obs.join(own, on)
-        .join(null, on)
-        .groupBy(*on, "n_members", "stat_obs", "stat_self")
-        .agg(
-            F.avg("_n").alias("null_mean"),
-            ((1 + F.count_if(F.col("_n") >= F.col("stat_obs"))) / (m + 1)).alias("p"),
-            ((1 + F.count_if(F.col("_n") >= F.col("stat_self"))) / (m + 1)).alias("p_self"),
-        )
-    )
-    small = fits_one_task(feature_sets.select("set_id").distinct())
+    stats = stats.withColumn("stat_obs", F.col("stats")[0]).withColumn("stat_self", F.col("stats")[1])
+
+    def tail(of: str):
+        return (1 + F.size(F.filter(_nulls(), lambda x: x >= F.col(of)))) / (m + 1)
+
+    g = stats.select(
+        *keys,
+        "set_id",
+        "n_members",
+        "stat_obs",
+        "stat_self",
+        _mean(_nulls()).alias("null_mean"),
+        tail("stat_obs").alias("p"),
+        tail("stat_self").alias("p_self"),
+    )
+    g = cut_lineage(g)
+    small = fits_one_task(g)
     g = bh_adjust(g, keys, "p", "q", bounded=small)
     return bh_adjust(g, keys, "p_self", "q_self", bounded=small)
 
@@ -619,17 +677,15 @@ def set_scores(
 ) -> DataFrame:
     """z of each set's statistic against its permutation null; 0 without spread."""
     stats = _set_statistics(t, feature_sets, keys, minimum)
-    null = F.when(F.col("perm_id") > 0, F.col("stat"))
-    return (
-        stats.groupBy(*keys, "set_id")
-        .agg(
-            F.max(F.when(F.col("perm_id") == -1, F.col("stat"))).alias("stat_obs"),
-            F.avg(null).alias("null_mean"),
-            F.stddev_samp(null).alias("_sd"),
-        )
-        .withColumn(
-            "z",
-            F.coalesce(safe_div(F.col("stat_obs") - F.col("null_mean"), F.col("_sd")), F.lit(0.0)),
-        )
-        .drop("_sd")
+    stats = stats.withColumn("null_mean", _mean(_nulls()))
+    squares = F.aggregate(
+        _nulls(), F.lit(0.0), lambda s, x: s + (x - F.col("null_mean")) * (x - F.col("null_mean"))
+    )
+    sd = F.sqrt(squares / F.nullif(F.size(_nulls()) - 1, F.lit(0)))
+    return stats.select(
+        *keys,
+        "set_id",
+        F.col("stats")[0].alias("stat_obs"),
+        "null_mean",
+        F.coalesce(safe_div(F.col("stats")[0] - F.col("null_mean"), sd), F.lit(0.0)).alias("z"),
     )

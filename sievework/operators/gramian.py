@@ -51,15 +51,15 @@ def sample_vectors(features: DataFrame, index: DataFrame, keys: list[str]) -> Da
     )
 
 
-def _pieces(features: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+def pieces(features: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """keys, piece, block, ids, x, raw: centred values of a block's features in a share of the samples.
 
     ``x`` is samples x features in order of sample and index, ``raw`` the sums of the squared uncentred values.
     """
     on = [*keys, "feature"]
     means = features.groupBy(*on).agg(F.avg("value").alias("_m"))
-    pieces = F.ceil(F.count_distinct("sample_id") / PIECE_SAMPLES).alias("_pieces")
-    shares = features.groupBy(*keys).agg(pieces)
+    per_split = F.ceil(F.count_distinct("sample_id") / PIECE_SAMPLES).alias("_pieces")
+    shares = features.groupBy(*keys).agg(per_split)
     cells = (
         features.join(index.join(means, on), on)
         .join(shares, keys)
@@ -76,7 +76,7 @@ def _pieces(features: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def _matrix(samples: np.ndarray, i: np.ndarray, v: np.ndarray, m: np.ndarray):
+def piece_matrix(samples: np.ndarray, i: np.ndarray, v: np.ndarray, m: np.ndarray):
     """Samples, first index, centred matrix and raw sums of squares of a piece; every cell must exist once."""
     ids, first = np.unique(samples, return_index=True)
     width = int(i.max()) - int(i.min()) + 1
@@ -102,8 +102,8 @@ def _products(keys: list[str]):
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                a_ids, i, a, a_raw = _matrix(r.s, r.i, r.v, r.m)
-                b_ids, j, b, b_raw = (a_ids, i, a, a_raw) if r.block == r.block2 else _matrix(r.s2, r.i2, r.v2, r.m2)
+                a_ids, i, a, a_raw = piece_matrix(r.s, r.i, r.v, r.m)
+                b_ids, j, b, b_raw = (a_ids, i, a, a_raw) if r.block == r.block2 else piece_matrix(r.s2, r.i2, r.v2, r.m2)
                 if not np.array_equal(a_ids, b_ids):
                     raise ValueError("a sample does not have every feature of its pool")
                 parts = [len(a), a.T @ b, (a * a).sum(0), (b * b).sum(0), a_raw, b_raw]
@@ -149,10 +149,10 @@ def correlation_edges(
     Every sample needs every feature of its split once. Pools may have any number of features.
     """
     index = cut_lineage(feature_index(features, keys))
-    pieces = cut_lineage(_pieces(features, index, keys))
-    other = pieces.select(*keys, "piece", *[F.col(c).alias(f"{c}2") for c in ("block", "s", "i", "v", "m")])
-    pairs = pieces.join(other, [*keys, "piece"]).where("block <= block2")
-    fields = [pieces.schema[k] for k in keys]
+    parts = cut_lineage(pieces(features, index, keys))
+    other = parts.select(*keys, "piece", *[F.col(c).alias(f"{c}2") for c in ("block", "s", "i", "v", "m")])
+    pairs = parts.join(other, [*keys, "piece"]).where("block <= block2")
+    fields = [parts.schema[k] for k in keys]
     numbers = [StructField("i", IntegerType()), StructField("j", IntegerType())]
     sums = [StructField("n", LongType()), *[StructField(c, BinaryType()) for c in ("xy", "si", "sj", "ri", "rj")]]
     products = pairs.mapInPandas(_products(keys), StructType([*fields, *numbers, *sums]))
