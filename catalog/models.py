@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import query
@@ -12,8 +13,9 @@ from sievework.functions.columns import each
 from sievework.operators import folds as fo
 from sievework.operators import models as mo
 from sievework.operators import penalised as pen
+from sievework.operators import trees as tr
 from sievework.operators.preparation import standardise
-from sievework.operators.scores import univariate_auc_rank
+from sievework.operators.scores import pooled_t, univariate_auc_rank
 from sievework.plans import decoy_study as ds
 from sievework.plans import null_study as ns
 from sievework.plans.null_study import training_part
@@ -42,18 +44,6 @@ def training(t):
     return training_part(samples(t), features(t), roles(t), FOLD)
 
 
-def one_split(t):
-    """z-scores of the first fold of the embedding samples."""
-    z = standardise(features(t), roles(t).where("fold_idx = 1"), FOLD)
-    # every fit reads this split several times
-    return samples(t), cut_lineage(z.select("sample_id", "role", "feature", "value"))
-
-
-def train_half(t):
-    s, z = one_split(t)
-    return z.where("role = 'train'").drop("role"), s.select("sample_id", "label")
-
-
 RANKED = "dataset:s fold_idx:i feature:s score:e rank:i selected:b alpha:e penalty:e"
 
 
@@ -69,22 +59,34 @@ def lasso_rank(t):
     return pen.elastic_net_rank(x, y, FOLD, alphas=(1.0,))
 
 
-@query("forest_rank", "feature:s score:e rank:i")
+@query("forest_rank", "dataset:s fold_idx:i feature:s score:e rank:i")
 def forest_rank(t):
-    x, y = train_half(t)
-    return mo.forest_rank(x, y, trees=50)
+    y, x = training(t)
+    return tr.forest_rank(x, y, FOLD)
+
 
+def all_panels(t):
+    """The first k features of every split by |t| and by AUC, and three random panels of each size."""
+    y, x = training(t)
+    rows = x.join(y, [*FOLD, "sample_id"])
+    by_t = pooled_t(rows, [*FOLD, "feature"]).select(*FOLD, "feature", F.round(F.abs("t"), 9).alias("score"))
+    by_auc = univariate_auc_rank(rows, FOLD).select(*FOLD, "feature", F.round("score", 9).alias("score"))
+    scores = by_t.withColumn("method", F.lit("t_test")).unionByName(by_auc.withColumn("method", F.lit("auc")))
+    w = Window.partitionBy(*FOLD, "method").orderBy(F.col("score").desc(), "feature")
+    ranked = scores.withColumn("position", F.row_number().over(w)).drop("score")
+    drawn = fo.random_panels(x.select(*FOLD, "feature").distinct(), max(PANEL_SIZES), 3, 5, FOLD)
+    drawn = drawn.withColumn("method", F.concat(F.lit("random"), "draw_id")).drop("draw_id")
+    panels = ranked.unionByName(drawn.select(*ranked.columns))
+    return each(panels, "k", PANEL_SIZES).where(F.col("position") <= F.col("k")).drop("position")
 
-@query("evaluate_panels", "method:s k:i evaluator:s auc:e")
+
+PANEL_SIZES = [5, 10, 20, 50]
+
+
+@query("evaluate_panels", "dataset:s fold_idx:i method:s k:i evaluator:s n_features:i auc:e")
 def evaluate_panels(t):
-    s, z = one_split(t)
-    z = z.join(s.select("sample_id", "label"), "sample_id")
-    train, test = z.where("role = 'train'"), z.where("role = 'test'")
-    ranked = univariate_auc_rank(train.withColumn("dataset", F.lit("d")), ["dataset"])
-    best = [r.feature for r in ranked.where("rank <= 10").orderBy("rank").collect()]
-    return mo.evaluate_panels(
-        train, test, {("auc", 5): best[:5], ("auc", 10): best}, rounds=5, trees=30, penalties=(0.05, 0.01)
-    )
+    z = cut_lineage(standardise(features(t), roles(t), FOLD).drop("role"))
+    return tr.evaluate_panels(z, roles(t), cut_lineage(all_panels(t)), FOLD)
 
 
 def _fits(t):
@@ -167,10 +169,10 @@ def choose_alpha(t):
     return mo.choose_alpha(f, ["dataset"])
 
 
-@query("shadow_importance", "feature:s score:e hits:i decision:s rank:i")
+@query("shadow_importance", "dataset:s fold_idx:i feature:s score:e hits:i decision:s rank:i")
 def shadow_importance(t):
-    x, y = train_half(t)
-    return mo.shadow_importance(x, y, runs=3, trees=20)
+    y, x = training(t)
+    return tr.shadow_importance(x, y, FOLD)
 
 
 # The first pick of every split is the most informative feature, the second gives up what it shares with the first.
@@ -261,10 +263,10 @@ def decoy_study(t):
     return ds.decoy_study(x, y, FOLD)
 
 
-@query("forward_panel", "feature:s rank:i inner_auc:e")
+@query("forward_panel", "dataset:s fold_idx:i feature:s rank:i inner_auc:e")
 def forward_panel(t):
-    x, y = train_half(t)
-    return mo.forward_panel(x, y, candidates=6, k_max=2, inner_k=3, steps=25)
+    y, x = training(t)
+    return mo.forward_panel(x, y, FOLD)
 
 
 @query(
