@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import query
+from catalog.evidence import feat_sets, nulls
 from catalog.evidence import fits as screening_fits
-from catalog.evidence import nulls
 from catalog.standins import cte, evaluations, features, samples, with_
 from sievework.functions.columns import each
 from sievework.operators import folds as fo
@@ -17,6 +17,7 @@ from sievework.operators import trees as tr
 from sievework.operators.preparation import standardise
 from sievework.operators.scores import pooled_t, univariate_auc_rank
 from sievework.plans import decoy_study as ds
+from sievework.plans import nested_choice as nc
 from sievework.plans import null_study as ns
 from sievework.plans.null_study import training_part
 from sievework.session import cut_lineage
@@ -280,3 +281,34 @@ def tune_weight(t):
     weights = F.array(*[F.lit(v) for v in (0.0, 0.5, 1.0, 2.0, 4.0)])
     inner = evaluations(t).withColumn("weight", F.element_at(weights, F.col("fold_idx")))
     return mo.tune_weight(inner, ["dataset"])
+
+
+@query(
+    "nested_size",
+    "dataset:s fold_idx:i method:s best_inner_k:i best_inner_mean:e one_se_threshold:e chosen_k:i outer_auc:e random_auc:e outer_delta:e",
+)
+def nested_size(t):
+    return nc.nested_size(samples(t), features(t), roles(t), FOLD)
+
+
+@query("nested_weight", "dataset:s fold_idx:i weight:e mean_value:e outer_auc:e n_changed:i")
+def nested_weight(t):
+    return nc.nested_weight(samples(t), features(t), roles(t), feat_sets(t), FOLD, minimum=4)
+
+
+# The inner folds that both choices rest on.
+@query(
+    "nested_members",
+    "dataset:s fold_idx:i inner_idx:i role:s n:i n_positive:i id_sum:i",
+    with_("roles")
+    + """SELECT dataset, fold_idx, inner_idx, CASE WHEN fold = inner_idx THEN 'test' ELSE 'train' END AS role,
+    count(*) AS n, sum(label) AS n_positive, sum(sample_id) AS id_sum FROM (
+    SELECT *, (row_number() OVER (PARTITION BY dataset, fold_idx, label
+      ORDER BY md5(concat_ws('|', '7', dataset, fold_idx, sample_id))) - 1) % 3 + 1 AS fold
+    FROM roles WHERE role = 'train'), range(1, 4) g(inner_idx) GROUP BY 1, 2, 3, 4""",
+)
+def nested_members(t):
+    inner = nc.inner_roles(samples(t), roles(t), FOLD, 3, 7)
+    return inner.groupBy(*FOLD, "inner_idx", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"), F.sum("sample_id").alias("id_sum")
+    )

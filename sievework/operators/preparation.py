@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sievework.functions.columns import safe_div
 from sievework.functions.ordering import average_ranks, numbered
+from sievework.session import cut_lineage
 
 
 def collapse_max_mean(
@@ -315,21 +316,20 @@ def residualise_one(
     )
 
 
-def solve_normal(xtx: np.ndarray, xty: np.ndarray, tol: float = 1e-9) -> np.ndarray:
-    """Least squares from cross products; a column that earlier ones explain gets 0."""
-    d = len(xty)
-    kept: list[int] = []
+def normal_solver(xtx: np.ndarray, tol: float = 1e-9) -> np.ndarray:
+    """The matrix that turns X'y into least-squares coefficients; a column that earlier ones explain gets 0.
+
+    One pass of elimination in column order: what is left of a column's square after the kept ones decides.
+    """
+    d = len(xtx)
+    rest, kept = xtx.astype(float).copy(), []
     for j in range(d):
-        trial = [*kept, j]
-        block = xtx[np.ix_(trial, trial)]
-        rest = block[-1, -1]
-        if kept:
-            rest = rest - block[-1, :-1] @ np.linalg.solve(block[:-1, :-1], block[:-1, -1])
-        if rest > tol * max(xtx[j, j], 1.0):
+        if rest[j, j] > tol * max(xtx[j, j], 1.0):
             kept.append(j)
-    out = np.zeros(d)
+            rest -= np.outer(rest[:, j], rest[j]) / rest[j, j]
+    out = np.zeros((d, d))
     if kept:
-        out[kept] = np.linalg.solve(xtx[np.ix_(kept, kept)], xty[kept])
+        out[np.ix_(kept, kept)] = np.linalg.inv(xtx[np.ix_(kept, kept)])
     return out
 
 
@@ -368,14 +368,7 @@ def residualise(
     xtx = cross.groupBy(*split).agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "col", "col2"), "n"))).alias("xtx")
     )
-    xty = (
-        features.join(train, on)
-        .groupBy(*split, "feature", "col")
-        .agg(F.sum("value").alias("s"))
-        .groupBy(*split, "feature")
-        .agg(F.array_sort(F.collect_list(F.struct("col", "s"))).alias("xy"))
-        .select(*split, "feature", F.col("xy.col").alias("cols"), F.col("xy.s").alias("xty"))
-    )
+    columns_of = columns.groupBy(*split).agg(F.array_sort(F.collect_list("col")).alias("cols"))
     flat = F.flatten(
         F.transform(
             "cols",
@@ -385,22 +378,30 @@ def residualise(
             ),
         )
     )
+    systems = xtx.join(columns_of, split).select(*split, "cols", flat.alias("xtx"))
+    kept = [f for f in systems.schema.fields if f.name not in ("cols", "xtx")]
 
-    systems = xty.join(xtx, split).select(*split, "feature", "cols", "xty", flat.alias("xtx"))
-    kept = [f for f in systems.schema.fields if f.name not in ("xty", "xtx")]
-
-    def solve(batches):
+    def invert(batches):
         for b in batches:
-            coef = [
-                solve_normal(np.asarray(m, float).reshape(len(v), len(v)), np.asarray(v, float))
-                for m, v in zip(b["xtx"], b["xty"], strict=True)
-            ]
-            yield b.drop(columns=["xty", "xtx"]).assign(coef=coef)
-
-    schema = StructType([*kept, StructField("coef", ArrayType(DoubleType()))])
-    fitted = systems.mapInPandas(solve, schema).select(
-        *split, "feature", F.map_from_arrays("cols", "coef").alias("coef")
+            solvers = [normal_solver(np.asarray(m, float).reshape(len(c), len(c))) for m, c in zip(b["xtx"], b["cols"])]
+            yield b.drop(columns=["xtx"]).assign(solver=[list(s.ravel()) for s in solvers])
+
+    schema = StructType([*kept, systems.schema["cols"], StructField("solver", ArrayType(DoubleType()))])
+    # One factorisation a split; the coefficients of a feature are its product with the feature's sums.
+    solvers = cut_lineage(systems.mapInPandas(invert, schema))
+    sums = features.join(train, on).groupBy(*split, "feature", "col").agg(F.sum("value").alias("s"))
+    terms = sums.join(
+        solvers.select(*split, "cols", "solver", F.posexplode("cols").alias("at", "col")), [*split, "col"]
+    ).select(
+        *split, "feature", "s", F.posexplode("cols").alias("to", "out"), "solver", "at", F.size("cols").alias("d")
+    )
+    coefs = (
+        terms.groupBy(*split, "feature", "out")
+        .agg(F.sum(F.col("s") * F.element_at("solver", F.col("to") * F.col("d") + F.col("at") + 1)).alias("coef"))
+        .groupBy(*split, "feature")
+        .agg(F.map_from_entries(F.collect_list(F.struct("out", "coef"))).alias("coef"))
     )
+    fitted = coefs
     per_sample = design.groupBy(*split, "sample_id", "role").agg(F.collect_list("col").alias("cols"))
     fit = F.aggregate("cols", F.lit(0.0), lambda s, c: s + F.col("coef")[c])
     return (
