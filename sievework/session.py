@@ -72,6 +72,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to all shuffle partitions: for groups whose work outweighs their bytes.
+
+    Adaptive execution merges small shuffle partitions by size, but not those asked for by number.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def rows_per_task(spark: SparkSession) -> int:
     """Largest number of rows of one ordered group that a single task may hold."""
     return int(spark.conf.get("sievework.rowsPerTask", str(ROWS_PER_TASK)))
