@@ -44,6 +44,8 @@ FEATURES = [
 
 
 _IN_TAG = re.compile("[\"'>]")
+# A page in lower case may be longer than the page, so end tags are searched in the page itself.
+_ENDS = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in SKIPPED}
 
 
 class _Tags:
@@ -88,7 +90,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     stack: list[tuple[str, bool, bool, bool]] = []  # name, in article, in chrome, furniture
     parts: list[str] = []
     linked, link_depth, heading, any_article = 0, 0, False, False
-    lower, n, at = page.lower(), len(page), 0
+    n, at = len(page), 0
     tags = _Tags(page)
 
     def flush():
@@ -127,8 +129,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         at = tags.end(lt)
         name, closing = m[1].lower(), page[lt + 1] == "/"
         if name in SKIPPED and not closing:
-            end = lower.find(f"</{name}", at)
-            at = n if end < 0 else tags.end(end)
+            end = _ENDS[name].search(page, at)
+            at = tags.end(end.start()) if end else n
             continue
         if name == "a":
             link_depth = 0 if closing else 1

@@ -249,6 +249,11 @@ def test_extract_long_attributes(quote):
     assert time.process_time() - start < 30
 
 
+def test_extract_keeps_text_behind_letters_that_grow_in_lower_case():
+    page = "<p>" + "İ" * 400 + " one</p><SCRIPT>var a = '<p>no</p>'</ſcript></Script><p>two</p><style>x</style><p>three</p>"
+    assert blocks(page)[0] == ["İ" * 400 + " one", "two", "three"]
+
+
 def test_extract(spark):
     page = "<nav><a>x</a></nav><article><h1>T &amp; t</h1><p>a\n b<br>c<p>d.<div class='comments'><p>no</p></div></article><footer>f</footer>"
     assert extract(page) == "T & t\na b c\nd."
