@@ -19,21 +19,23 @@ from catalog.standins import (
     pools,
     with_,
 )
+from sievework.functions.columns import each
 from sievework.operators import enrichment as en
 from sievework.operators import folds as fo
 from sievework.operators import metrics as me
 
 D = 20
+SIZES = [10, 20, 50]
 SQ = "dataset, repeat_idx, fold_idx"
 PK = [*SPLIT, "method", "k"]
 OUT = "dataset:s repeat_idx:i fold_idx:i "
 
-cte("small_panels", "SELECT * FROM panels WHERE k IN (10, 20)", "panels")
+cte("small_panels", "SELECT * FROM panels WHERE k IN (10, 20, 50)", "panels")
 cte(
     "positions",
     f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {SQ}, draw_id ORDER BY
       md5(concat_ws('|', '9', draw_id, {SQ}, feature))) AS position FROM pools, range(1, {D + 1}) g(draw_id))
-    WHERE position <= 20""",
+    WHERE position <= 50""",
     "pools",
 )
 cte(
@@ -51,7 +53,7 @@ cte(
 
 
 def small_panels(t):
-    return panels(t, (10, 20))
+    return panels(t, SIZES)
 
 
 @query(
@@ -167,7 +169,7 @@ cte(
 )
 def edge_enrichment(t):
     return en.edge_enrichment(
-        edges(t), small_panels(t), pools(t), PK, SPLIT, 20, draws=D, seed=9
+        edges(t), small_panels(t), pools(t), PK, SPLIT, max(SIZES), draws=D, seed=9
     )
 
 
@@ -209,7 +211,7 @@ cte(
 
 def score_enriched(t):
     return en.score_enrichment(
-        feature_scores(t), small_panels(t), pools(t), PK, SPLIT, [10, 20], [0.05, 0.5], D, 9
+        feature_scores(t), small_panels(t), pools(t), PK, SPLIT, SIZES, [0.05, 0.5], D, 9
     )
 
 
@@ -229,13 +231,13 @@ def score_enrichment(t):
     + f""", o AS (SELECT {SQ}, method, k, k AS size, coalesce(sum(f.score), 0) / max(k) AS observed FROM small_panels
       LEFT JOIN feature_scores f USING (feature) GROUP BY {SQ}, method, k),
     n AS (SELECT {SQ}, size, draw_id, coalesce(sum(f.score), 0) / max(size) AS x FROM positions
-      JOIN (VALUES (10), (20)) g(size) ON position <= size LEFT JOIN feature_scores f USING (feature) GROUP BY {SQ}, size, draw_id)
+      JOIN (VALUES (10), (20), (50)) g(size) ON position <= size LEFT JOIN feature_scores f USING (feature) GROUP BY {SQ}, size, draw_id)
     """
     + summary_sql("o", "n", SQ + ", size", SQ + ", method, k, observed"),
 )
 def mean_enrichment(t):
     return en.mean_enrichment(
-        feature_scores(t), small_panels(t), pools(t), PK, SPLIT, [10, 20], D, 9
+        feature_scores(t), small_panels(t), pools(t), PK, SPLIT, SIZES, D, 9
     )
 
 
@@ -243,41 +245,42 @@ def mean_enrichment(t):
     "empirical_medians",
     OUT + "size:i cutoff:f null_median:f",
     with_("null_scores")
-    + f"SELECT {SQ}, size, cutoff, median(x) AS null_median FROM null_scores WHERE cutoff = 0.5 GROUP BY ALL",
+    + f"SELECT {SQ}, size, cutoff, median(x) AS null_median FROM null_scores GROUP BY ALL",
 )
 def empirical_medians(t):
-    sizes = pools(t).select(*SPLIT).distinct().withColumn("size", F.explode(F.array(F.lit(10), F.lit(20))))
-    positions = fo.random_panels(pools(t), 20, D, 9, SPLIT)
-    cut = en.cut_scores(feature_scores(t), [0.5])
-    null = en.null_score_sums(positions, cut, sizes, SPLIT).drop("cutoff")
-    full = en.fill_draws(null, sizes, SPLIT, D).withColumn("cutoff", F.lit(0.5))
+    sizes = each(pools(t).select(*SPLIT).distinct(), "size", SIZES)
+    positions = fo.random_panels(pools(t), max(SIZES), D, 9, SPLIT)
+
+    def drawn(cutoff):
+        null = en.null_score_sums(positions, en.cut_scores(feature_scores(t), [cutoff]), sizes, SPLIT).drop("cutoff")
+        return en.fill_draws(null, sizes, SPLIT, D).withColumn("cutoff", F.lit(cutoff))
+
+    full = drawn(0.05).unionByName(drawn(0.5))
     return en.empirical_medians(full, [*SPLIT, "size", "cutoff"])
 
 
 @query(
     "depth_calibrate",
-    OUT + "feature:s bin:i ratio:f",
+    OUT + "method:s feature:s bin:i ratio:f",
     with_("part_scores", "feature_scores")
-    + f""", b AS (SELECT *, least(10, greatest(count(*) OVER (PARTITION BY {SQ}) // 20, 1)) AS bins,
-        count(*) OVER (PARTITION BY {SQ}) AS n,
-        row_number() OVER (PARTITION BY {SQ} ORDER BY depth, feature) AS rn FROM (
-        SELECT {SQ}, feature, p.score AS depth, f.score AS score FROM part_scores p JOIN feature_scores f USING (feature)
-        WHERE method = 'quantity')),
+    + f""", b AS (SELECT *, least(10, greatest(count(*) OVER (PARTITION BY {SQ}, method) // 20, 1)) AS bins,
+        count(*) OVER (PARTITION BY {SQ}, method) AS n,
+        row_number() OVER (PARTITION BY {SQ}, method ORDER BY depth, feature) AS rn FROM (
+        SELECT {SQ}, method, feature, p.score AS depth, f.score AS score FROM part_scores p JOIN feature_scores f USING (feature))),
     c AS (SELECT *, CASE WHEN rn <= (n % bins) * (n // bins + 1) THEN (rn - 1) // (n // bins + 1) + 1
         ELSE n % bins + (rn - (n % bins) * (n // bins + 1) - 1) // (n // bins) + 1 END AS bin FROM b)
-    SELECT *, pow(2, greatest(least(log2((score + 0.01) / (avg(score) OVER (PARTITION BY {SQ}, bin) + 0.01)), 4), -4)) AS ratio FROM c""",
+    SELECT *, pow(2, greatest(least(log2((score + 0.01) / (avg(score) OVER (PARTITION BY {SQ}, method, bin) + 0.01)), 4), -4)) AS ratio FROM c""",
 )
 def depth_calibrate(t):
-    q = part_scores(t).where("method = 'quantity'").withColumnRenamed("score", "depth")
-    scored = q.drop("method").join(feature_scores(t), "feature")
-    return en.depth_calibrate(scored, SPLIT, bounded=t.fits("lineitem"))
+    scored = part_scores(t).withColumnRenamed("score", "depth").join(feature_scores(t), "feature")
+    return en.depth_calibrate(scored, [*SPLIT, "method"], bounded=t.fits("lineitem", 4))
 
 
 GE = (
     "dataset:s k:i repeat_idx:i fold_idx:i grp:s metric:s size:i observed:f expected:f ratio:f p:f "
     "missing_reason:s"
 )
-cte("small_groups", "SELECT * FROM sel_groups WHERE k IN (10, 20)", "sel_groups")
+cte("small_groups", "SELECT * FROM sel_groups WHERE k IN (10, 20, 50)", "sel_groups")
 cte(
     "group_rows",
     f"""SELECT {SQ}, k, grp, metric, count(feature) AS size FROM (SELECT DISTINCT {SQ}, k FROM small_groups)
@@ -331,9 +334,9 @@ cte(
 
 
 def group_enriched(t):
-    g = groups(t).where("k in (10, 20)")
+    g = groups(t).where(F.col("k").isin(SIZES))
     return en.group_enrichment(
-        g, feature_scores(t), edges(t), pools(t), ["dataset", "k", "repeat_idx", "fold_idx"], SPLIT, 20, D, 9
+        g, feature_scores(t), edges(t), pools(t), ["dataset", "k", "repeat_idx", "fold_idx"], SPLIT, max(SIZES), D, 9
     ).withColumnRenamed("group", "grp")
 
 
@@ -355,10 +358,10 @@ def group_medians(t):
 
 cte(
     "axes",
-    """SELECT dataset, repeat_idx, fold_idx, method, k, 'score' AS axis, ratio AS enrichment, p, CAST(overlap AS DOUBLE) AS coverage
-      FROM score_enriched WHERE cutoff = 0.5
-    UNION ALL SELECT dataset, repeat_idx, fold_idx, method, k, 'recall', 2 * recall, p, CAST(pool_targets AS DOUBLE)
-      FROM score_enriched WHERE cutoff = 0.5""",
+    """SELECT dataset, repeat_idx, fold_idx, method, k, 'score@' || CAST(cutoff AS DOUBLE) AS axis, ratio AS enrichment, p, CAST(overlap AS DOUBLE) AS coverage
+      FROM score_enriched
+    UNION ALL SELECT dataset, repeat_idx, fold_idx, method, k, 'recall@' || CAST(cutoff AS DOUBLE), 2 * recall, p, CAST(pool_targets AS DOUBLE)
+      FROM score_enriched""",
     "score_enriched",
 )
 cte(
@@ -371,10 +374,11 @@ cte(
 
 
 def axes(t):
-    wide = score_enriched(t).where("cutoff = 0.5").withColumn("twice", 2 * F.col("recall"))
-    return en.axis_long(
-        wide, PK, {"score": ("ratio", "p", "overlap"), "recall": ("twice", "p", "pool_targets")}
+    wide = score_enriched(t).withColumn("twice", 2 * F.col("recall"))
+    long = en.axis_long(
+        wide, [*PK, "cutoff"], {"score": ("ratio", "p", "overlap"), "recall": ("twice", "p", "pool_targets")}
     )
+    return long.withColumn("axis", F.concat_ws("@", "axis", F.col("cutoff").cast("string"))).drop("cutoff")
 
 
 @query(
@@ -514,5 +518,5 @@ cte(
 )
 def co_membership_enrichment(t):
     return en.co_membership_enrichment(
-        feature_sets(t), small_panels(t), pools(t), PK, SPLIT, 20, D, 9
+        feature_sets(t), small_panels(t), pools(t), PK, SPLIT, max(SIZES), D, 9
     )

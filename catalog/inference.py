@@ -403,11 +403,10 @@ def macro_medians(t):
     + """SELECT dataset, method, min(n) AS min_size, median(n) AS median_size, max(n) AS max_size,
     count(*) FILTER (n < 10) AS below_10, count(*) FILTER (n < 20) AS below_20, count(*) FILTER (n < 50) AS below_50
     FROM (SELECT dataset, method, repeat_idx, fold_idx, count(*) FILTER (score > 90) AS n FROM part_scores
-      WHERE method IN ('quantity', 'orders') GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
+      GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
 )
 def selected_size_summary(t):
-    s = part_scores(t).where("method in ('quantity', 'orders')")
-    s = s.withColumn("selected", F.col("score") > 90)
+    s = part_scores(t).withColumn("selected", F.col("score") > 90)
     return inf.selected_size_summary(s, DM, ["repeat_idx", "fold_idx"])
 
 

@@ -213,57 +213,56 @@ def headline_vs_methods(t):
 
 cte(
     "panel_draws",
-    """SELECT dataset, repeat_idx, fold_idx, draw_id, CAST(sum(quantity) AS DOUBLE) / total AS auc FROM (
-      SELECT p.*, draw_id, s.score AS quantity,
+    """SELECT dataset, repeat_idx, fold_idx, method, draw_id, CAST(sum(score) AS DOUBLE) / total AS auc FROM (
+      SELECT p.*, draw_id,
         row_number() OVER (PARTITION BY dataset, repeat_idx, fold_idx, draw_id ORDER BY
           md5(concat_ws('|', '5', draw_id, dataset, repeat_idx, fold_idx, feature))) AS position
-      FROM pools p JOIN (SELECT * FROM part_scores WHERE method = 'quantity') s
-        USING (dataset, repeat_idx, fold_idx, feature), range(1, 11) g(draw_id))
-    JOIN (SELECT dataset, repeat_idx, fold_idx, sum(score) AS total FROM part_scores
-      WHERE method = 'quantity' GROUP BY 1, 2, 3) USING (dataset, repeat_idx, fold_idx)
-    WHERE position <= 20 GROUP BY 1, 2, 3, 4, total""",
+      FROM pools p, range(1, 11) g(draw_id)) JOIN part_scores USING (dataset, repeat_idx, fold_idx, feature)
+    JOIN (SELECT dataset, repeat_idx, fold_idx, method, sum(score) AS total FROM part_scores
+      GROUP BY 1, 2, 3, 4) USING (dataset, repeat_idx, fold_idx, method)
+    WHERE position <= 20 GROUP BY 1, 2, 3, 4, 5, total""",
     "pools",
     "part_scores",
 )
 
 
 def panel_draws(t):
-    """Quantity share of random 20-part panels, ten draws per split."""
-    q = part_scores(t).where("method = 'quantity'").drop("method")
+    """Share of each measure that random 20-part panels hold, ten draws per split."""
+    q = part_scores(t)
     panels = fo.random_panels(pools(t), 20, 10, 5, SPLIT)
-    totals = q.groupBy(*SPLIT).agg(F.sum("score").alias("total"))
+    totals = q.groupBy(*SPLIT, "method").agg(F.sum("score").alias("total"))
     return (
         panels.join(q, [*SPLIT, "feature"])
-        .groupBy(*SPLIT, "draw_id")
+        .groupBy(*SPLIT, "method", "draw_id")
         .agg(F.sum("score").alias("s"))
-        .join(totals, SPLIT)
+        .join(totals, [*SPLIT, "method"])
         .withColumn("auc", F.col("s") / F.col("total"))
     )
 
 
 @query(
     "random_mc",
-    "dataset:s repeat_idx:i fold_idx:i n_draws:i mean_random:f sd_random:f mc_se:f q025:f q975:f",
+    "dataset:s repeat_idx:i fold_idx:i method:s n_draws:i mean_random:f sd_random:f mc_se:f q025:f q975:f",
     with_("panel_draws")
-    + """SELECT dataset, repeat_idx, fold_idx, count(*) AS n_draws, avg(auc) AS mean_random,
+    + """SELECT dataset, repeat_idx, fold_idx, method, count(*) AS n_draws, avg(auc) AS mean_random,
     stddev_samp(auc) AS sd_random, stddev_samp(auc) / sqrt(count(*)) AS mc_se,
-    quantile_cont(auc, 0.025) AS q025, quantile_cont(auc, 0.975) AS q975 FROM panel_draws GROUP BY 1, 2, 3""",
+    quantile_cont(auc, 0.025) AS q025, quantile_cont(auc, 0.975) AS q975 FROM panel_draws GROUP BY 1, 2, 3, 4""",
 )
 def random_mc(t):
-    return me.random_mc(panel_draws(t), SPLIT)
+    return me.random_mc(panel_draws(t), [*SPLIT, "method"])
 
 
 @query(
     "random_mc_overall",
-    "dataset:s mean_random:f sd_across_splits:f se_across_splits:f mean_mc_se:f n_splits:i",
+    "dataset:s method:s mean_random:f sd_across_splits:f se_across_splits:f mean_mc_se:f n_splits:i",
     with_("panel_draws")
-    + """SELECT dataset, avg(m) AS mean_random, stddev_samp(m) AS sd_across_splits,
+    + """SELECT dataset, method, avg(m) AS mean_random, stddev_samp(m) AS sd_across_splits,
     stddev_samp(m) / sqrt(count(*)) AS se_across_splits, avg(se) AS mean_mc_se, count(*) AS n_splits FROM (
-    SELECT dataset, repeat_idx, fold_idx, avg(auc) AS m, stddev_samp(auc) / sqrt(count(*)) AS se
-    FROM panel_draws GROUP BY 1, 2, 3) GROUP BY 1""",
+    SELECT dataset, method, repeat_idx, fold_idx, avg(auc) AS m, stddev_samp(auc) / sqrt(count(*)) AS se
+    FROM panel_draws GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""",
 )
 def random_mc_overall(t):
-    return me.random_mc_overall(panel_draws(t), ["dataset"], ["repeat_idx", "fold_idx"])
+    return me.random_mc_overall(panel_draws(t), ["dataset", "method"], ["repeat_idx", "fold_idx"])
 
 
 @query(

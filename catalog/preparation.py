@@ -93,10 +93,10 @@ def collapse_sum(t):
     "feature:s score:f",
     """SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS feature, coalesce(s, 0) AS score FROM part
     LEFT JOIN (SELECT l_partkey AS p_partkey, max(l_extendedprice / 1000) AS s FROM lineitem
-      WHERE l_quantity > 49 GROUP BY 1) USING (p_partkey)""",
+      GROUP BY 1) USING (p_partkey)""",
 )
 def collapse_scores_max(t):
-    scores = t.lineitem.where("l_quantity > 49").select(
+    scores = t.lineitem.select(
         part_id("l_partkey").alias("feature"), (F.col("l_extendedprice") / 1000).alias("score")
     )
     return pr.collapse_scores_max(scores, t.part.select(part_id("p_partkey").alias("feature")))

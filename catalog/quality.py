@@ -279,7 +279,7 @@ DIMS = ["dataset", "method", "repeat_idx", "fold_idx", "k"]
     "audit_grid",
     "dataset:s method:s repeat_idx:i fold_idx:i k:i n_rows:i problem:s",
     with_("evaluations")
-    + """, e AS (SELECT dataset, method, repeat_idx, fold_idx, k FROM evaluations WHERE auc < 0.62
+    + """, e AS (SELECT dataset, method, repeat_idx, fold_idx, k FROM evaluations
       UNION ALL SELECT dataset, method, repeat_idx, fold_idx, k FROM evaluations WHERE auc < 0.4)
     SELECT *, CASE WHEN n_rows = 0 THEN 'missing' ELSE 'duplicate' END AS problem FROM (
       SELECT d.dataset, m.method, r.repeat_idx, f.fold_idx, k.k, count(e.k) AS n_rows FROM
@@ -289,7 +289,7 @@ DIMS = ["dataset", "method", "repeat_idx", "fold_idx", "k"]
     WHERE n_rows != 1""",
 )
 def audit_grid(t):
-    e = evaluations(t).where("auc < 0.62")
+    e = evaluations(t)
     return qu.audit_grid(e.unionByName(e.where("auc < 0.4")), DIMS)
 
 

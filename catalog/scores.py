@@ -114,21 +114,20 @@ def welch_rank(t):
 
 cte(
     "pvalues",
-    """SELECT dataset, repeat_idx, fold_idx, feature, round(1.0::DOUBLE / (1 + score % 997), 9) AS p
-    FROM part_scores WHERE method = 'revenue'""",
+    """SELECT dataset, repeat_idx, fold_idx, method, feature, round(1.0::DOUBLE / (1 + score % 997), 9) AS p
+    FROM part_scores""",
     "part_scores",
 )
 
 
 @query(
     "bh_adjust",
-    "dataset:s repeat_idx:i fold_idx:i feature:s p:f q:f",
-    with_("pvalues") + bh_sql("pvalues", "dataset, repeat_idx, fold_idx"),
+    "dataset:s repeat_idx:i fold_idx:i method:s feature:s p:f q:f",
+    with_("pvalues") + bh_sql("pvalues", "dataset, repeat_idx, fold_idx, method"),
 )
 def bh_adjust(t):
-    p = part_scores(t).where("method = 'revenue'")
-    p = p.withColumn("p", F.round(1.0 / (1 + F.col("score") % 997), 9))
-    return sc.bh_adjust(p, SPLIT, "p", "q", t.fits("lineitem"))
+    p = part_scores(t).withColumn("p", F.round(1.0 / (1 + F.col("score") % 997), 9))
+    return sc.bh_adjust(p, [*SPLIT, "method"], "p", "q", t.fits("lineitem", 4))
 
 
 @query(

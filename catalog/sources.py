@@ -193,14 +193,15 @@ def append_missing(t):
     "dataset:s method:s repeat_idx:s k:s extra:s",
     with_("evaluations")
     + """SELECT dataset, method, CAST(repeat_idx AS VARCHAR) AS repeat_idx, CAST(k AS VARCHAR) AS k,
-    CASE WHEN dataset = 'N' THEN 'x' END AS extra FROM evaluations WHERE dataset IN ('A', 'N')""",
+    CASE WHEN dataset = 'N' THEN 'x' END AS extra FROM evaluations""",
 )
 def union_runs(t):
     e = evaluations(t).drop("auc")
-    a, n = place(t, "run-a"), place(t, "run-n")
+    a, n, r = place(t, "run-a"), place(t, "run-n"), place(t, "run-r")
     e.where("dataset = 'A'").drop("dataset").withColumnRenamed("k", "size").write.csv(a, header=True)
     e.where("dataset = 'N'").drop("dataset").withColumn("extra", F.lit("x")).write.csv(n, header=True)
-    return tb.union_runs(t.spark, {"A": a, "N": n}, {"size": "k"})
+    e.where("dataset = 'R'").drop("dataset").write.csv(r, header=True)
+    return tb.union_runs(t.spark, {"A": a, "N": n, "R": r}, {"size": "k"})
 
 
 @query(
