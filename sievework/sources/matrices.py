@@ -125,11 +125,11 @@ def read_per_sample_files(
 ) -> DataFrame:
     """One two-column file per sample; the id is the first group of ``id_pattern`` in the path.
 
-    Values of a repeated feature are summed; a negative or unreadable value fails the read, and so does a
-    file whose path has no id.
+    Values of a repeated feature are summed; a negative or unreadable value fails the read, and so do a
+    file whose path has no id and one whose header has other names, or another order of them, than the first.
     """
     raw = (
-        spark.read.csv(path, sep=sep, header=True, inferSchema=False)
+        spark.read.csv(path, sep=sep, header=True, inferSchema=False, enforceSchema=False)
         .withColumn("_path", F.col("_metadata.file_path"))
     )
     feature, value = raw.columns[:2]

@@ -69,3 +69,13 @@ def test_udf_query_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_per_sample_files_with_another_header_stop(spark, tmp_path):
+    for name, text in (("s1", "gene\ttpm\na\t1\nb\t2\n"), ("s2", "gene\ttpm\na\t3\n")):
+        (tmp_path / f"{name}.tsv").write_text(text)
+    rows = matrices.read_per_sample_files(spark, str(tmp_path), r"(s\d)\.tsv")
+    assert sorted(map(tuple, rows.collect())) == [("s1", "a", 1.0), ("s1", "b", 2.0), ("s2", "a", 3.0)]
+    (tmp_path / "s3.tsv").write_text("tpm\tgene\n5\ta\n")
+    with pytest.raises(Exception, match="header"):
+        matrices.read_per_sample_files(spark, str(tmp_path), r"(s\d)\.tsv").collect()
