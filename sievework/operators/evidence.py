@@ -115,21 +115,21 @@ def sign_consistency(coefs: DataFrame, keys: list[str]) -> DataFrame:
 def exceedance(
     observed: DataFrame, nulls: DataFrame, keys: list[str], stats: Sequence[str] = ("pi", "u")
 ) -> DataFrame:
-    """(1 + number of null values at or above the observed one) / (M + 1) for each statistic."""
+    """(1 + number of null values at or above the observed one) / (M + 1) for each statistic.
+
+    A feature without null values stops the query: it could not be judged like the others.
+    """
     on = [*keys, "feature"]
-    n = nulls.select(*on, *[F.col(s).alias(f"_n_{s}") for s in stats])
-    return (
-        observed.join(n, on)
+    n = nulls.select(*on, F.lit(1).alias("_m"), *[F.col(s).alias(f"_n_{s}") for s in stats])
+    alone = F.raise_error(F.concat(F.lit("no null values for feature "), F.col("feature")))
+    counted = (
+        observed.join(n, on, "left")
         .groupBy(*on, *stats)
-        .agg(
-            F.count(F.lit(1)).alias("n_null"),
-            *[
-                ((1 + F.count_if(F.col(f"_n_{s}") >= F.col(s))) / (F.count(F.lit(1)) + 1)).alias(
-                    f"e_{s}"
-                )
-                for s in stats
-            ],
-        )
+        .agg(F.count("_m").alias("_n"), *[F.count_if(F.col(f"_n_{s}") >= F.col(s)).alias(f"_c_{s}") for s in stats])
+    )
+    m = F.when(F.col("_n") > 0, F.col("_n")).otherwise(alone.cast("bigint"))
+    return counted.select(
+        *on, *stats, m.alias("n_null"), *[((1 + F.col(f"_c_{s}")) / (m + 1)).alias(f"e_{s}") for s in stats]
     )
 
 

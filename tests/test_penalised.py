@@ -156,3 +156,12 @@ def test_decoys_keep_the_values_of_their_split(data):
         F.round(F.sum("value"), 9).alias("s"), F.count("*").alias("n")
     )
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_features_without_nulls_stop(spark):
+    observed = spark.createDataFrame([("a", "f1", 0.5, 0.1), ("a", "f2", 0.5, 0.1)], "dataset string, feature string, pi double, u double")
+    nulls = spark.createDataFrame([("a", 1, "f1", 0.5, 0.0)], "dataset string, perm_id int, feature string, pi double, u double")
+    whole = evidence.exceedance(observed.where("feature = 'f1'"), nulls, ["dataset"]).collect()
+    assert [(r.n_null, r.e_pi, r.e_u) for r in whole] == [(1, 1.0, 0.5)]
+    with pytest.raises(Exception, match="no null values for feature f2"):
+        evidence.exceedance(observed, nulls, ["dataset"]).collect()
