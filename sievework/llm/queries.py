@@ -92,13 +92,51 @@ def _sql_url(url: str) -> str:
 
 
 # The test pages hold absolute links only, so the SQL resolves no relative ones.
+_WS = "[\\t\\n\\f\\r ]"
+_SQL_ATTRIBUTES = rf"""(?:[^>=]|={_WS}*"[^"]*"|={_WS}*'[^']*'|=)*"""
+_SQL_PLAIN = "|".join(
+    rf"<{name}(?:[\t\n\f\r /]{_SQL_ATTRIBUTES})?(?:>.*?(?:</{name}[\t\n\f\r />]|\z)|\z)"
+    for name in ("script", "style", "textarea", "title", "iframe", "xmp")
+)
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SQL_MARKUP = _quoted(rf"(?is)<!--(?:>|->|.*?(?:-->|--!>|\z))|{_SQL_PLAIN}|</?[a-z]{_SQL_ATTRIBUTES}(?:>|\z)")
+_SQL_ATTRIBUTE = _quoted(rf"""(?s)[^\t\n\f\r />=]+{_WS}*={_WS}*(?:"[^"]*"|'[^']*'|[^\t\n\f\r >]+)|[^\t\n\f\r />=]+""")
+
+
+def _sql_value(text: str, pattern: str) -> str:
+    return " || ".join(f"regexp_extract({text}, {_quoted(pattern)}, {k})" for k in (1, 2, 3))
+
+
+def _sql_attribute(name: str) -> str:
+    """Value of the first attribute of this name of a tag."""
+    value = _sql_value("attribute", rf"""(?s)^[^=]*={_WS}*(?:"([^"]*)"|'([^']*)'|(.*))$""")
+    return f"arg_min({value}, place) FILTER (regexp_matches(attribute, '(?i)^{name}{_WS}*='))"
+
+
+_SQL_REFRESH = _sql_value(
+    "content", rf"""(?is)^{_WS}*[0-9.]+{_WS}*[;,]?{_WS}*(?:url{_WS}*={_WS}*)?(?:"([^"]*).*|'([^']*).*|(.*))$"""
+)
 ORACLE["op10_url_filter"] = f"""
 WITH RECURSIVE page AS (SELECT page_id, url, html, {_sql_url("url")} FROM pages),
+tag AS (SELECT a, tag, row_number() OVER () AS tag_no FROM (
+    SELECT resource AS a, unnest(regexp_extract_all(html, {_SQL_MARKUP})) AS tag FROM page)
+  WHERE regexp_matches(tag, '(?is)^<(?:link|meta)[\\t\\n\\f\\r /].*>$')),
+named AS (SELECT a, tag, tag_no, unnest(attributes) AS attribute, generate_subscripts(attributes, 1) AS place FROM (
+  SELECT a, tag, tag_no, regexp_extract_all(regexp_replace(tag, '(?s)^<[A-Za-z]+|>$', '', 'g'), {_SQL_ATTRIBUTE}) AS attributes FROM tag)),
+meant AS (
+  SELECT a, tag, {_sql_attribute("rel")} AS rel, {_sql_attribute("href")} AS href,
+    {_sql_attribute("http-equiv")} AS equiv, {_sql_attribute("content")} AS content
+  FROM named GROUP BY a, tag, tag_no),
 link AS (
-  SELECT resource AS a, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\\s[^>]*?rel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\\s[^>]*?http-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
-  ]) AS url FROM page),
+  SELECT a, replace(trim(href), '&amp;', '&') AS url FROM meant
+  WHERE regexp_matches(tag, '(?i)^<link') AND regexp_matches(rel, '(?i)(?:^|{_WS})canonical(?:{_WS}|$)')
+  UNION ALL SELECT a, replace(trim({_SQL_REFRESH}), '&amp;', '&') FROM meant
+  WHERE regexp_matches(tag, '(?i)^<meta') AND regexp_matches(equiv, '(?i)^refresh$')),
 edge AS (SELECT a, b FROM (SELECT a, resource AS b FROM (SELECT a, {_sql_url("url")} FROM link WHERE url != ''))
   WHERE a IS NOT NULL AND b IS NOT NULL),
 both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),

@@ -12,6 +12,18 @@ from sievework.llm.components import components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
+_BLANK = r"[\t\n\f\r ]"
+# Comments, elements whose content is plain text, and tags, so that each is read where a browser reads it. The
+# quantifiers of groups are possessive: Java matches those in a loop, however many attributes a tag has.
+_ATTRIBUTES = rf"""(?:[^>=]++|={_BLANK}*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+_PLAIN = "|".join(
+    rf"<{name}(?:[\t\n\f\r /]{_ATTRIBUTES})?(?:>.*?(?:</{name}(?=[\t\n\f\r />])|\z)|\z)"
+    for name in ("script", "style", "textarea", "title", "iframe", "xmp")
+)
+_MARKUP = rf"(?is)<!--(?:>|->|.*?(?:-->|--!>|\z))|{_PLAIN}|</?[a-z]{_ATTRIBUTES}(?:>|\z)"
+_ATTRIBUTE = rf"""(?s)([^\t\n\f\r />=]+){_BLANK}*={_BLANK}*("[^"]*"|'[^']*'|[^\t\n\f\r >]+)|[^\t\n\f\r />=]+"""
+_VALUE = rf"""(?s)^[^=]*={_BLANK}*(?:"([^"]*)"|'([^']*)'|(.*))$"""
+_REFRESH = rf"""(?is)^{_BLANK}*[0-9.]+{_BLANK}*[;,]?{_BLANK}*(?:url{_BLANK}*={_BLANK}*)?(?:"([^"]*).*|'([^']*).*|(.*))$"""
 
 
 def host_of(url: Column) -> Column:
@@ -46,26 +58,50 @@ def matching(host: Column, path: Column, rules: Sequence[tuple[str, str, str]],
 
 
 def _target(page_url: Column, link: Column) -> Column:
-    """The address a link means on a page; null if there is no link."""
+    """The address a link means on a page; null if it names no page, or only a part of this one."""
     base = F.concat(F.regexp_extract(page_url, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(page_url))
-    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    link = F.replace(F.regexp_replace(link, rf"^{_BLANK}+|{_BLANK}+$", ""), F.lit("&amp;"), F.lit("&"))
     folder = F.regexp_replace(path_of(page_url), r"[^/]*$", "")
     return (
-        F.when(link == "", None)
-        .when(link.contains("://"), link)
+        F.when((link == "") | link.startswith("#"), None)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("?"), F.concat(base, path_of(page_url), link))
         .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
+def _one_of_three(text: Column, pattern: str) -> Column:
+    return F.concat(*(F.regexp_extract(text, pattern, k) for k in (1, 2, 3)))
+
+
+def _attribute(attributes: str, name: str) -> Column:
+    """Value of the first attribute of this name; null without one."""
+    named = F.filter(attributes, lambda a: a.rlike(rf"(?i)^{name}{_BLANK}*="))
+    return _one_of_three(F.get(named, F.lit(0)), _VALUE)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) resources of pages (url, html) and of their canonical link and refresh target."""
-    tag = F.regexp_extract("html", r"""(?is)<link\s[^>]*?rel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    moved = F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = pages.select(F.col("url"), F.explode(F.array(canonical, moved)).alias("link")).where("link != ''")
+    """(a, b) resources of pages (url, html) and of all their canonical links and refreshes.
+
+    Tags inside comments, scripts, styles, titles and text fields are no tags; attribute values may hold ``>``.
+    Dot segments and a base element are not resolved.
+    """
+    tags = F.filter(
+        F.regexp_extract_all("html", F.lit(_MARKUP), F.lit(0)), lambda t: t.rlike(r"(?is)^<(?:link|meta)[\t\n\f\r /].*>$")
+    )
+    found = pages.select("url", F.explode(tags).alias("tag"))
+    body = F.regexp_replace("tag", r"(?s)^<[A-Za-z]+|>$", "")
+    found = found.withColumn("is_link", F.col("tag").rlike("(?i)^<link"))
+    found = found.withColumn("attributes", F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0)))
+    canonical = F.col("is_link") & _attribute("attributes", "rel").rlike(rf"(?i)(?:^|{_BLANK})canonical(?:{_BLANK}|$)")
+    refresh = ~F.col("is_link") & _attribute("attributes", "http-equiv").rlike("(?i)^refresh$")
+    link = F.when(canonical, _attribute("attributes", "href")).when(
+        refresh, _one_of_three(_attribute("attributes", "content"), _REFRESH)
+    )
+    found = found.withColumn("link", link).where("link is not null")
     edges = found.select(
         resource_of(F.col("url")).alias("a"), resource_of(_target(F.col("url"), F.col("link"))).alias("b")
     )
@@ -87,9 +123,10 @@ def judge_urls(
     """
     html = "html:string" if "html" in pages.columns else None
     base = plain(pages, page_id="page_id:long", url="url:string", **({"html": html} if html else {}))
-    edges = base.sparkSession.createDataFrame([], "a string, b string")
     if html:
-        edges = edges.union(link_edges(base.select("url", "html").where("html is not null")))
+        edges = link_edges(base.select("url", "html").where("html is not null"))
+    else:
+        edges = base.select(*(F.lit(None).cast("string").alias(k) for k in "ab")).where(F.lit(False))
     if redirects is not None:
         logged = plain(redirects, source="source:string", target="target:string")
         edges = edges.union(logged.select(resource_of(F.col("source")), resource_of(F.col("target"))))
