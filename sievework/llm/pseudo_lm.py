@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ KNOWN = VOCABULARY - PER_CLASS
 WIDTH = 8
 HIDDEN = 16
 BLOCK = 16_384
+GROUP = 2048
+CHUNK_TEXT = 1 << 24
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
-SHARD_WORDS = 2_000_000
 
 
 def shapes(classes: int = CLASSES, per_class: int = PER_CLASS) -> dict[str, tuple[int, ...]]:
@@ -100,35 +102,64 @@ def contexts(tokens: np.ndarray, offsets: np.ndarray, outside: int = VOCABULARY)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in the place of ``x``."""
-    x -= x.max(axis=1, keepdims=True)
+    """Softmax of each column, in the place of ``x``."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= np.einsum("ij->i", x)[:, None]
+    x /= x.sum(axis=0)
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of one entry of each row; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), at]
-    return picked - np.log(np.einsum("ij->i", np.exp(x, out=x)))
-
-
-def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.argsort(cls, kind="stable"), np.r_[0, np.cumsum(np.bincount(cls, minlength=classes))]
+    """Log-softmax of one entry of each column; ``x`` is overwritten."""
+    x -= x.max(axis=0)
+    picked = x[at, np.arange(x.shape[1])]
+    return picked - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[list[tuple[int, slice]]]]:
+    """Order of the tokens by class, and the place of each class that has any, in groups that fit the cache."""
+    cuts = np.r_[0, np.cumsum(np.bincount(cls, minlength=classes))].tolist()
+    groups, full = [], 0
+    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            if b > full:
+                groups.append([])
+                full = a + GROUP
+            groups[-1].append((c, slice(a, b)))
+    return np.argsort(cls, kind="stable"), groups
+
+
+def _hidden(net: Network, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, hidden values and scores of the classes; a column a token in the last two."""
+    x = net.embed[context].reshape(len(context), -1)
+    h = net.w1.T @ x.T
+    h += net.b1[:, None]
+    np.tanh(h, out=h)
+    by_class = net.wc.T @ h
+    by_class += net.bc[:, None]
+    return x, h, by_class
+
+
+def _in_class(net: Network, h: np.ndarray, group: list[tuple[int, slice]]) -> np.ndarray:
+    """Scores of the words of its class for each token of a group of classes."""
+    first = group[0][1].start
+    out = np.empty((net.per_class, group[-1][1].stop - first), h.dtype)
+    for c, at in group:
+        np.add(net.wo[c].T @ h[:, at], net.bo[c][:, None], out=out[:, at.start - first : at.stop - first])
+    return out
 
 
 def log_probabilities(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Log-probability of each token given the words on both sides."""
-    x = net.embed[context].reshape(len(tokens), -1)
-    h = np.tanh(x @ net.w1 + net.b1)
-    cls, word = tokens // net.per_class, tokens % net.per_class
-    out = _log_softmax_at(h @ net.wc + net.bc, cls).astype(float)
-    order, cuts = _by_class(cls, net.classes)
-    for c in range(net.classes):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            out[rows] += _log_softmax_at(h[rows] @ net.wo[c] + net.bo[c], word[rows])
+    order, groups = _by_class(tokens // net.per_class, net.classes)
+    cls, word = np.divmod(tokens[order], net.per_class)
+    _, h, by_class = _hidden(net, context[order])
+    logs = _log_softmax_at(by_class, cls).astype(float)
+    for group in groups:
+        at = slice(group[0][1].start, group[-1][1].stop)
+        logs[at] += _log_softmax_at(_in_class(net, h, group), word[at])
+    out = np.empty(len(tokens))
+    out[order] = logs
     return out
 
 
@@ -136,28 +167,28 @@ def gradient(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarra
     """Mean gradient of the negative log-probability, as a vector."""
     n = len(tokens)
     grad = Network(np.zeros(len(net.flat), np.float32), net.classes, net.per_class)
-    x = net.embed[context].reshape(n, -1)
-    h = np.tanh(x @ net.w1 + net.b1)
-    cls, word = tokens // net.per_class, tokens % net.per_class
-    dc = _softmax(h @ net.wc + net.bc)
-    dc[np.arange(n), cls] -= 1
-    grad.wc[:], grad.bc[:] = h.T @ dc, dc.sum(axis=0)
-    dh = dc @ net.wc.T
-    order, cuts = _by_class(cls, net.classes)
-    for c in range(net.classes):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            hr = h[rows]
-            d = _softmax(hr @ net.wo[c] + net.bo[c])
-            d[np.arange(len(rows)), word[rows]] -= 1
-            grad.wo[c], grad.bo[c] = hr.T @ d, d.sum(axis=0)
-            dh[rows] += d @ net.wo[c].T
+    order, groups = _by_class(tokens // net.per_class, net.classes)
+    context = context[order]
+    cls, word = np.divmod(tokens[order], net.per_class)
+    x, h, dc = _hidden(net, context)
+    _softmax(dc)[cls, np.arange(n)] -= 1
+    grad.wc[:], grad.bc[:] = h @ dc.T, dc.sum(axis=1)
+    dh = net.wc @ dc
+    for group in groups:
+        first, last = group[0][1].start, group[-1][1].stop
+        dw = _softmax(_in_class(net, h, group))
+        dw[word[first:last], np.arange(last - first)] -= 1
+        for c, at in group:
+            d = dw[:, at.start - first : at.stop - first]
+            grad.wo[c], grad.bo[c] = h[:, at] @ d.T, d.sum(axis=1)
+            dh[:, at] += net.wo[c] @ d
     dh *= 1 - h * h
-    grad.w1[:], grad.b1[:] = x.T @ dh, dh.sum(axis=0)
-    dx = (dh @ net.w1.T).reshape(-1, WIDTH)
+    grad.w1[:], grad.b1[:] = x.T @ dh.T, dh.sum(axis=1)
+    dx = dh.T @ net.w1.T
     at = (context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
     grad.embed[:] = np.bincount(at, dx.ravel(), grad.embed.size).reshape(grad.embed.shape)
-    return grad.flat / n
+    grad.flat /= n
+    return grad.flat
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,102 +238,76 @@ def _bucket_counts(words: np.ndarray, per_class: int):
 
 
 def _tokenise(words: np.ndarray, place: np.ndarray, per_class: int, known: int):
-    """words: sorted hashes of the known words, place: their token. ``rare`` has the hashes of all others."""
+    """words: sorted hashes of the known words, place: their token.
+
+    The first row of each block of texts has the hashes of all other words of the block, ``rare``, and where
+    those of each row begin, ``cuts``. Blocks that follow each other share a chunk of about CHUNK_TEXT bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        chunk, size = row, 0
         for batch in batches:
             texts = text_column(batch, "text")
             for lo, hi in row_chunks(texts):
-                h, doc = word_hashes(*byte_buffer(texts.slice(lo, hi - lo)))
+                buf, ends = byte_buffer(texts.slice(lo, hi - lo))
+                if size + len(buf) > CHUNK_TEXT:
+                    chunk, size = row, 0
+                size += len(buf)
+                h, doc = word_hashes(buf, ends)
                 token = known + _bucket(h, per_class)
                 at, hit = _place(words, h)
                 if len(words):
                     token[hit] = place[at[hit]]
                 each = np.arange(hi - lo + 1)
                 cut, rare_cut = np.searchsorted(doc, each), np.searchsorted(doc[~hit], each)
-                short, rare = token.astype("<u4"), h[~hit].astype("<u8")
+                short, rest = token.astype("<u4"), [None] * (hi - lo - 1)
+                rare = h[~hit].astype("<u8").tobytes() or None
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + hi - lo)),
                         batch.column(0).slice(lo, hi - lo),
                         pa.array([short[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                        pa.array([rare[a:b].tobytes() for a, b in zip(rare_cut, rare_cut[1:])], pa.binary()),
+                        pa.array([rare, *rest], pa.binary()),
+                        pa.array([rare_cut.astype("<i8").tobytes() if rare else None, *rest], pa.binary()),
+                        pa.array(np.full(hi - lo, chunk)),
                     ],
-                    names=["row", "doc_id", "tokens", "rare"],
+                    names=["row", "doc_id", "tokens", "rare", "cuts", "chunk"],
                 )
                 row += hi - lo
 
     return run
 
 
-def _sharded(hashes: np.ndarray, values: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row of packed hashes and values for each shard of the hashes."""
-    shard = ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    hashes, values = hashes[order].astype("<u8"), values[order].astype("<i8")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    full = np.flatnonzero(np.diff(cut))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(full),
-            pa.array([hashes[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-            pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-        ],
-        names=["shard", "words", "numbers"],
-    )
-
-
-def _shard_rare(shards: int):
-    """The rare words of the documents by shard, each with the row of its document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, n = [], [], 0
-        for batch in batches:
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = np.frombuffer(value.as_buffer(), "<u8")
-                held.append(words)
-                rows.append(np.full(len(words), row))
-                n += len(words)
-                if n > 500_000:
-                    yield from _sharded(np.concatenate(held), np.concatenate(rows), shards)
-                    held, rows, n = [], [], 0
-        if n:
-            yield from _sharded(np.concatenate(held), np.concatenate(rows), shards)
-
-    return run
-
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each rare word of a chunk once."""
 
-def _shard_counts(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def blocks():
         for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n > 500_000:
-                table = pa.Table.from_batches(held)
-                yield from _sharded(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), shards)
-                held, n = [], 0
-        if n:
-            table = pa.Table.from_batches(held)
-            yield from _sharded(table["word"].to_numpy().view(np.uint64), table["n"].to_numpy(), shards)
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield chunk, np.unique(np.frombuffer(packed.as_buffer(), "<u8"))
 
-    return run
+    for chunk, some in groupby(blocks(), key=lambda block: block[0]):
+        words = np.unique(np.concatenate([w for _, w in some])).view(np.int64)
+        for at in range(0, len(words), 100_000):
+            part = words[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], names=["chunk", "word"])
 
 
-def _log_counts(rare: pa.Table, counts: pa.Table) -> pa.Table:
+def _chunk_logs(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     """Sum of the log counts of the rare words of each row; a word that is not in ``counts`` occurs once."""
-
-    def numbers(table: pa.Table, name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(v.as_buffer() for v in table[name]), kind)
-
-    known, n = numbers(counts, "words", "<u8"), numbers(counts, "numbers", "<i8")
+    known = counts["word"].to_numpy().view(np.uint64)
     order = np.argsort(known)
-    words, rows = numbers(rare, "words", "<u8"), numbers(rare, "numbers", "<i8")
-    at, hit = _place(known[order], words)
-    logs = np.log(n[order][at[hit]])
-    row, back = np.unique(rows[hit], return_inverse=True)
-    return pa.table({"row": pa.array(row), "logs": pa.array(np.bincount(back, logs, len(row)).astype(float))})
+    known, known_logs = known[order], np.log(counts["n"].to_numpy()[order])
+    rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for row, packed, ends in zip(blocks["row"].to_pylist(), blocks["rare"], blocks["cuts"]):
+        words, cuts = np.frombuffer(packed.as_buffer(), "<u8"), np.frombuffer(ends.as_buffer(), "<i8")
+        at, hit = _place(known, words)
+        logs = np.zeros(len(words) + 1)
+        logs[:-1][hit] = known_logs[at[hit]]
+        sums.append(np.add.reduceat(logs, cuts[:-1]) * (np.diff(cuts) > 0))
+        rows.append(row + np.arange(len(cuts) - 1))
+    return pa.table({"row": np.concatenate(rows), "logs": np.concatenate(sums)})
 
 
 def _token_chunks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -327,8 +332,11 @@ def _train(flat: np.ndarray, side: int, rate: float, step: int):
                 for at in range(0, len(tokens), step):
                     rows = order[at : at + step]
                     g = gradient(net, context[rows], tokens[rows])
-                    squares += g * g
-                    net.flat -= rate * g / np.sqrt(squares)
+                    size = g * g
+                    squares += size
+                    g *= rate
+                    g /= np.sqrt(squares, out=size)
+                    net.flat -= g
                 seen += len(tokens)
         if seen:
             yield pa.RecordBatch.from_arrays(
@@ -380,7 +388,7 @@ def _scored(docs: DataFrame, rounds: int, rate: float, step: int) -> DataFrame:
     texts = plain(docs, doc_id="doc_id:long", text="text:string")
     parts = texts.mapInArrow(_count, "word long, n long")
     counts = stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    sizes = counts.agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).first()
+    sizes = counts.agg(F.count("*").alias("distinct")).first()
     side = classes_for(sizes.distinct)
     known = side * side - side
     top = counts.orderBy(F.desc("n"), "word").limit(known).toPandas()
@@ -396,7 +404,7 @@ def _scored(docs: DataFrame, rounds: int, rate: float, step: int) -> DataFrame:
     log_sizes[known:] = np.log(np.maximum(word_counts[known:], 1))
 
     tokens = stored(
-        texts.mapInArrow(_tokenise(words, order, side, known), "row long, doc_id long, tokens binary, rare binary"),
+        texts.mapInArrow(_tokenise(words, order, side, known), "row long, doc_id long, tokens binary, rare binary, cuts binary, chunk long"),
         "tokens",
     )
     flat = initial(word_counts.reshape(side, side).sum(axis=1), word_counts).flat
@@ -411,12 +419,10 @@ def _scored(docs: DataFrame, rounds: int, rate: float, step: int) -> DataFrame:
     scored = tokens.select("row", "doc_id", "tokens").mapInArrow(
         _score(flat, side, log_sizes), "row long, doc_id long, n_tokens long, symbols double, shared double"
     )
-    shards = 1 + (sizes.n or 0) // SHARD_WORDS
-    packed = "shard long, words binary, numbers binary"
-    rare = tokens.select("row", "rare").mapInArrow(_shard_rare(shards), packed).groupBy("shard")
-    often = counts.where("n > 1").mapInArrow(_shard_counts(shards), packed).groupBy("shard")
-    logs = rare.cogroup(often).applyInArrow(_log_counts, "row long, logs double")
-    logs = logs.groupBy("row").agg(F.sum("logs").alias("logs"))
+    chunks = tokens.where("rare is not null").select("chunk", "row", "rare", "cuts")
+    asked = chunks.select("chunk", "rare").mapInArrow(_chunk_words, "chunk long, word long")
+    often = asked.join(counts.where("n > 1"), "word").groupBy("chunk")
+    logs = chunks.groupBy("chunk").cogroup(often).applyInArrow(_chunk_logs, "row long, logs double")
     share = F.coalesce("logs", F.lit(0.0)) - F.col("shared")
     return scored.join(logs, "row", "left").select("doc_id", "n_tokens", "symbols", share.alias("share"))
 
