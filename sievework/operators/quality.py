@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.columns import finite
 from sievework.functions.ordering import numbered
+from sievework.session import spread
 
 # The four scales and the limits between them.
 COUNTS, BACKGROUND, LOG, LINEAR = (
@@ -243,12 +244,14 @@ def mapped(col: Column, names: Mapping[str, str], default: Column | None = None)
 def expected_grid(results: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Every combination of the values the dimensions take.
 
-    The distinct values of a dimension are a few names; the grid unfolds from one row of them.
+    The distinct values of a dimension are a few names; the grid unfolds from one row of them. Its combinations
+    but for the last dimension are dealt to all tasks, which unfold that one.
     """
+    *first, last = dims
     sets = results.agg(*[F.collect_set(d).alias(d) for d in dims])
-    for d in dims:
+    for d in first:
         sets = sets.withColumn(d, F.explode(d))
-    return sets
+    return (spread(sets, *first) if first else sets).withColumn(last, F.explode(last))
 
 
 def audit_grid(results: DataFrame, dims: Sequence[str]) -> DataFrame:
