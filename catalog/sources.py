@@ -25,15 +25,17 @@ def place(t, name: str) -> str:
     with_("counts") + "SELECT 's' || sample_id AS sample_id, feature, value FROM counts",
 )
 def read_matrix(t):
-    """Part buckets x suppliers as a tab-separated table with a header."""
+    """Part buckets x suppliers as a tab-separated table with a header; a pair without lines is an empty cell."""
     c = counts(t).withColumn("sample", F.concat(F.lit("s"), "sample_id"))
     suppliers = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("sample"))
     w = Window.orderBy("sample")  # the header of a wide file is one line
-    names = suppliers.withColumn("i", F.row_number().over(w))
-    cells = c.join(names, "sample").groupBy("feature").agg(
+    names = suppliers.union(c.select("sample")).distinct().withColumn("i", F.row_number().over(w))
+    grid = c.select("feature").distinct().crossJoin(names).join(c, ["feature", "sample"], "left")
+    cells = grid.groupBy("feature").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"].cast("string")
+                F.array_sort(F.collect_list(F.struct("i", "value"))),
+                lambda x: F.coalesce(x["value"].cast("string"), F.lit("")),
             ),
             "\t",
         ).alias("cells")
@@ -50,7 +52,7 @@ def read_matrix(t):
     )
     path = place(t, "matrix")
     lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
-    return mx.read_matrix(t.spark, path)
+    return mx.read_matrix(t.spark, path).where("value is not null")
 
 
 def series_folder(t) -> str:
