@@ -11,6 +11,7 @@ from catalog.standins import (
     evaluations,
     feature_scores,
     feature_sets,
+    leading_rankings,
     pools,
     rankings,
     with_,
@@ -29,7 +30,7 @@ cte(
 
 
 def panels(t, ks=(10, 20, 50)):
-    return ra.top_k(rankings(t), RK, ks)
+    return ra.top_k(leading_rankings(t, max(ks)), RK, ks)
 
 
 @query("top_k", RK_OUT + "k:i rank:i feature:s", with_("panels") + "SELECT * FROM panels")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import Tables
 from sievework.functions.columns import each, literals
-from sievework.functions.ordering import numbered
+from sievework.functions.ordering import leading, numbered
 from sievework.operators import folds as fo
 
 KS = [5, 10, 20, 50, 100, 200, 500]
@@ -184,6 +184,13 @@ def rankings(t: Tables) -> DataFrame:
     )
 
 
+def leading_rankings(t: Tables, k: int) -> DataFrame:
+    """The first ``k`` rows of every ranking, had without ordering the others."""
+    key = [*SPLIT, "method"]
+    near = leading(part_scores(t), key, "score", "feature", k)
+    return numbered(near, key, "score", "feature", bounded=True).where(F.col("rank") <= k)
+
+
 cte(
     "part_scores",
     """SELECT dataset, repeat_idx, fold_idx, feature, method, CAST(score AS DOUBLE) AS score FROM (

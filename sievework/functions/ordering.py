@@ -169,6 +169,23 @@ def numbered(
     return out.drop("_slice", *totals)
 
 
+def leading(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
+    """The rows of a group that can be among its first ``k`` by ``value``, highest first: those and few more.
+
+    The rows of a group are dealt to 4k buckets by the hash of ``tie``. The k-th best of the buckets' maxima is a
+    value that at least k rows reach, so no lower row is needed. Only maxima are shuffled.
+    """
+    clean = _without_nan(df, value)
+    bucket = F.pmod(F.xxhash64(tie), F.lit(4 * k))
+    best = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.max(clean).alias("_best"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_best").desc_nulls_last())
+    cut = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == k)
+    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("_best").alias("_cut"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    near = df.join(F.broadcast(cut), on, "left")  # one row a group
+    return near.where(F.col("_cut").isNull() | (clean >= F.col("_cut"))).select(*df.columns)
+
+
 def dealt(
     df: DataFrame, keys: list[str], hash_col: str, name: str, slices: int | None = None
 ) -> DataFrame:

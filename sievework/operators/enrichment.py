@@ -19,6 +19,7 @@ from sievework.operators.inference import dataset_ranks
 from sievework.operators.metrics import with_random
 from sievework.operators.scores import equal_bins
 from sievework.operators.stability import correlations
+from sievework.session import settled
 
 
 def co_membership_edges(feature_sets: DataFrame, panels: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,6 +64,22 @@ def restrict_edges(
     )
 
 
+def edges_among(
+    edges: DataFrame, pools: DataFrame, split: list[str], panels: DataFrame, positions: DataFrame
+) -> DataFrame:
+    """The edges of ``restrict_edges`` that have both ends in panels or random panels of the split.
+
+    No other edge can lie inside a panel, and the edges of a pool are many times those of its panels. Random panels
+    come from the pool; features of ``panels`` have to be looked up there.
+    """
+    own = panels.select(*split, "feature").distinct().join(pools.select(*split, "feature"), [*split, "feature"], "left_semi")
+    members = settled(own.unionByName(positions.select(*split, "feature")).distinct())
+    names = settled(members.select("feature").distinct())
+    near = edges.join(names.withColumnRenamed("feature", "src"), "src", "left_semi")
+    near = near.join(names.withColumnRenamed("feature", "dst"), "dst", "left_semi")
+    return settled(restrict_edges(near, members, split))
+
+
 def induced_edge_count(
     edges: DataFrame, panels: DataFrame, keys: list[str], split: list[str], empty: str = "null"
 ) -> DataFrame:
@@ -181,18 +198,21 @@ def edge_enrichment(
     draws: int = 1000,
     seed: int = 1,
     minimum: int = 5,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """Edges inside each panel against random panels of the same mapped size from the same pool.
 
     Panels and pools are already in graph ids. ``largest`` is the largest panel size. Panels with
-    fewer than ``minimum`` mapped features have no values.
+    fewer than ``minimum`` mapped features have no values. ``positions`` gives random panels drawn before.
     """
-    inside = restrict_edges(edges, pools, split)
+    panels = settled(panels.select(*keys, "feature"))
+    if positions is None:
+        positions = settled(random_panels(pools, largest, draws, seed, split))
+    inside = edges_among(edges, pools, split, panels, positions)
     observed = induced_edge_count(inside, panels, keys, split).withColumnRenamed(
         "n_features", "size"
     )
     counted = observed.where(F.col("size") >= minimum)
-    positions = random_panels(pools, largest, draws, seed, split)
     null = null_edge_counts(positions, inside, _sizes(counted, split, "size"), split)
     tested = empirical_summary(counted, null, [*split, "size"], draws, "n_edges")
     pairs = F.col("size") * (F.col("size") - 1) / 2
@@ -210,12 +230,16 @@ def co_membership_enrichment(
     largest: int,
     draws: int = 1000,
     seed: int = 1,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of a panel that share a set against random panels of the same size and pool.
 
     Also the number of annotated features. The pairs of the largest random panel serve all its
     prefixes.
     """
+    panels = settled(panels.select(*keys, "feature"))
+    if positions is None:
+        positions = settled(random_panels(pools, largest, draws, seed, split))
     known = feature_sets.select("feature").distinct().withColumn("_k", F.lit(1))
     observed = (
         panels.select(*keys, "feature")
@@ -231,7 +255,6 @@ def co_membership_enrichment(
         )
         .withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     )
-    positions = random_panels(pools, largest, draws, seed, split)
     drawn = [*split, "draw_id"]
     pairs = co_membership_edges(feature_sets, positions, drawn)
     p = positions.select(*drawn, "feature", "position")
@@ -265,11 +288,15 @@ def score_enrichment(
     cutoffs: Sequence[float],
     draws: int = 1000,
     seed: int = 1,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """Score sum of each panel at each cutoff against random panels of the same pool.
 
     Also the number of panel features with a score, of scored pool features and their share.
     """
+    panels = settled(panels.select(*keys, "feature"))
+    if positions is None:
+        positions = settled(random_panels(pools, max(ks), draws, seed, split))
     cut = cut_scores(scores, cutoffs)
     base = each(panels.select(*keys).distinct(), "cutoff", [float(c) for c in cutoffs])
     hits = (
@@ -290,7 +317,6 @@ def score_enrichment(
         .fillna(0, subset=["overlap"])
         .withColumn("size", F.col("k").cast("long"))
     )
-    positions = random_panels(pools, max(ks), draws, seed, split)
     null = null_score_sums(positions, cut, _sizes(observed, split, "size"), split)
     tested = empirical_summary(observed, null, [*split, "size", "cutoff"], draws)
     return (
@@ -312,6 +338,7 @@ def mean_enrichment(
     seed: int = 1,
 ) -> DataFrame:
     """Mean score of each panel against random panels; features without a score count as 0."""
+    panels = settled(panels.select(*keys, "feature"))
     observed = (
         panels.select(*keys, "feature")
         .join(scores, "feature", "left")
@@ -319,7 +346,7 @@ def mean_enrichment(
         .agg((F.coalesce(F.sum("score"), F.lit(0.0)) / F.col("k")).alias("observed"))
         .withColumn("size", F.col("k").cast("long"))
     )
-    positions = random_panels(pools, max(ks), draws, seed, split)
+    positions = settled(random_panels(pools, max(ks), draws, seed, split))
     null = null_score_sums(positions, scores, _sizes(observed, split, "size"), split)
     null = null.withColumn("value", F.col("value") / F.col("size"))
     return empirical_summary(observed, null, [*split, "size"], draws).drop("size")
@@ -366,19 +393,20 @@ def group_enrichment(
     ``missing_reason`` says why a value is absent.
     """
     key = [*cells, "group"]
+    groups = settled(groups.select(*key, "feature"))
     grid = each(groups.select(*cells).distinct(), "group", GROUPS)
     sized = grid.join(groups.groupBy(*key).agg(F.count(F.lit(1)).alias("size")), key, "left").fillna(
         0, subset=["size"]
     )
     sizes = _sizes(sized.where("size > 0"), split, "size")
-    positions = random_panels(pools, largest, draws, seed, split)
+    positions = settled(random_panels(pools, largest, draws, seed, split))
     hits = groups.join(scores, "feature").groupBy(*key).agg(F.sum("score").alias("observed"))
     score_rows = (
         sized.join(hits, key, "left")
         .withColumn("observed", F.when(F.col("size") > 0, F.coalesce("observed", F.lit(0.0))))
         .withColumn("metric", F.lit("score_sum"))
     )
-    inside = restrict_edges(edges, pools, split)
+    inside = edges_among(edges, pools, split, groups, positions)
     counts = induced_edge_count(inside, groups, key, split).drop("n_features")
     edge_rows = (
         sized.join(counts, key, "left")

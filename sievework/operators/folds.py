@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.columns import hash_order, numbered_copies
 from sievework.functions.ordering import dealt
+from sievework.session import cut_lineage
 
 
 def _deal(df: DataFrame, keys: list[str], parts: list[Column | str], k: int, seed) -> DataFrame:
@@ -148,13 +149,24 @@ def random_panels(
 ) -> DataFrame:
     """``draws`` random panels of k features out of each pool, nested in k.
 
-    Output ``by, draw_id, position, feature``. The row-number limit is known to Spark, which keeps
-    only k rows per panel and task before the shuffle.
+    Output ``by, draw_id, position, feature``. md5 is uniform, so about 2k + 64 rows of a panel's order lie under a
+    share of the hash range that the pool's size gives; only those are kept, written once and ordered. Should a panel
+    come out short (a pool that repeats its features can), all rows are ordered.
     """
-    copies = numbered_copies(pools.select(*by, "feature"), "draw_id", draws)
-    hashed = copies.withColumn("_h", hash_order(seed, "draw_id", *by, "feature"))
+    by = list(by)
+    rows = pools.select(*by, "feature")
+    n = cut_lineage(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    limit = F.lower(F.lpad(F.hex(F.floor(F.lit(float(1 << 60)) * (2 * k + 64) / F.col("_n"))), 15, "0"))
+    cut = n.select(*[F.col(c).alias(f"_{c}") for c in by], "_n", F.when(F.col("_n") > 2 * k + 64, limit).alias("_cut"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    sized = rows.join(F.broadcast(cut), on).select(*by, "feature", "_n", "_cut")  # one row a pool
+    hashed = numbered_copies(sized, "draw_id", draws).withColumn("_h", hash_order(seed, "draw_id", *by, "feature"))
+    near = cut_lineage(hashed.where(F.col("_cut").isNull() | (F.col("_h") < F.col("_cut"))).drop("_cut"))
+    found = near.groupBy(*by, "draw_id").agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("n"))
+    whole = found.where(F.col("c") >= F.least(F.lit(k), F.col("n"))).count() == draws * n.count()
     w = Window.partitionBy(*by, "draw_id").orderBy("_h")
-    return hashed.withColumn("position", F.row_number().over(w)).where(f"position <= {k}").drop("_h")
+    ordered = (near if whole else hashed).withColumn("position", F.row_number().over(w))
+    return ordered.where(f"position <= {k}").select(*by, "feature", "draw_id", "position")
 
 
 def inner_folds(

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import enrichment as en
+from sievework.operators.folds import random_panels
 from sievework.operators.ranking import top_k
+from sievework.session import settled
 
 SPLIT = ["dataset", "repeat_idx", "fold_idx"]
 CELL = [*SPLIT, "method", "k"]
@@ -27,13 +29,14 @@ def enrichment_wide(
 ) -> DataFrame:
     """One row per cell with ratio, p and coverage on the score, set and graph axes.
 
-    The same seed makes every axis meet the same random panels.
+    Every axis meets the same random panels.
     """
-    panels = top_k(rankings, [*SPLIT, "method"], ks)
+    panels = settled(top_k(rankings, [*SPLIT, "method"], ks).select(*CELL, "feature"))
+    positions = settled(random_panels(pools, max(ks), draws, seed, SPLIT))
     largest = max(ks)
-    score = en.score_enrichment(scores, panels, pools, CELL, SPLIT, ks, [cutoff], draws, seed)
-    sets = en.co_membership_enrichment(feature_sets, panels, pools, CELL, SPLIT, largest, draws, seed)
-    graph = en.edge_enrichment(edges, panels, pools, CELL, SPLIT, largest, draws, seed)
+    score = en.score_enrichment(scores, panels, pools, CELL, SPLIT, ks, [cutoff], draws, seed, positions)
+    sets = en.co_membership_enrichment(feature_sets, panels, pools, CELL, SPLIT, largest, draws, seed, positions)
+    graph = en.edge_enrichment(edges, panels, pools, CELL, SPLIT, largest, draws, seed, positions=positions)
 
     def axis(df: DataFrame, name: str, coverage: str) -> DataFrame:
         return df.select(
