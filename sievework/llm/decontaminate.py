@@ -121,6 +121,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
     hits = stored(hits, "hits")
 
     ids = hits.select("doc_id", "tkey").distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)  # so that texts without a hit are not shuffled
     held = texts.join(ids, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
     held = stored(held.select("doc_id", "tkey", shingle_hashes(F.col("text")).alias("hs")), "hit-texts")
     # Starts around a hit; a document shorter than the item has one window, itself.
