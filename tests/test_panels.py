@@ -4,6 +4,7 @@ from hashlib import md5
 
 from sievework.functions.ordering import leading
 from sievework.operators import enrichment as en
+from sievework.operators import ranking as ra
 from sievework.operators.folds import random_panels
 
 
@@ -42,3 +43,13 @@ def test_edges_among_panels_count_like_the_edges_of_the_pool(spark):
     for rows, keys in ((panel, ["split"]), (drawn.select("split", "draw_id", "feature"), ["split", "draw_id"])):
         counts = [sorted(map(tuple, en.induced_edge_count(e, rows, keys, ["split"]).collect())) for e in (near, whole)]
         assert counts[0] == counts[1]
+
+
+def test_first_of_a_consensus_are_those_of_the_whole(small_tasks):
+    rows = [(m, s, f"f{i:03}", (i * 37 + s * m * 11) % 90 + 1) for m in (1, 2) for s in (1, 2, 3) for i in range(90)]
+    ranking = small_tasks.createDataFrame(rows, "method int, split int, feature string, rank int")
+    whole = ra.consensus_rank(ranking, ["method"], ["split"])
+    first = ra.consensus_rank(ranking, ["method"], ["split"], first=7)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, whole.where("rank <= 7").collect()))
+    panel = ra.lock_panels(ranking, ["method"], ["split"], [3, 7], ranking.select("feature"), 0.5, {"source": "x"})
+    assert "Window" not in panel._jdf.queryExecution().optimizedPlan().toString()
