@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import evidence, penalised
-from sievework.operators.folds import subsamples
+from sievework.operators.folds import permute_labels, subsamples
 from sievework.operators.models import decoy_features
 from sievework.operators.scores import auc_score
 from sievework.plans.decoy_study import decoy_frequencies, decoy_study
@@ -165,3 +165,27 @@ def test_features_without_nulls_stop(spark):
     assert [(r.n_null, r.e_pi, r.e_u) for r in whole] == [(1, 1.0, 0.5)]
     with pytest.raises(Exception, match="no null values for feature f2"):
         evidence.exceedance(observed, nulls, ["dataset"]).collect()
+
+
+def test_permuted_members_and_fits_equal_those_of_shuffled_rows(data):
+    samples, features = data
+    per = ["dataset", "perm_id"]
+    drawn = subsamples(permute_labels(samples, 2, 9, ["dataset"]), 4, 3, 9, by=per)
+    want = penalised.resample_members(drawn, per, ["resample_id"], 3, 9)
+    made = penalised.permuted_members(samples, ["dataset"], 2, 4, 3, 9)
+    names = [*per, "resample_id", "sample_id", "label", "fold"]
+    rows = made.withColumn("sample_id", F.explode("sample_ids")).select(*names)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select(*names).collect()))
+    # No row a sample, permutation and resample crosses a shuffle.
+    assert "resample_id" not in "".join(
+        line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line
+    )
+    alpha = samples.select("dataset").distinct().withColumn("alpha", F.lit(0.5))
+    slow = penalised.resample_fits(features, drawn, ["dataset"], ["perm_id", "resample_id"], alpha, 3, 9)
+    quick = penalised.permuted_fits(features, samples, ["dataset"], alpha, 2, 4, 3, 9)
+    on = [*per, "resample_id", "alpha"]
+    for a, b, by in ((slow[0], quick[0], [*on, "feature"]), (slow[1], quick[1], on)):
+        a, b = (d.toPandas().sort_values(by).reset_index(drop=True)[sorted(d.columns)] for d in (a, b))
+        assert a[by].equals(b[by].astype(a[by].dtypes.to_dict()))
+        numbers = [c for c in a.columns if c not in by]
+        assert np.allclose(a[numbers].astype(float), b[numbers].astype(float), atol=1e-4)
