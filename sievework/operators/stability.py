@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import no_nan, quartiles, safe_div
-from sievework.functions.ordering import average_ranks
+from sievework.functions.ordering import average_ranks, value_ranks
+from sievework.session import cut_lineage, settled
 
 
 def common_pool(pools: DataFrame, keys: list[str], split: list[str]) -> DataFrame:
@@ -170,11 +171,17 @@ def overlap_summary(per_split: DataFrame, keys: list[str]) -> DataFrame:
 def correlations(df: DataFrame, keys: list[str], x: str, y: str, bounded: bool = False) -> DataFrame:
     """Pearson and Spearman per group over the rows where both are present.
 
-    NULL unless there are three pairs and two distinct values on each side.
+    NULL unless there are three pairs and two distinct values on each side. Unless ``bounded``, the pairs are written
+    once without their other columns, as ordering in slices reads them several times, and both ranks come from them.
     """
-    pairs = df.where(no_nan(F.col(x)).isNotNull() & no_nan(F.col(y)).isNotNull())
-    ranked = average_ranks(pairs, keys, x, "_rx", bounded=bounded)
-    ranked = average_ranks(ranked, keys, y, "_ry", bounded=bounded)
+    pairs = df.where(no_nan(F.col(x)).isNotNull() & no_nan(F.col(y)).isNotNull()).select(*keys, x, y)
+    if bounded:
+        ranked = average_ranks(pairs, keys, x, "_rx", bounded=True)
+        ranked = average_ranks(ranked, keys, y, "_ry", bounded=True)
+    else:
+        ranked = pairs = cut_lineage(pairs)
+        for value, name in ((x, "_rx"), (y, "_ry")):
+            ranked = ranked.join(settled(value_ranks(pairs, keys, value, name, once=True)), [*keys, value], "left")
     ok = (
         (F.count(F.lit(1)) >= 3)
         & (F.min(x) < F.max(x))

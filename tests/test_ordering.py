@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import ordering as od
 from sievework.operators import metrics, scores
+from sievework.operators.stability import correlations
 
 
 def rows(n=600, seed=3):
@@ -147,3 +148,21 @@ def test_slices_do_not_change_the_order(spark, kind, descending):
         for g in "ab":
             last = sum(k[0] == g for k in plain) - sum(k[0] == g for k in missing)
             assert all((r > last) == (k in missing) for k, r in plain.items() if k[0] == g)
+
+
+def test_correlations_read_their_pairs_once(small_tasks):
+    """In slices the pairs are written before they are ranked; the figures are those of one task."""
+    rows = [(g, float(i % 7), float((i * 37) % 101) if i % 9 else None, i) for g in "ab" for i in range(200)]
+    df = small_tasks.createDataFrame(rows, "g string, x double, y double, id int")
+    seen = small_tasks.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    counting = df.withColumn("x", counted.asNondeterministic()("x"))
+    out = correlations(counting, ["g"], "x", "y").orderBy("g").collect()
+    assert seen.value == len(rows)
+    for a, b in zip(out, correlations(df, ["g"], "x", "y", bounded=True).orderBy("g").collect()):
+        assert a.n == b.n and abs(a.pearson - b.pearson) < 1e-12 and abs(a.spearman - b.spearman) < 1e-12
