@@ -31,7 +31,7 @@ KNOWN = VOCABULARY - PER_CLASS
 WIDTH = 8
 HIDDEN = 16
 BLOCK = 16_384
-GROUP = 2048
+GROUP = 512
 CHUNK_TEXT = 1 << 24
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
@@ -131,7 +131,7 @@ def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[list[tupl
 
 def _hidden(net: Network, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, hidden values and scores of the classes; a column a token in the last two."""
-    x = net.embed[context].reshape(len(context), -1)
+    x = net.embed.take(context, axis=0).reshape(len(context), -1)
     h = net.w1.T @ x.T
     h += net.b1[:, None]
     np.tanh(h, out=h)
@@ -172,7 +172,10 @@ def gradient(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarra
     cls, word = np.divmod(tokens[order], net.per_class)
     x, h, dc = _hidden(net, context)
     _softmax(dc)[cls, np.arange(n)] -= 1
-    grad.wc[:], grad.bc[:] = h @ dc.T, dc.sum(axis=1)
+    with_bias = np.ones((HIDDEN + 1, n), h.dtype)  # the last row gives the biases' gradients in the same product
+    with_bias[:-1] = h
+    both = with_bias @ dc.T
+    grad.wc[:], grad.bc[:] = both[:-1], both[-1]
     dh = net.wc @ dc
     for group in groups:
         first, last = group[0][1].start, group[-1][1].stop
@@ -180,34 +183,47 @@ def gradient(net: Network, context: np.ndarray, tokens: np.ndarray) -> np.ndarra
         dw[word[first:last], np.arange(last - first)] -= 1
         for c, at in group:
             d = dw[:, at.start - first : at.stop - first]
-            grad.wo[c], grad.bo[c] = h[:, at] @ d.T, d.sum(axis=1)
+            both = with_bias[:, at] @ d.T
+            grad.wo[c], grad.bo[c] = both[:-1], both[-1]
             dh[:, at] += net.wo[c] @ d
     dh *= 1 - h * h
     grad.w1[:], grad.b1[:] = x.T @ dh.T, dh.sum(axis=1)
     dx = dh.T @ net.w1.T
-    at = (context.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    grad.embed[:] = np.bincount(at, dx.ravel(), grad.embed.size).reshape(grad.embed.shape)
+    near, dx = context.ravel(), dx.reshape(-1, WIDTH)
+    for k in range(WIDTH):
+        grad.embed[:, k] = np.bincount(near, dx[:, k], len(grad.embed))
     grad.flat /= n
     return grad.flat
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of all parts, and the sums of their counts."""
+    h, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return h, np.bincount(back, np.concatenate([n for _, n in parts]), len(h)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word hash occurs in this task, handed on whenever many are held."""
-    held_h, held_c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    size = loose = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(held_h.view(np.int64)), pa.array(held_c)], names=["word", "n"])
+        h, n = _merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     for batch in batches:
         texts = text_column(batch, "text")
         for lo, hi in row_chunks(texts):
-            h, c = np.unique(word_hashes(*byte_buffer(texts.slice(lo, hi - lo)))[0], return_counts=True)
-            both = np.r_[held_h, h]
-            held_h, back = np.unique(both, return_inverse=True)
-            held_c = np.bincount(back, np.r_[held_c, c], len(held_h)).astype(np.int64)
-            if len(held_h) > 2_000_000:
+            h, n = np.unique(word_hashes(*byte_buffer(texts.slice(lo, hi - lo)))[0], return_counts=True)
+            parts.append((h, n))
+            loose += len(h)
+            # Only when as many have come as are held, so that each is sorted few times.
+            if loose > max(size, 200_000):
+                parts = [_merged(parts)]
+                size, loose = len(parts[0][0]), 0
+            if size > 2_000_000:
                 yield out()
-                held_h, held_c = held_h[:0], held_c[:0]
+                parts, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
     yield out()
 
 
