@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,9 @@ WINDOW = 50
 GRAM = 16
 BESIDE = (WINDOW - GRAM) // 2
 SHARD_BYTES = 4 << 20
-BATCH_BYTES = 8 << 20
-CHUNK = 1 << 20
+# A task holds about 200 bytes for each byte of a chunk; smaller chunks also stay in the cache.
+BATCH_BYTES = 4 << 20
+CHUNK = 1 << 19
 OPEN = 1 << 31
 _U = np.uint64
 
@@ -153,9 +155,10 @@ def _name_rows(shards: int):
                 begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
                 nth = np.arange(len(doc)) - np.repeat(begins, np.diff(np.r_[begins, len(doc)]))
                 hashes = run_hashes(buf, offsets, doc, offsets[doc] + first, n + WINDOW - 1, at)
-                found.append((doc + base, nth, name, *hashes))
+                found.append(((doc + base).astype(np.int32), nth.astype(np.int32), name, *hashes))
                 base += hi - lo
             owner, nth, name, left, right, whole = (np.concatenate(x) for x in zip(*found))
+            del found
             # A whole run that a smaller document of the batch has is settled; that one speaks for both.
             known = ids[owner] > _least(whole, name, ids[owner])
             rows = []
@@ -168,21 +171,24 @@ def _name_rows(shards: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """Batches (doc_id, tie, text, ...) joined to about ``BATCH_BYTES`` of text."""
+    """Batches (doc_id, tie, text, ...) joined or cut to at most ``BATCH_BYTES`` of text; a longer text is alone."""
     held, size = [], 0
 
     def out():
-        table = pa.Table.from_batches(held).combine_chunks()
-        texts = pa.concat_arrays([text_column(b, "text").cast(pa.large_string()) for b in held])
-        return table["doc_id"].to_numpy(), table["tie"].to_numpy(), texts
+        ids, ties, texts = zip(*held)
+        return np.concatenate(ids), np.concatenate(ties), pa.concat_arrays(texts)
 
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size > BATCH_BYTES:
-            yield out()
-            held, size = [], 0
+        texts = text_column(batch, "text").cast(pa.large_string())
+        ids, ties = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "tie"))
+        sizes = pc.binary_length(texts).to_numpy()
+        for lo, hi in row_chunks(texts, BATCH_BYTES):
+            more = int(sizes[lo:hi].sum())
+            if held and size + more > BATCH_BYTES:
+                yield out()
+                held, size = [], 0
+            held.append((ids[lo:hi], ties[lo:hi], texts.slice(lo, hi - lo)))
+            size += more
     if held:
         yield out()
 
