@@ -312,7 +312,7 @@ def _piece_rows(shards: int):
                 # Covered runs that touch are one span.
                 c_doc, a, b = doc[covered], start[covered], (start + size)[covered]
                 new = np.flatnonzero(np.r_[True, (c_doc[1:] != c_doc[:-1]) | (a[1:] > b[:-1])][: len(a)])
-                last = np.r_[new[1:], len(a)] - 1
+                last = np.r_[new[1:], len(a)][: len(new)] - 1
                 spans = (ids[covered][new], ties[covered][new], a[new], b[last] - a[new], name[covered][new])
                 rows = list(pack(*spans, begin[covered][new], buf, np.ones(len(new), bool)))
                 open_ = (x[rest] for x in (ids, ties, start, size, name, begin))

@@ -24,3 +24,14 @@ def test_large_batches_are_cut(monkeypatch):
     sizes = [(len(ids), sum(len(t) for t in found.to_pylist())) for ids, _, found in parts]
     assert all(n == 1 or size <= 1000 for n, size in sizes)
     assert len(parts) < 40  # small batches are joined
+
+
+def test_a_chunk_without_covered_runs(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 200)
+    texts = ["".join(chr(97 + (k * k * (d + 3) + k // 7) % 26) for k in range(150)) for d in range(2)]
+    items = [[np.array([item], "<u4").tobytes()] for item in (suffix_dedup.OPEN, 0)]
+    batch = pa.RecordBatch.from_arrays(
+        [*_batch([1, 2], texts).columns, pa.array(items, pa.list_(pa.binary()))], names=["doc_id", "tie", "text", "items"]
+    )
+    rows = pa.Table.from_batches(suffix_dedup._piece_rows(4)(iter([batch]))).to_pylist()
+    assert [(r["known"], r["ids"][:1]) for r in rows] == [(False, b"\x01"), (True, b"\x02")]
