@@ -278,6 +278,19 @@ def cut_scores(scores: DataFrame, cutoffs: Sequence[float]) -> DataFrame:
     return each(scores, "cutoff", [float(c) for c in cutoffs]).where("score >= cutoff")
 
 
+def pool_targets(pools: DataFrame, scores: DataFrame, split: list[str], cutoffs: Sequence[float]) -> DataFrame:
+    """Scored features of each pool at each cutoff; all cutoffs are counted in one pass over pools and scores."""
+    at = [float(c) for c in cutoffs]
+    counts = (
+        pools.select(*split, "feature")
+        .join(scores.where(F.col("score") >= min(at)).select("feature", "score"), "feature")
+        .groupBy(*split)
+        .agg(*[F.count_if(F.col("score") >= c).alias(f"_{i}") for i, c in enumerate(at)])
+    )
+    rows = [F.struct(F.lit(c).alias("cutoff"), F.col(f"_{i}").alias("pool_targets")) for i, c in enumerate(at)]
+    return counts.select(*split, F.explode(F.array(*rows)).alias("x")).select(*split, "x.*")
+
+
 def score_enrichment(
     scores: DataFrame,
     panels: DataFrame,
@@ -305,12 +318,7 @@ def score_enrichment(
         .groupBy(*keys, "cutoff")
         .agg(F.sum("score").alias("observed"), F.count(F.lit(1)).alias("overlap"))
     )
-    targets = (
-        pools.select(*split, "feature")
-        .join(cut, "feature")
-        .groupBy(*split, "cutoff")
-        .agg(F.count(F.lit(1)).alias("pool_targets"))
-    )
+    targets = pool_targets(pools, scores, split, cutoffs)
     observed = (
         base.join(hits, [*keys, "cutoff"], "left")
         .fillna(0.0, subset=["observed"])

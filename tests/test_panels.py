@@ -53,3 +53,13 @@ def test_first_of_a_consensus_are_those_of_the_whole(small_tasks):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, whole.where("rank <= 7").collect()))
     panel = ra.lock_panels(ranking, ["method"], ["split"], [3, 7], ranking.select("feature"), 0.5, {"source": "x"})
     assert "Window" not in panel._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pool_targets_at_every_cutoff(spark):
+    pools = spark.createDataFrame([("d", f) for f in "abcd"] + [("e", "a"), ("f", "z")], "dataset string, feature string")
+    scores = spark.createDataFrame(
+        [("a", 0.05), ("b", 0.5), ("c", None), ("d", 0.01), ("q", 0.9)], "feature string, score double"
+    )
+    found = en.pool_targets(pools, scores, ["dataset"], [0.05, 0.5])
+    assert {tuple(r) for r in found.collect()} == {("d", 0.05, 2), ("d", 0.5, 1), ("e", 0.05, 1), ("e", 0.5, 0)}
+    assert found.columns == ["dataset", "cutoff", "pool_targets"]
