@@ -126,6 +126,9 @@ class PieceModel:
             codes = self.code[[ord(c) for c in self.pieces[i]]]
             low[k, : len(codes)] = high[k, : len(codes)] = codes
         self.low, self.high = low.view(f"S{2 * self.deep}").ravel(), high.view(f"S{2 * self.deep}").ravel()
+        # In the order of the suffix array, so that neighbouring look-ups meet the same part of it.
+        sort = np.argsort(self.low, kind="stable")
+        self.order, self.size, self.low, self.high = self.order[sort], self.size[sort], self.low[sort], self.high[sort]
 
     def _across(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -166,11 +169,10 @@ class PieceModel:
         for lo in range(0, len(new), GROUP):
             group = new[lo : lo + GROUP]
             spelled = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else SPACE + u for u in group]
-            for u, ids in zip(group, self.encode_units(spelled)):
-                cache.add(u, ids)
+            cache.extend(group, *self.encode_units(spelled))
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit."""
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units on end, and the number of each unit's ids."""
         joined = "\0".join(units) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         size = np.array([len(u) for u in units])
@@ -201,7 +203,8 @@ class PieceModel:
         owner = unit[begin]
         stop = begin + length
         step = (stop - start[owner]).astype(np.int32)
-        order = np.argsort(step, kind="stable")
+        # Numbers of 16 bits are sorted by their digits.
+        order = np.argsort(step.astype(np.uint16) if size.max(initial=0) < 1 << 16 else step, kind="stable")
         begin, token, stop, step, owner = begin[order], token[order], stop[order], step[order], owner[order]
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.zeros(0, np.int64)
         best = np.full(n + 1, -1, np.int64)
@@ -215,31 +218,28 @@ class PieceModel:
 
         sizes = np.ones(self.unknown + 1, np.int64)
         sizes[self.order] = self.size
-        at, live, back = end.copy(), np.flatnonzero(size > 0), []
+        at, live, left = end.copy(), np.flatnonzero(size > 0), np.full(n, -1, np.int64)
         while len(live):
             piece = best[at[live]]
             if (piece < 0).any():
                 raise ValueError("no way through a unit")
             at[live] -= sizes[piece]
-            back.append((live, piece, at[live].copy()))
+            left[at[live]] = piece
             live = live[at[live] > start[live]]
-        who = np.concatenate([x[0] for x in back]) if back else np.zeros(0, np.int64)
-        what = np.concatenate([x[1] for x in back]) if back else np.zeros(0, np.int64)
-        where = np.concatenate([x[2] for x in back]) if back else np.zeros(0, np.int64)
-        order = np.argsort(where)
-        who, what, where = who[order], what[order], where[order]
-        bounds = np.searchsorted(who, np.arange(len(units) + 1))
-        out = []
-        raw = set(np.unique(who[what == self.unknown]).tolist())
-        for k in range(len(units)):
-            ids = what[bounds[k] : bounds[k + 1]]
-            if k in raw:
-                spell = where[bounds[k] : bounds[k + 1]]
-                ids = np.concatenate(
-                    [self.byte_id[list(chr(points[p]).encode())] if t == self.unknown else [t] for t, p in zip(ids, spell)]
-                )
-            out.append(ids)
-        return out
+        where = np.flatnonzero(left >= 0)
+        who, what = unit[where], left[where]
+        odd = np.flatnonzero(what == self.unknown)
+        if len(odd):
+            # A character that no piece has becomes its bytes.
+            spelled = [chr(p).encode() for p in points[where[odd]].tolist()]
+            times = np.ones(len(what), np.int64)
+            times[odd] = [len(x) for x in spelled]
+            first = np.cumsum(times)[odd] - times[odd]
+            who, what = np.repeat(who, times), np.repeat(what, times)
+            held = np.frombuffer(b"".join(spelled), np.uint8)
+            nth = np.arange(len(held)) - np.repeat(np.cumsum(times[odd]) - times[odd], times[odd])
+            what[np.repeat(first, times[odd]) + nth] = self.byte_id[held]
+        return what, np.bincount(who, minlength=len(units))
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are joined to characters, the blank put in front is taken off."""
