@@ -157,9 +157,9 @@ class WordTokens:
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            for w, s, t in zip(group, starts.tolist(), ends.tolist(), strict=True):
-                cache.add(w, ids[s:t])
+            if len(cuts) + 1 != len(group):
+                raise ValueError("the special token does not keep words apart")
+            cache.extend(group, ids[ids != self.mark_id], np.diff(np.r_[-1, cuts, len(ids)]) - 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the number of each text's ids."""

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from sievework.llm import piece_lattice
+from sievework.llm import piece_lattice, token_store
 from sievework.llm.common import UnitCache
 
 
@@ -24,3 +24,13 @@ def test_units_of_a_group_with_unknown_characters_between_others():
     ids, n = piece_lattice.PieceModel(path).encode_units([piece_lattice.SPACE + w for w in words])
     cut = np.r_[0, np.cumsum(n)]
     assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [library.encode(w) for w in words]
+
+
+def test_words_of_one_input_have_the_ids_of_whole_texts():
+    tokens = token_store.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|>b c<|startoftext|> <| x", "ΟΔΟΣ Σ Σ. ́a e ́ é", "it's ' 's don't\r\x0b1234 ¾ 　z", "",
+             "​ ﻿ \x00 가 ᄀ ᅡ 🧿👩‍👩‍👧", "<|endoftext|> <|endoftext|><|endoftext|>", "  \n\t "]
+    ids, n = tokens.encode(texts)
+    cut = np.r_[0, np.cumsum(n)]
+    whole = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == whole
