@@ -189,3 +189,32 @@ def test_permuted_members_and_fits_equal_those_of_shuffled_rows(data):
         assert a[by].equals(b[by].astype(a[by].dtypes.to_dict()))
         numbers = [c for c in a.columns if c not in by]
         assert np.allclose(a[numbers].astype(float), b[numbers].astype(float), atol=1e-4)
+
+
+def test_vectors_are_sent_once_a_task_and_not_once_a_block(data, monkeypatch):
+    """How often a split's vectors are sent does not grow with its units; what is solved together stays the same."""
+    samples, features = data
+    monkeypatch.setattr(penalised, "UNITS_PER_BLOCK", 1)
+    sent, spread = [], penalised.spread
+    monkeypatch.setattr(penalised, "spread", lambda df, *by, **more: sent.append(df) or spread(df, *by, **more))
+    drawn = subsamples(samples, 10, 5, 7)
+    fits = []
+    for a_core in (0.25, 2):
+        monkeypatch.setattr(penalised, "TASKS_PER_CORE", a_core, raising=False)
+        fits.append(penalised.resample_fits(features, drawn, ["dataset"], alphas=[1.0])[1].toPandas())
+    rows = [df.where("x is not null").count() for df in sent if "x" in df.columns]
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    assert rows == [180 * max(1, -(-int(0.25 * cores) // 2)), 180 * min(10, cores)]
+    a, b = (d.sort_values(["dataset", "resample_id"]).reset_index(drop=True) for d in fits)
+    assert len(a) == 20 and a.equals(b)
+
+
+def test_decoys_are_shuffled_once(data, small_tasks):
+    """The values of a feature meet in one task; in slices, where they are too many for it, the result is the same."""
+    _, features = data
+    sliced = decoy_features(features, 0.7, 3, ["dataset"])
+    small_tasks.conf.unset("sievework.rowsPerTask")
+    whole = decoy_features(features, 0.7, 3, ["dataset"])
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Window" not in plan
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, sliced.collect())) != []
