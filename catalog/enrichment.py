@@ -23,6 +23,7 @@ from sievework.functions.columns import each
 from sievework.operators import enrichment as en
 from sievework.operators import folds as fo
 from sievework.operators import metrics as me
+from sievework.session import settled
 
 D = 20
 SIZES = [10, 20, 50]
@@ -134,8 +135,9 @@ cte(
     with_("observed_edges") + "SELECT *, size AS n_features FROM observed_edges",
 )
 def induced_edge_count(t):
-    inside = en.restrict_edges(edges(t), pools(t), SPLIT)
-    return en.induced_edge_count(inside, small_panels(t), PK, SPLIT)
+    chosen = settled(small_panels(t))
+    inside = en.edges_among(edges(t), pools(t), SPLIT, chosen)
+    return en.induced_edge_count(inside, chosen, PK, SPLIT)
 
 
 def summary_sql(observed: str, null: str, on: str, keys: str, value: str = "observed") -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.columns import clipped_ratio, each, numbered_copies, safe_div, share
@@ -19,7 +19,12 @@ from sievework.operators.inference import dataset_ranks
 from sievework.operators.metrics import with_random
 from sievework.operators.scores import equal_bins
 from sievework.operators.stability import correlations
-from sievework.session import settled
+from sievework.session import cut_lineage, settled
+
+
+#: Splits that a number has bits for, and splits from which on edges get their splits by joins.
+WORD = 62
+MOST_BITS = 1024
 
 
 def co_membership_edges(feature_sets: DataFrame, panels: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,29 +56,57 @@ def restrict_edges(
 ) -> DataFrame:
     """Edges with both ends in the pool of a split.
 
-    Parallel and reversed edges count once, or separately with ``dedupe=False``.
+    Parallel and reversed edges count once, or separately with ``dedupe=False``. A feature's splits are numbered and
+    sent as bits, so an edge is shuffled twice, however many splits its ends are in; it gets a row a split at the end.
     """
-    inside = pool.select(*split, "feature").distinct()
+    known = " and ".join(f"`{c}` is not null" for c in [*split, "feature"])
+    inside = pool.select(*split, "feature").where(known)
     e = edges.select("src", "dst")
     if dedupe:
         e = e.where("src != dst").select(
             F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
         ).distinct()
-    return e.join(inside.withColumnRenamed("feature", "src"), "src").join(
-        inside.withColumnRenamed("feature", "dst"), [*split, "dst"], "left_semi"
-    )
+    w = Window.orderBy(*split)  # one row a split
+    splits = cut_lineage(inside.select(*split).distinct().withColumn("_s", F.row_number().over(w) - 1))
+    n = max(1, splits.count())
+    if n > MOST_BITS:
+        inside = inside.distinct()
+        return e.join(inside.withColumnRenamed("feature", "src"), "src").join(
+            inside.withColumnRenamed("feature", "dst"), [*split, "dst"], "left_semi"
+        )
+    words = -(-n // WORD)
+    one = F.expr(f"shiftleft(1L, cast(_s % {WORD} as int))")
+    bits = [F.bit_or(F.when(F.floor(F.col("_s") / WORD) == i, one).otherwise(F.lit(0).cast("long"))).alias(f"_{i}") for i in range(words)]
+    sets = inside.join(F.broadcast(splits), split).groupBy("feature").agg(*bits)
+
+    def of(end):
+        return sets.select(F.col("feature").alias(end), *[F.col(f"_{i}").alias(f"_{end}{i}") for i in range(words)])
+
+    both = [F.col(f"_src{i}").bitwiseAND(F.col(f"_dst{i}")).alias(f"_{i}") for i in range(words)]
+    met = e.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", *both)
+
+    def numbers(i):
+        at = F.sequence(F.lit(i * WORD), F.lit(min(n, (i + 1) * WORD) - 1))
+        return F.filter(at, lambda s: F.getbit(F.col(f"_{i}"), s - i * WORD) == 1)
+
+    rows = met.where(" or ".join(f"_{i} != 0" for i in range(words)))
+    rows = rows.select("src", "dst", F.explode(F.concat(*map(numbers, range(words)))).alias("_s"))
+    return rows.join(F.broadcast(splits), "_s").select(*split, "dst", "src")
 
 
 def edges_among(
-    edges: DataFrame, pools: DataFrame, split: list[str], panels: DataFrame, positions: DataFrame
+    edges: DataFrame, pools: DataFrame, split: list[str], panels: DataFrame, positions: DataFrame | None = None
 ) -> DataFrame:
     """The edges of ``restrict_edges`` that have both ends in panels or random panels of the split.
 
     No other edge can lie inside a panel, and the edges of a pool are many times those of its panels. Random panels
     come from the pool; features of ``panels`` have to be looked up there.
     """
-    own = panels.select(*split, "feature").distinct().join(pools.select(*split, "feature"), [*split, "feature"], "left_semi")
-    members = settled(own.unionByName(positions.select(*split, "feature")).distinct())
+    members = panels.select(*split, "feature").distinct()
+    members = members.join(pools.select(*split, "feature"), [*split, "feature"], "left_semi")
+    if positions is not None:
+        members = members.unionByName(positions.select(*split, "feature"))
+    members = settled(members.distinct())
     names = settled(members.select("feature").distinct())
     near = edges.join(names.withColumnRenamed("feature", "src"), "src", "left_semi")
     near = near.join(names.withColumnRenamed("feature", "dst"), "dst", "left_semi")

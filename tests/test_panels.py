@@ -63,3 +63,33 @@ def test_pool_targets_at_every_cutoff(spark):
     found = en.pool_targets(pools, scores, ["dataset"], [0.05, 0.5])
     assert {tuple(r) for r in found.collect()} == {("d", 0.05, 2), ("d", 0.5, 1), ("e", 0.05, 1), ("e", 0.5, 0)}
     assert found.columns == ["dataset", "cutoff", "pool_targets"]
+
+
+def test_edges_meet_their_splits_as_bits(spark, monkeypatch):
+    """Edges are not copied for every split before both ends are known; rows are those of joins by split."""
+    edges = [(f"f{i}", f"f{j}") for i in range(30) for j in (i, (i * 7 + 3) % 30, (i + 1) % 30, (i * 7 + 3) % 30)]
+    edge = spark.createDataFrame([*edges, (None, "f1"), ("f1", None)], "src string, dst string")
+    rows = [("d", s, f"f{i}") for s in range(130) for i in range(30) if (i * s) % 11 < 4]
+    rows += [rows[0], ("d", None, "f1"), (None, 3, "f2"), ("d", 4, None)]
+    pool = spark.createDataFrame(rows, "dataset string, split int, feature string")
+    for dedupe in (True, False):
+        found = en.restrict_edges(edge, pool, ["dataset", "split"], dedupe)
+        sent = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in x]
+        assert sent and not any("split" in x or "dataset" in x for x in sent if "src" in x or "dst" in x)
+        with monkeypatch.context() as m:
+            m.setattr(en, "MOST_BITS", 0)
+            joined = en.restrict_edges(edge, pool, ["dataset", "split"], dedupe)
+        assert found.columns == joined.columns
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) != []
+    none = en.restrict_edges(edge, pool.where("false"), ["dataset", "split"])
+    assert none.collect() == []
+
+
+def test_edges_among_panels_without_random_ones(spark):
+    edge = spark.createDataFrame([(f"f{i}", f"f{(i * 3 + 1) % 40}") for i in range(40)], "src string, dst string")
+    pool = spark.createDataFrame([(s, f"f{i}") for s in (1, 2) for i in range(s, 38)], "split int, feature string")
+    panel = spark.createDataFrame([(s, f"f{i}") for s in (1, 2) for i in (0, 1, 2, 4, 7, 13, 39)], "split int, feature string")
+    near, whole = en.edges_among(edge, pool, ["split"], panel), en.restrict_edges(edge, pool, ["split"])
+    assert 0 < near.count() < whole.count()
+    counts = [sorted(map(tuple, en.induced_edge_count(e, panel, ["split"], ["split"]).collect())) for e in (near, whole)]
+    assert counts[0] == counts[1]
